@@ -20,8 +20,11 @@ from tidemark.operators.counting import (
     events_per_type,
     flow_metrics,
     hourly_type_counts,
+    org_counts,
     overview,
+    repo_counts,
     top_counted,
+    user_counts,
     with_ratios,
 )
 from tidemark.operators.ranking import (
@@ -47,7 +50,7 @@ from tidemark.operators.serving import (
     top_users_card,
     trend_filled,
 )
-from tidemark.operators.trends import keep_top, label_values, trend_long, trend_wide, widen
+from tidemark.operators.trends import hourly_counts, keep_top, label_values, trend_long, trend_of, trend_wide, widen
 
 __all__ = [
     "CONTRIBUTIONS",
@@ -65,6 +68,7 @@ __all__ = [
     "first_per_day",
     "flatten",
     "flow_metrics",
+    "hourly_counts",
     "hourly_type_counts",
     "is_empty",
     "keep_top",
@@ -75,10 +79,12 @@ __all__ = [
     "most_starred",
     "null_check",
     "on_day",
+    "org_counts",
     "overview",
     "peak_hours",
     "pushed_cards",
     "rank_by_count",
+    "repo_counts",
     "require_columns",
     "select_columns",
     "starred_cards",
@@ -90,7 +96,9 @@ __all__ = [
     "top_users_card",
     "trend_filled",
     "trend_long",
+    "trend_of",
     "trend_wide",
+    "user_counts",
     "widen",
     "with_day_parts",
     "with_ratios",

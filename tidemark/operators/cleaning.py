@@ -117,11 +117,17 @@ def is_empty(df: DataFrame) -> bool:
 
 
 def scoped(df: DataFrame, date: DateLike | None) -> DataFrame:
-    """Events of one day or of all days, with ``event_date`` as a column."""
+    """Events of one day or of all days, with ``event_date`` as a column.
+
+    Where the event table's partition columns are there, the day comes from
+    them: a count by day then reads no timestamp at all.
+    """
     if date is not None:
         df = on_day(df, date)
     if "event_date" in df.columns:
         return df
+    if set(DAY_PARTS) <= set(df.columns):
+        return df.withColumn("event_date", F.make_date(*DAY_PARTS))
     return df.withColumn("event_date", F.to_date(F.col("created_at")))
 
 

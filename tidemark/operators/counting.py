@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.activity import CLOSED, ISSUE, MERGED, OPENED, PULL_REQUEST, is_action, is_type, safe_pct
+from tidemark.functions.activity import (
+    CLOSED,
+    ISSUE,
+    MERGED,
+    OPENED,
+    PULL_REQUEST,
+    PUSH,
+    STAR,
+    is_action,
+    is_type,
+    safe_pct,
+)
 from tidemark.functions.time import hour_of_day
 from tidemark.operators.cleaning import day_of, scoped
 from tidemark.operators.ranking import first_per_day
@@ -108,61 +120,94 @@ OVERVIEW_COUNTS = (
 )
 
 
-def overview_counts(df: DataFrame, date: DateLike | None = None) -> DataFrame:
-    """The ten overview counts per day, the same as ``activity_metrics`` and
-    ``flow_metrics`` give, from five groupings instead of nine distinct counts.
+def user_counts(df: DataFrame, date: DateLike | None = None) -> DataFrame:
+    """Events per user and day."""
+    return scoped(df, date).groupBy("event_date", "username").agg(_rows().alias("n"))
 
-    Each distinct thing (user, repository, organisation, issue, pull request)
-    becomes one row carrying what is known about it; the counts are then sums
-    over those rows. Five grouping sets copy every event five times on the map
-    side where nine distinct counts copy it ten times. A popular repository
-    collapses to one row per task before the shuffle.
-    """
-    events = scoped(df, date).select(
-        "event_date",
-        "username",
-        "repo",
-        "org_name",
-        F.when(is_action(ISSUE, OPENED), F.col("issue_id")).alias("issue"),
-        F.when(is_type(PULL_REQUEST) & F.col("action").isin(OPENED, MERGED, CLOSED), F.col("pr_id")).alias("pr"),
-        F.col("public"),
-        F.when(is_type(PULL_REQUEST), F.col("action")).alias("step"),
+
+def repo_counts(df: DataFrame, date: DateLike | None = None) -> DataFrame:
+    """Events, public and private events, stars and pushes per repository and day."""
+    return (
+        scoped(df, date)
+        .groupBy("event_date", "repo")
+        .agg(
+            _rows().alias("n"),
+            F.count_if(F.col("public")).alias("n_public"),
+            F.count_if(~F.col("public")).alias("n_private"),
+            F.count_if(is_type(STAR)).alias("n_stars"),
+            F.count_if(is_type(PUSH)).alias("n_pushes"),
+        )
     )
-    things = ["username", "repo", "org_name", "issue", "pr"]
-    seen = events.groupingSets([["event_date", thing] for thing in things], "event_date", *things).agg(
-        F.grouping_id().alias("kind"),
-        _rows().alias("n"),
-        F.bool_or(F.col("public")).alias("public"),
-        F.bool_or(~F.col("public")).alias("private"),
-        *[F.bool_or(F.col("step") == step).alias(step) for step in (OPENED, MERGED, CLOSED)],
+
+
+def org_counts(df: DataFrame, date: DateLike | None = None) -> DataFrame:
+    """Events per organisation and day; events without one are left out."""
+    return scoped(df, date).where(F.col("org_name").isNotNull()).groupBy("event_date", "org_name").agg(_rows().alias("n"))
+
+
+def _opened_issues(df: DataFrame, date: DateLike | None) -> DataFrame:
+    opened = scoped(df, date).where(is_action(ISSUE, OPENED) & F.col("issue_id").isNotNull())
+    return opened.select("event_date", "issue_id").distinct()
+
+
+PR_STEPS = {"prs_created": OPENED, "prs_merged": MERGED, "prs_closed": CLOSED}
+
+
+def _pull_requests(df: DataFrame, date: DateLike | None) -> DataFrame:
+    moved = scoped(df, date).where(
+        is_type(PULL_REQUEST) & F.col("action").isin(*PR_STEPS.values()) & F.col("pr_id").isNotNull()
     )
+    return moved.groupBy("event_date", "pr_id").agg(
+        *[F.bool_or(F.col("action") == action).alias(name) for name, action in PR_STEPS.items()]
+    )
+
 
-    def of(thing: str) -> Column:
-        # grouping_id sets a bit for each column that is not part of the set.
-        ones = (1 << len(things)) - 1
-        return F.col("kind") == (ones ^ (1 << (len(things) - 1 - things.index(thing))))
-
-    def count_of(thing: str, flag: str | None = None) -> Column:
-        keep = of(thing) & F.col(thing).isNotNull()
-        return F.count_if(keep & F.col(flag)) if flag else F.count_if(keep)
-
-    counts = {
-        "no_of_unique_users": count_of("username"),
-        "no_of_unique_repos_modified": count_of("repo"),
-        "total_public_repo": count_of("repo", "public"),
-        "total_private_repo": count_of("repo", "private"),
-        "no_of_unique_organizations": count_of("org_name"),
-        "total_events": F.coalesce(F.sum(F.when(of("username"), F.col("n"))), F.lit(0)),
-        "issues_opened": count_of("issue"),
-        "prs_created": count_of("pr", OPENED),
-        "prs_merged": count_of("pr", MERGED),
-        "prs_closed": count_of("pr", CLOSED),
-    }
-    columns = [counts[name].alias(name) for name in OVERVIEW_COUNTS]
+def overview_counts(
+    df: DataFrame,
+    date: DateLike | None = None,
+    users: DataFrame | None = None,
+    repos: DataFrame | None = None,
+    orgs: DataFrame | None = None,
+) -> DataFrame:
+    """The ten overview counts per day, the same as ``activity_metrics`` and
+    ``flow_metrics`` give.
+
+    Nine distinct counts in one aggregate would copy every event ten times and
+    group the copies by a key as wide as all columns together. Here each kind
+    of thing (user, repository, organisation, issue, pull request) is grouped
+    on its own narrow key, from the few columns it needs, and then counted per
+    day; the five counts per day are put together at the end. A popular
+    repository shrinks to one row per task before the shuffle. The counts per
+    user, repository and organisation may be handed in where they are there
+    already.
+    """
+    user_rows = user_counts(df, date) if users is None else users
+    repo_rows = repo_counts(df, date) if repos is None else repos
+    org_rows = org_counts(df, date) if orgs is None else orgs
+    kinds = [
+        (user_rows, {"no_of_unique_users": F.count("username"), "total_events": F.sum("n")}),
+        (
+            repo_rows.where(F.col("repo").isNotNull()),
+            {
+                "no_of_unique_repos_modified": _rows(),
+                "total_public_repo": F.count_if(F.col("n_public") > 0),
+                "total_private_repo": F.count_if(F.col("n_private") > 0),
+            },
+        ),
+        (org_rows, {"no_of_unique_organizations": _rows()}),
+        (_opened_issues(df, date), {"issues_opened": _rows()}),
+        (_pull_requests(df, date), {name: F.count_if(F.col(name)) for name in PR_STEPS}),
+    ]
+    per_day = [
+        rows.groupBy("event_date").agg(*[count.alias(name) for name, count in counts.items()])
+        for rows, counts in kinds
+    ]
+    together = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), per_day)
+    columns = [F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in OVERVIEW_COUNTS]
     if date is None:
-        return seen.groupBy("event_date").agg(*columns)
+        return together.groupBy("event_date").agg(*columns)
     # One row even for a day without events.
-    return seen.agg(*columns).select(day_of(date).alias("event_date"), *OVERVIEW_COUNTS)
+    return together.agg(*columns).select(day_of(date).alias("event_date"), *OVERVIEW_COUNTS)
 
 
 def with_ratios(df: DataFrame) -> DataFrame:
@@ -180,9 +225,9 @@ def with_ratios(df: DataFrame) -> DataFrame:
     )
 
 
-def overview(df: DataFrame, date: DateLike | None = None) -> DataFrame:
+def overview(df: DataFrame, date: DateLike | None = None, **counted: DataFrame) -> DataFrame:
     """The daily overview: counts and percentages, one row per day."""
-    return with_ratios(overview_counts(df, date))
+    return with_ratios(overview_counts(df, date, **counted))
 
 
 def avg_events_per_user(df: DataFrame) -> DataFrame:

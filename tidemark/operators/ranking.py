@@ -44,13 +44,17 @@ def top_k(
     n_col: str = "no_of_events",
     where: Column | None = None,
     date: DateLike | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
-    """The k values of a column with most events per day."""
-    events = scoped(df, date)
+    """The k values of a column with most events per day.
+
+    ``df`` holds events, or counts of events with the count in ``weight``.
+    """
+    rows = scoped(df, date)
     if where is not None:
-        events = events.where(where)
-    counts = events.groupBy("event_date", key).agg(F.count(F.lit(1)).alias(n_col))
-    return first_per_day(counts, k, n_col, key)
+        rows = rows.where(where)
+    number = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    return first_per_day(rows.groupBy("event_date", key).agg(number.alias(n_col)), k, n_col, key)
 
 
 def rank_by_count(df: DataFrame, n_col: str, out: str = "rank_on_that_day") -> DataFrame:
@@ -62,29 +66,34 @@ def rank_by_count(df: DataFrame, n_col: str, out: str = "rank_on_that_day") -> D
     return df.withColumn(out, F.dense_rank().over(by_day))
 
 
-def top_real_users(df: DataFrame, k: int = 10, date: DateLike | None = None) -> DataFrame:
+def top_real_users(
+    df: DataFrame, k: int = 10, date: DateLike | None = None, weight: str | None = None
+) -> DataFrame:
     """The most active accounts that are not automated, with their rank."""
     n_col = "no_of_Events_per_user"
-    return rank_by_count(top_k(df, "username", k, n_col, is_human(), date), n_col)
+    return rank_by_count(top_k(df, "username", k, n_col, is_human(), date, weight), n_col)
 
 
-def top_repos(df: DataFrame, k: int = 3, date: DateLike | None = None, key: str = "repo_name") -> DataFrame:
+def top_repos(
+    df: DataFrame, k: int = 3, date: DateLike | None = None, key: str = "repo_name", weight: str | None = None
+) -> DataFrame:
     """The most active repositories.
 
     By default repositories of one name count together whoever owns them;
     ``key="repo"`` keeps owners apart.
     """
-    return top_k(df, key, k, date=date)
+    return top_k(df, key, k, date=date, weight=weight)
 
 
-def top_orgs(df: DataFrame, k: int = 5, date: DateLike | None = None) -> DataFrame:
+def top_orgs(df: DataFrame, k: int = 5, date: DateLike | None = None, weight: str | None = None) -> DataFrame:
     """The most active organisations."""
-    return top_k(df, "org_name", k, where=F.col("org_name").isNotNull(), date=date)
+    return top_k(df, "org_name", k, where=F.col("org_name").isNotNull(), date=date, weight=weight)
 
 
-def most_starred(df: DataFrame, k: int = 5, date: DateLike | None = None) -> DataFrame:
+def most_starred(df: DataFrame, k: int = 5, date: DateLike | None = None, weight: str | None = None) -> DataFrame:
     """The repositories starred most often, owner and name apart."""
-    top = top_k(df, "repo", k, "no_of_watchers", is_type(STAR), date)
+    starred = is_type(STAR) if weight is None else F.col(weight) > 0
+    top = top_k(df, "repo", k, "no_of_watchers", starred, date, weight)
     return top.select(
         "event_date",
         "repo",
@@ -94,9 +103,12 @@ def most_starred(df: DataFrame, k: int = 5, date: DateLike | None = None) -> Dat
     )
 
 
-def most_pushed(df: DataFrame, k: int = 3, date: DateLike | None = None, key: str = "repo_name") -> DataFrame:
+def most_pushed(
+    df: DataFrame, k: int = 3, date: DateLike | None = None, key: str = "repo_name", weight: str | None = None
+) -> DataFrame:
     """The repositories pushed to most often."""
-    return top_k(df, key, k, "no_of_pushes", is_type(PUSH), date)
+    pushed = is_type(PUSH) if weight is None else F.col(weight) > 0
+    return top_k(df, key, k, "no_of_pushes", pushed, date, weight)
 
 
 def leaders_per_hour(df: DataFrame, key: str = "repo_name", date: DateLike | None = None) -> DataFrame:

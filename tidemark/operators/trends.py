@@ -9,39 +9,76 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.time import hour_start
 from tidemark.operators.cleaning import scoped
+from tidemark.operators.ranking import top_k
 from tidemark.params import DateLike
 
 
-def keep_top(df: DataFrame, top: DataFrame, on: Sequence[str], bounded: bool = False) -> DataFrame:
+# Names that may be sent to every task; beyond this they are joined by shuffle.
+MAX_SENT_NAMES = 100_000
+
+
+def keep_top(df: DataFrame, top: DataFrame, on: Sequence[str], rows: int | None = None) -> DataFrame:
     """Rows whose key is among the top ones.
 
-    ``bounded`` says that ``top`` is known to be small, such as the k rows of
-    one day, and may be sent to every task; otherwise Spark goes by its
-    measured size.
+    ``rows`` is the known number of rows of ``top``: few are sent to every
+    task. Without it Spark goes by measured sizes.
     """
     names = top.select(*on)
-    return df.join(F.broadcast(names) if bounded else names, list(on), "left_semi")
+    few = rows is not None and rows <= MAX_SENT_NAMES
+    return df.join(F.broadcast(names) if few else names, list(on), "left_semi")
+
+
+def hourly_counts(df: DataFrame, key: str) -> DataFrame:
+    """Events per name and hour of each day; events without a name are left out."""
+    return (
+        df.where(F.col(key).isNotNull())
+        .groupBy("event_date", key, hour_start().alias("hour"))
+        .agg(F.count(F.lit(1)).alias("no_of_events"))
+    )
+
+
+def trend_of(df: DataFrame, top: DataFrame, key: str, rows: int | None = None) -> DataFrame:
+    """Events per hour of given names, one row per hour and name.
+
+    ``top`` holds (event_date, name); ``rows`` is its known size. Few names
+    filter the events before they are counted. Otherwise the events are
+    counted first and the join moves counts, of which a name has 24 per day at
+    most, rather than events.
+    """
+    events = scoped(df, None)
+    on = ["event_date", key]
+    if rows is not None and rows <= MAX_SENT_NAMES:
+        trend = hourly_counts(keep_top(events, top, on, rows), key)
+    else:
+        trend = hourly_counts(events, key).join(top.select(*on), on)
+    return trend.select("event_date", "hour", key, "no_of_events")
 
 
 def trend_long(df: DataFrame, key: str, k: int, date: DateLike | None = None) -> DataFrame:
     """Events per hour of each day's k most active names, one row per hour and name.
 
-    One pass: events are counted per name and hour, the hours of a name (24 at
-    most) add up to its total, and the rank by total keeps the k best. Equal
-    totals are told apart by name, so the rank numbers names, not ties.
+    For one day the k names are found first and sent to every task. For many
+    days it is one pass: events are counted per name and hour, the hours of a
+    name (24 at most) add up to its total, and the rank by total keeps the k
+    best. Equal totals are told apart by name, so the rank numbers names.
+
+    A missing name takes a place in the ranking of repositories, as it does
+    in ``top_repos``, but has no trend.
     """
-    hourly = (
-        scoped(df, date)
-        .where(F.col(key).isNotNull())
-        .groupBy("event_date", key, hour_start().alias("hour"))
-        .agg(F.count(F.lit(1)).alias("no_of_events"))
+    events = scoped(df, date)
+    if key == "org_name":
+        events = events.where(F.col(key).isNotNull())
+    if date is not None:
+        return trend_of(events, top_k(events, key, k), key, rows=k)
+    hourly = events.groupBy("event_date", key, hour_start().alias("hour")).agg(
+        F.count(F.lit(1)).alias("no_of_events")
     )
     of_name = Window.partitionBy("event_date", key)
-    by_total = Window.partitionBy("event_date").orderBy(F.col("_total").desc(), F.col(key))
+    by_total = Window.partitionBy("event_date").orderBy(F.col("_total").desc(), F.col(key).asc_nulls_last())
     return (
         hourly.withColumn("_total", F.sum("no_of_events").over(of_name))
         .withColumn("_rank", F.dense_rank().over(by_total))
-        .where(F.col("_rank") <= k)
+        .where((F.col("_rank") <= k) & F.col(key).isNotNull())
         .select("event_date", "hour", key, "no_of_events")
     )
 

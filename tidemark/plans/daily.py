@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import contextlib
+from collections.abc import Iterable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import operators as op
+from tidemark.functions import repo_part
 from tidemark.params import DateLike, parse_date
-from tidemark.schemas import COMPLETION_TABLE, GOLD_LAYER, INGEST_COLUMN, SILVER_LAYER, SILVER_TABLE
-from tidemark.sources import day_exists, read_bronze, read_silver, read_table, write_partitioned
+from tidemark.schemas import (
+    COMPLETION_TABLE,
+    GOLD_LAYER,
+    INGEST_COLUMN,
+    SILVER_LAYER,
+    SILVER_TABLE,
+)
+from tidemark.session import checkpointed
+from tidemark.sources import day_exists, read_bronze, read_silver, write_partitioned
 
 
 def silver_frame(raw: DataFrame, extra: Sequence[str] = (), prefer_complete: bool = False) -> DataFrame:
@@ -59,19 +68,46 @@ def build_silver(
     return counts.get
 
 
-def gold_frames(events: DataFrame, date: DateLike | None = None) -> dict[str, DataFrame]:
-    """The nine summaries of an event table, unsaved; pivots are tidy."""
-    return {
-        "event_hour_distribution": op.hourly_type_counts(events, date),
-        "total_events_per_hour": op.events_per_hour(events, date),
-        "total_diff_events": op.events_per_type(events, date),
-        "top_10_real_users": op.top_real_users(events, date=date),
-        "top_3_repo_trend": op.trend_long(events, "repo_name", 3, date),
-        "top_3_org_trend": op.trend_long(events, "org_name", 5, date),
-        "most_starred_repos": op.most_starred(events, date=date),
-        "top_3_repos_by_pushes": op.most_pushed(events, date=date),
-        "overview_table": op.overview(events, date),
-    }
+@contextlib.contextmanager
+def summaries(events: DataFrame, date: DateLike | None = None) -> Iterator[dict[str, DataFrame]]:
+    """The nine summaries of an event table, unsaved; pivots are tidy.
+
+    Events per user, per repository, per organisation, and per hour and type
+    each serve several summaries. They are kept while the context is open, and
+    they are far fewer than the events; what a lost executor held of them is
+    counted again.
+    """
+    kept = [
+        op.user_counts(events, date),
+        op.repo_counts(events, date),
+        op.org_counts(events, date),
+        op.hourly_type_counts(events, date),
+    ]
+    users, repos, orgs, by_type = (counts.persist() for counts in kept)
+    named = repos.withColumn("repo_name", repo_part("repo", 1))
+    total = F.sum("no_of_events").alias("no_of_events")
+
+    def trend(top: DataFrame, key: str, k: int) -> DataFrame:
+        if date is not None:
+            return op.trend_of(op.on_day(events, date), top, key, rows=k)
+        names = checkpointed(top.select("event_date", key))
+        return op.trend_of(events, names, key, rows=names.count())
+
+    try:
+        yield {
+            "event_hour_distribution": by_type,
+            "total_events_per_hour": by_type.groupBy("event_date", "hour").agg(total),
+            "total_diff_events": by_type.groupBy("event_date", "type").agg(total),
+            "top_10_real_users": op.top_real_users(users, weight="n"),
+            "top_3_repo_trend": trend(op.top_repos(named, 3, weight="n"), "repo_name", 3),
+            "top_3_org_trend": trend(op.top_orgs(orgs, 5, weight="n"), "org_name", 5),
+            "most_starred_repos": op.most_starred(repos, weight="n_stars"),
+            "top_3_repos_by_pushes": op.most_pushed(named, weight="n_pushes"),
+            COMPLETION_TABLE: op.overview(events, date, users=users, repos=repos, orgs=orgs),
+        }
+    finally:
+        for counts in (users, repos, orgs, by_type):
+            counts.unpersist()
 
 
 def build_gold(
@@ -81,10 +117,10 @@ def build_gold(
 
     The overview is written last: its partition tells that a day is complete.
     """
-    frames = gold_frames(read_silver(spark, root, date), date)
-    for name in sorted(frames, key=lambda name: name == COMPLETION_TABLE):
-        write_partitioned(frames[name], root, GOLD_LAYER, name, register=register)
-    return list(frames)
+    with summaries(read_silver(spark, root, date), date) as frames:
+        for name, frame in frames.items():
+            write_partitioned(frame, root, GOLD_LAYER, name, register=register)
+        return list(frames)
 
 
 def run_day(

@@ -44,15 +44,16 @@ def _scan(
 
     A day is read from its own folder, so that only that folder is listed: a
     table of many years holds far more files than a driver wants to list for
-    one day. The partition columns come from the folder names all the same.
+    one day. The partition columns come from the folder names all the same. A
+    table or day that is not there reads as empty where its schema is known.
     """
     base = table_path(root, layer, table)
     reader = spark.read.option("basePath", base)
     if schema is not None:
         reader = reader.schema(schema)
-    if date is None:
-        return reader.parquet(base)
     try:
+        if date is None:
+            return reader.parquet(base)
         return reader.parquet(day_path(root, layer, table, date)).where(on_partition(date))
     except AnalysisException as err:
         if err.getCondition() != "PATH_NOT_FOUND" or schema is None:
@@ -123,19 +124,11 @@ def day_exists(
 
 
 def register_views(spark: SparkSession, root: str) -> list[str]:
-    """Temporary views for the event table and every stored summary."""
-    made = []
-    wanted = [(SILVER_LAYER, SILVER_TABLE)] + [(GOLD_LAYER, name) for name in GOLD_TABLES]
-    for layer, table in wanted:
-        try:
-            found = read_table(spark, root, table, layer=layer)
-        except AnalysisException as err:
-            if err.getCondition() != "PATH_NOT_FOUND":
-                raise
-            continue
-        found.createOrReplaceTempView(table)
-        made.append(table)
-    return made
+    """Temporary views for the event table and every daily summary."""
+    read_silver(spark, root).createOrReplaceTempView(SILVER_TABLE)
+    for name in GOLD_TABLES:
+        read_table(spark, root, name).createOrReplaceTempView(name)
+    return [SILVER_TABLE, *GOLD_TABLES]
 
 
 def run_sql(spark: SparkSession, query: str, root: str | None = None, **args) -> DataFrame:
