@@ -1,0 +1,198 @@
+"""Hourly gzip files through the scan, the cleaning and the event table."""
+
+import datetime as dt
+import gzip
+import json
+
+import pytest
+from conftest import DAY, details, plan, rows
+from pyspark.sql import functions as F
+
+from tidemark import operators as op
+from tidemark.plans import daily
+from tidemark.schemas import EVENT_COLUMNS, EXTRA_COLUMNS
+from tidemark.sources import day_exists, infer_bronze, read_bronze, read_silver
+
+
+def event(id, at="2024-03-10T02:15:00Z", **changes):
+    base = {
+        "id": id,
+        "type": "PushEvent",
+        "created_at": at,
+        "public": True,
+        "actor": {"id": 1, "login": "ann", "url": "u/ann"},
+        "repo": {"id": 2, "name": "own/lib", "url": "r/own/lib"},
+        "payload": {"action": "opened"},
+    }
+    base.update(changes)
+    return {k: v for k, v in base.items() if v is not None}
+
+
+def put(root, hour, lines, day=DAY):
+    folder = root / "bronze" / str(day)
+    folder.mkdir(parents=True, exist_ok=True)
+    text = "".join((line if isinstance(line, str) else json.dumps(line)) + "\n" for line in lines)
+    (folder / f"{day}-{hour}.json.gz").write_bytes(gzip.compress(text.encode()))
+
+
+@pytest.fixture
+def lake(tmp_path):
+    put(
+        tmp_path,
+        0,
+        [
+            event("1"),
+            event("2", org={"id": 9, "login": "acme"}, repo={"id": 3, "name": "noslash"}),
+            event("3", repo={"id": 4, "name": "a/b/c"}),
+            "this line is not JSON",
+            event("n1", type=None),
+            event("n2", actor={"id": 1}),
+            event("n3", repo={"id": 1}),
+            event("n4", payload=None),
+            event(None),
+        ],
+    )
+    put(
+        tmp_path,
+        2,
+        [
+            event("1", at="2024-03-10T02:15:01Z"),
+            event("4", at="2024-03-10T23:59:59Z"),
+            event("5", at="2024-03-10T00:00:00Z"),
+            event("6", at="2024-03-11T00:00:00Z"),
+            event("7", at="2024-03-09T20:00:00-08:00"),
+            event(
+                "8",
+                type="PullRequestEvent",
+                payload={
+                    "action": "closed",
+                    "pull_request": {"id": 77, "number": 5, "merged": True, "user": {"login": "bob"}},
+                    "comment": {"id": 6, "body": "two\nlines", "user": {"login": "cy"}},
+                    "size": 3,
+                },
+            ),
+        ],
+    )
+    return tmp_path
+
+
+def test_scan_keeps_every_line(spark, lake):
+    raw = read_bronze(spark, str(lake), DAY)
+    assert raw.count() == 15
+    # Only the line that is not JSON lacks everything.
+    assert raw.where("id is null").count() == 2
+    assert raw.where("source_file like '%2024-03-10-2.json.gz'").count() == 6
+
+
+def test_scan_of_some_hours_tolerates_a_missing_file(spark, lake):
+    assert read_bronze(spark, str(lake), DAY, hours=range(1, 4)).count() == 6
+    with pytest.raises(ValueError):
+        read_bronze(spark, str(lake), hours=[1])
+
+
+def test_scan_of_all_days(spark, lake):
+    put(lake, 5, [event("x")], dt.date(2024, 3, 12))
+    assert read_bronze(spark, str(lake)).count() == 16
+
+
+def test_inferred_scan(spark, lake):
+    found = infer_bronze(spark, str(lake / "bronze" / str(DAY)))
+    assert found.where("id = '8'").select("payload.pull_request.number").first()[0] == 5
+    assert "source_file" in found.columns
+
+
+def test_silver(spark, lake):
+    silver = daily.silver_frame(read_bronze(spark, str(lake), DAY))
+    assert silver.columns == [name for name, _, _ in EVENT_COLUMNS]
+    assert dict(silver.dtypes) == {name: dtype for name, dtype, _ in EVENT_COLUMNS}
+    assert rows(silver, "event_id", "repo_owner", "repo_name") == [
+        ("1", "own", "lib"),
+        ("2", "noslash", None),
+        ("3", "a", "b"),
+        ("4", "own", "lib"),
+        ("5", "own", "lib"),
+        ("6", "own", "lib"),
+        ("7", "own", "lib"),
+        ("8", "own", "lib"),
+    ]
+    by_id = {r.event_id: r for r in silver.collect()}
+    assert by_id["1"].created_at == dt.datetime(2024, 3, 10, 2, 15)
+    assert by_id["7"].created_at == dt.datetime(2024, 3, 10, 4)
+    assert by_id["2"].org_name == "acme" and by_id["1"].org_name is None
+    assert (by_id["8"].pr_id, by_id["8"].comment_body, by_id["8"].comment_user) == (77, "two\nlines", "cy")
+    assert by_id["1"].source_file.endswith("2024-03-10-0.json.gz")
+
+
+def test_times_do_not_depend_on_the_session_zone(new_york, lake):
+    silver = daily.silver_frame(read_bronze(new_york, str(lake), DAY))
+    found = {r[0]: r[1:] for r in rows(silver, "event_id", F.col("created_at").cast("string"), "day")}
+    assert found["1"] == ("2024-03-10 02:15:00", 10)
+    assert found["5"] == ("2024-03-10 00:00:00", 10)
+    assert found["6"] == ("2024-03-11 00:00:00", 11)
+    # 02:15 does not exist in New York on that day.
+    hours = op.leaders_per_hour(silver.where("event_id = '1'"))
+    assert hours.select(F.col("hour").cast("string")).first()[0] == "2024-03-10 02:00:00"
+    per_hour = op.day_trend(op.events_per_hour(silver.where("event_id = '1'")))
+    assert per_hour.select(F.col("hour").cast("string")).first()[0] == "2024-03-10 02:00:00"
+
+
+def test_extra_columns(spark, lake):
+    raw = read_bronze(spark, str(lake), DAY)
+    wide = daily.silver_frame(raw, extra=tuple(EXTRA_COLUMNS))
+    row = wide.where("event_id = '8'").first()
+    assert (row.pr_number, row.pr_merged, row.pr_user, row.commit_count) == (5, True, "bob", 3)
+    assert row.payload.action == "closed"
+    daily.build_silver(spark, str(lake), DAY, extra=("pr_merged", "payload"))
+    stored = read_silver(spark, str(lake), DAY, extra=("pr_merged", "payload"))
+    assert stored.where("pr_merged").select("payload.comment.id").first()[0] == 6
+
+
+def test_copies_lose_to_the_earliest_whatever_the_file_order(spark, tmp_path):
+    put(tmp_path, 0, [event("1", at="2024-03-10T01:00:05Z", type="B"), event("1", at="2024-03-10T01:00:05Z", type="A")])
+    put(tmp_path, 1, [event("1", at="2024-03-10T01:00:00Z", type="C", actor={"id": 4})])
+    raw = read_bronze(spark, str(tmp_path), DAY)
+    assert op.dedupe(raw).select("type").collect() == [("C",)]
+    # The incomplete copy wins and is then dropped, unless complete ones are preferred.
+    assert op.drop_incomplete(op.dedupe(raw)).isEmpty()
+    assert rows(op.drop_incomplete(op.dedupe(raw, prefer_complete=True)), "type") == [("A",)]
+
+
+def test_a_hot_id_is_pruned_before_the_shuffle(spark, lake):
+    text = plan(op.dedupe(read_bronze(spark, str(lake), DAY)))
+    assert text.index("Final") < text.index("Exchange") < text.index("Partial")
+
+
+def test_build_is_repeatable_and_spares_the_neighbour(spark, lake):
+    root, next_day = str(lake), dt.date(2024, 3, 11)
+    put(lake, 0, [event("20", at="2024-03-11T05:00:00Z")], next_day)
+    assert not day_exists(spark, root, DAY, "silver", "silver_raw")
+    assert daily.build_silver(spark, root, next_day) == {"rows": 1, "outside_their_day": 0}
+    assert daily.build_silver(spark, root, DAY) == {"rows": 8, "outside_their_day": 1}
+    before = rows(read_silver(spark, root))
+    assert len(before) == 9
+    assert rows(read_silver(spark, root, next_day), "event_id") == [("20",), ("6",)]
+    daily.build_silver(spark, root, DAY)
+    assert rows(read_silver(spark, root)) == before
+    assert day_exists(spark, root, DAY, "silver", "silver_raw")
+    # All days at once give the same table.
+    daily.build_silver(spark, root)
+    assert rows(read_silver(spark, root)) == before
+
+
+def test_day_without_usable_rows(spark, tmp_path):
+    put(tmp_path, 0, ["junk"])
+    assert daily.build_silver(spark, str(tmp_path), DAY) == {"rows": 0, "outside_their_day": 0}
+    assert read_silver(spark, str(tmp_path), DAY).isEmpty()
+    daily.build_gold(spark, str(tmp_path), DAY)
+
+
+def test_stored_day_is_read_from_its_own_folder(spark, lake):
+    daily.build_silver(spark, str(lake))
+    day = read_silver(spark, str(lake), DAY)
+    assert all("year=2024/month=3/day=10" in path for path in day.inputFiles())
+    text = details(day.groupBy("type").count())
+    assert "(day#" in text and "ReadSchema: struct<type:string>" in text
+    later = op.on_day(read_silver(spark, str(lake)), "2024-03-11")
+    assert rows(later, "event_id") == [("6",)]
+    text = details(later)
+    assert "PartitionFilters: [isnotnull(year" in text and "GreaterThanOrEqual(created_at" in text
