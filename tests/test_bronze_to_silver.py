@@ -164,13 +164,14 @@ def test_a_hot_id_is_pruned_before_the_shuffle(spark, lake):
 
 def test_build_is_repeatable_and_spares_the_neighbour(spark, lake):
     root, next_day = str(lake), dt.date(2024, 3, 11)
-    put(lake, 0, [event("20", at="2024-03-11T05:00:00Z")], next_day)
+    # Event 6 is delivered with both days; each day's files are deduplicated apart.
+    put(lake, 0, [event("20", at="2024-03-11T05:00:00Z"), event("6", at="2024-03-11T00:00:00Z")], next_day)
     assert not day_exists(spark, root, DAY, "silver", "silver_raw")
-    assert daily.build_silver(spark, root, next_day) == {"rows": 1, "outside_their_day": 0}
+    assert daily.build_silver(spark, root, next_day) == {"rows": 2, "outside_their_day": 0}
     assert daily.build_silver(spark, root, DAY) == {"rows": 8, "outside_their_day": 1}
     before = rows(read_silver(spark, root))
-    assert len(before) == 9
-    assert rows(read_silver(spark, root, next_day), "event_id") == [("20",), ("6",)]
+    assert len(before) == 10
+    assert rows(read_silver(spark, root, next_day), "event_id") == [("20",), ("6",), ("6",)]
     daily.build_silver(spark, root, DAY)
     assert rows(read_silver(spark, root)) == before
     assert day_exists(spark, root, DAY, "silver", "silver_raw")

@@ -16,6 +16,9 @@ from tidemark.params import DateLike
 # Names that may be sent to every task; beyond this they are joined by shuffle.
 MAX_SENT_NAMES = 100_000
 
+# Widest view that is built, the same as Spark's own limit for pivots.
+MAX_COLUMNS = 10_000
+
 
 def keep_top(df: DataFrame, top: DataFrame, on: Sequence[str], rows: int | None = None) -> DataFrame:
     """Rows whose key is among the top ones.
@@ -85,8 +88,11 @@ def trend_long(df: DataFrame, key: str, k: int, date: DateLike | None = None) ->
 
 def label_values(tidy: DataFrame, label: str) -> list[str]:
     """The labels of a tidy result, sorted: the columns of its wide view."""
-    rows = tidy.where(F.col(label).isNotNull()).select(label).distinct().orderBy(label).collect()
-    return [row[0] for row in rows]
+    labels = tidy.where(F.col(label).isNotNull()).select(label).distinct()
+    found = labels.limit(MAX_COLUMNS + 1).collect()
+    if len(found) > MAX_COLUMNS:
+        raise ValueError(f"more than {MAX_COLUMNS} values of {label}: use the tidy form, or fewer days")
+    return sorted(row[0] for row in found)
 
 
 def widen(tidy: DataFrame, label: str, value: str, names: Sequence[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 from collections.abc import Iterable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import operators as op
@@ -18,13 +18,19 @@ from tidemark.schemas import (
     SILVER_LAYER,
     SILVER_TABLE,
 )
-from tidemark.session import checkpointed
 from tidemark.sources import day_exists, read_bronze, read_silver, write_partitioned
 
 
-def silver_frame(raw: DataFrame, extra: Sequence[str] = (), prefer_complete: bool = False) -> DataFrame:
+def silver_frame(
+    raw: DataFrame, extra: Sequence[str] = (), prefer_complete: bool = False, keys: Sequence[str] = ("id",)
+) -> DataFrame:
     """Raw events deduplicated, checked and flattened."""
-    return op.flatten(op.drop_incomplete(op.dedupe(raw, prefer_complete=prefer_complete)), extra)
+    return op.flatten(op.drop_incomplete(op.dedupe(raw, keys, prefer_complete=prefer_complete)), extra)
+
+
+def _file_day() -> Column:
+    """Day of the folder a raw file lies in."""
+    return F.try_to_date(F.regexp_extract("source_file", r"(\d{4}-\d{2}-\d{2})/[^/]+$", 1))
 
 
 def build_silver(
@@ -41,14 +47,18 @@ def build_silver(
     An event may be dated outside the day of the file it came in. Below the
     event's own day the table is therefore partitioned by the day of the file:
     building a day again replaces what its files gave before, and nothing that
-    a neighbouring day's files gave. Returns how many rows were written and how
-    many of them lie outside their file's day.
+    a neighbouring day's files gave. Copies of an event are looked for among
+    the files of one day, so building all days at once gives the same table as
+    building them one by one. Returns how many rows were written and how many
+    of them lie outside their file's day.
     """
-    events = silver_frame(read_bronze(spark, root, date, hours), extra, prefer_complete)
+    raw = read_bronze(spark, root, date, hours)
+    ingest = _file_day() if date is None else F.lit(parse_date(date))
+    keys = ["id"]
     if date is None:
-        ingest = F.to_date(F.regexp_extract("source_file", r"(\d{4}-\d{2}-\d{2})/[^/]+$", 1))
-    else:
-        ingest = F.lit(parse_date(date))
+        raw = raw.withColumn(INGEST_COLUMN, ingest)
+        keys.append(INGEST_COLUMN)
+    events = silver_frame(raw, extra, prefer_complete, keys)
     counts = Observation()
     events = events.withColumn(INGEST_COLUMN, ingest).observe(
         counts,
@@ -62,7 +72,7 @@ def build_silver(
         SILVER_TABLE,
         date_col="created_at",
         partition_by=[INGEST_COLUMN],
-        rebalance=date is None,
+        gather="size" if date is None else None,
         register=register,
     )
     return counts.get
@@ -90,8 +100,8 @@ def summaries(events: DataFrame, date: DateLike | None = None) -> Iterator[dict[
     def trend(top: DataFrame, key: str, k: int) -> DataFrame:
         if date is not None:
             return op.trend_of(op.on_day(events, date), top, key, rows=k)
-        names = checkpointed(top.select("event_date", key))
-        return op.trend_of(events, names, key, rows=names.count())
+        # A small result: how many names there are decides how they are joined.
+        return op.trend_of(events, top, key, rows=top.count())
 
     try:
         yield {
@@ -117,9 +127,10 @@ def build_gold(
 
     The overview is written last: its partition tells that a day is complete.
     """
+    gather = "day" if date is None else "size"
     with summaries(read_silver(spark, root, date), date) as frames:
         for name, frame in frames.items():
-            write_partitioned(frame, root, GOLD_LAYER, name, register=register)
+            write_partitioned(frame, root, GOLD_LAYER, name, gather=gather, register=register)
         return list(frames)
 
 

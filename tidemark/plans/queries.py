@@ -147,12 +147,14 @@ def _adhoc_top_orgs(spark, sf_dir):
 
 _on_events("top_repo_trend_long", lambda ev: op.trend_long(ev, "repo_name", 3))
 _on_events("top_org_trend_long", lambda ev: op.trend_long(ev, "org_name", 5))
-_on_events(
-    "events_of_top_repos",
-    lambda ev: op.keep_top(ev, op.top_repos(ev), ["event_date", "repo_name"]).select(
-        "event_date", "event_id", "repo_name", "type"
-    ),
-)
+
+
+@query("events_of_top_repos")
+def _events_of_top_repos(spark, sf_dir):
+    events = activity_events(spark, sf_dir)
+    top = checkpointed(op.top_repos(events))
+    kept = op.keep_top(events, top, ["event_date", "repo_name"], rows=top.count())
+    return kept.select("event_date", "event_id", "repo_name", "type")
 
 
 def _wide(ev: DataFrame, key: str, k: int) -> DataFrame:

@@ -24,22 +24,30 @@ def write_partitioned(
     table: str,
     date_col: str = "event_date",
     partition_by: Sequence[str] = (),
-    rebalance: bool = True,
+    gather: str | None = "day",
     register: bool = False,
 ) -> str:
     """Write rows into day partitions, replacing the partitions they fall into.
 
-    Writing the same day again leaves the same rows. ``rebalance`` brings the
-    rows of a day together so that a day becomes few files; adaptive execution
-    splits a day that is too large for one task. Leave it off where the rows
-    are all of one day anyway. ``partition_by`` adds partition columns below
-    the day.
+    Writing the same day again leaves the same rows. ``partition_by`` adds
+    partition columns below the day. ``gather`` brings the rows of a day
+    together, so that a day becomes few files:
+
+    - ``"day"`` gives each day to one task, for results of a few rows per day;
+    - ``"size"`` lets adaptive execution go by size: it joins small days in
+      one task and splits a day that is too large for one;
+    - ``None`` leaves rows where they are, for rows that are all of one day.
     """
     parts = {"year": F.year, "month": F.month, "day": F.day}
     out = df.withColumns({name: part(F.col(date_col)) for name, part in parts.items()})
     keys = [*DAY_PARTS, *partition_by]
-    if rebalance:
-        out = out.hint("rebalance", *[F.col(k) for k in keys])
+    columns = [F.col(k) for k in keys]
+    if gather == "day":
+        out = out.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+    elif gather == "size":
+        out = out.hint("rebalance", *columns)
+    elif gather is not None:
+        raise ValueError(f"unknown way to gather rows: {gather!r}")
     path = table_path(root, layer, table)
     (
         out.write.mode("overwrite")
