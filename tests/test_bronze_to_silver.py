@@ -175,9 +175,11 @@ def test_build_is_repeatable_and_spares_the_neighbour(spark, lake):
     daily.build_silver(spark, root, DAY)
     assert rows(read_silver(spark, root)) == before
     assert day_exists(spark, root, DAY, "silver", "silver_raw")
-    # All days at once give the same table.
+    # All days at once give the same table, also in another place.
     daily.build_silver(spark, root)
     assert rows(read_silver(spark, root)) == before
+    daily.build_silver(spark, root, lake=f"{root}/other")
+    assert rows(read_silver(spark, f"{root}/other")) == before
 
 
 def test_day_without_usable_rows(spark, tmp_path):
@@ -195,5 +197,8 @@ def test_stored_day_is_read_from_its_own_folder(spark, lake):
     assert "(day#" in text and "ReadSchema: struct<type:string>" in text
     later = op.on_day(read_silver(spark, str(lake)), "2024-03-11")
     assert rows(later, "event_id") == [("6",)]
-    text = details(later)
-    assert "PartitionFilters: [isnotnull(year" in text and "GreaterThanOrEqual(created_at" in text
+    assert "PartitionFilters: [isnotnull(year" in details(later)
+    bare = read_silver(spark, str(lake)).drop("year", "month", "day")
+    later = op.on_day(bare, "2024-03-11")
+    assert rows(later, "event_id") == [("6",)]
+    assert "GreaterThanOrEqual(created_at" in details(later)

@@ -6,7 +6,7 @@ import pytest
 from conftest import SF_DIR, details, rows
 
 from tidemark import operators as op
-from tidemark.fixtures import activity_events, bronze_root
+from tidemark.fixtures import bronze_root
 from tidemark.plans import daily
 from tidemark.schemas import GOLD_TABLES
 from tidemark.sources import (
@@ -28,17 +28,7 @@ ONE = dt.date(2024, 1, 7)
 def lake(spark, tmp_path_factory):
     """All days built from raw files."""
     root = str(tmp_path_factory.mktemp("lake"))
-    raw = bronze_root(spark, SF_DIR)
-    events = daily.silver_frame(daily.read_bronze(spark, raw))
-    write_partitioned(
-        events.selectExpr("*", "to_date(created_at) AS ingest_date"),
-        root,
-        "silver",
-        "silver_raw",
-        date_col="created_at",
-        partition_by=["ingest_date"],
-    )
-    daily.build_gold(spark, root)
+    daily.run_all(spark, bronze_root(spark, SF_DIR), lake=root)
     return root
 
 

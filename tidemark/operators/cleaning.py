@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
+import operator
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -79,18 +81,17 @@ def flatten(df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
 def on_day(df: DataFrame, date: DateLike, ts_col: str = "created_at") -> DataFrame:
     """Rows of one calendar day.
 
-    The half-open range reaches the Parquet row groups; where the table is
-    partitioned by day, the partition columns prune whole folders.
+    The event table's partition columns are the day of its timestamp: they
+    prune whole folders, and the timestamp need not be read. Elsewhere a
+    half-open range on the timestamp reaches the Parquet row groups.
     """
     day = parse_date(date)
+    if ts_col == "created_at" and set(DAY_PARTS) <= set(df.columns):
+        return df.where(functools.reduce(operator.and_, [F.col(name) == getattr(day, name) for name in DAY_PARTS]))
     ts = F.col(ts_col)
-    kind = "timestamp" if dict(df.dtypes)[ts_col] == "timestamp" else "timestamp_ntz"
+    kind = dict(df.dtypes)[ts_col]
     start, end = (F.lit(str(d)).cast(kind) for d in (day, day + dt.timedelta(days=1)))
-    kept = df.where((ts >= start) & (ts < end))
-    if set(DAY_PARTS) <= set(df.columns):
-        for name in DAY_PARTS:
-            kept = kept.where(F.col(name) == getattr(day, name))
-    return kept
+    return df.where((ts >= start) & (ts < end))
 
 
 def quoted(name: str) -> str:

@@ -41,9 +41,12 @@ def build_silver(
     extra: Sequence[str] = (),
     prefer_complete: bool = False,
     register: bool = False,
+    lake: str | None = None,
 ) -> dict[str, int]:
     """Build the event table from the raw files of one day or of all days.
 
+    ``lake`` is where the tables go, if not to the root of the raw files.
+
     An event may be dated outside the day of the file it came in. Below the
     event's own day the table is therefore partitioned by the day of the file:
     building a day again replaces what its files gave before, and nothing that
@@ -67,7 +70,7 @@ def build_silver(
     )
     write_partitioned(
         events,
-        root,
+        lake or root,
         SILVER_LAYER,
         SILVER_TABLE,
         date_col="created_at",
@@ -151,8 +154,10 @@ def run_day(
     return {"date": day, "built": True, **counts}
 
 
-def run_all(spark: SparkSession, root: str, register: bool = False) -> dict[str, object]:
+def run_all(
+    spark: SparkSession, root: str, register: bool = False, lake: str | None = None
+) -> dict[str, int]:
     """Build every day that has raw files, in one go."""
-    counts = build_silver(spark, root, register=register)
-    build_gold(spark, root, register=register)
+    counts = build_silver(spark, root, register=register, lake=lake)
+    build_gold(spark, lake or root, register=register)
     return counts

@@ -179,7 +179,7 @@ SELECT type, count(*) AS n, count(username) AS with_login, count(comment_id) AS
     "bronze_inferred": f"WITH {EVENTS}, {RAW} SELECT event_id, type, repo, action FROM raw",
     "silver_flatten": f"WITH {EVENTS}, {RAW}, {SILVER} SELECT * FROM silver",
     "dedupe_events": f"""WITH {EVENTS}, {RAW}
-SELECT event_id, type, strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') AS at FROM kept""",
+SELECT event_id, type, created_at FROM kept""",
     "null_checked_events": f"""WITH {EVENTS}, {RAW}
 SELECT event_id, type, username FROM kept
 WHERE event_id IS NOT NULL AND type IS NOT NULL AND username IS NOT NULL AND repo IS NOT NULL""",

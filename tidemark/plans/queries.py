@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark import operators as op
 from tidemark.fixtures import EVENT_TYPES, activity_events, bronze_root, raw_events
-from tidemark.functions import is_human, rate_band, ratio_reading
+from tidemark.functions import is_human, rate_band, ratio_reading, utc_wall_clock
 from tidemark.plans import daily
 from tidemark.schemas import REQUIRED_PATHS
 from tidemark.session import checkpointed, shared_dir
@@ -86,9 +86,7 @@ def _silver_flatten(spark, sf_dir):
 @query("dedupe_events")
 def _dedupe_events(spark, sf_dir):
     kept = op.dedupe(_raw(spark, sf_dir), order=["created_at"])
-    return kept.select(
-        F.col("id").alias("event_id"), "type", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at")
-    )
+    return kept.select(F.col("id").alias("event_id"), "type", utc_wall_clock("created_at").alias("created_at"))
 
 
 @query("null_checked_events")
@@ -216,13 +214,13 @@ def _gold_roundtrip(spark, sf_dir):
 
 @query("silver_roundtrip")
 def _silver_roundtrip(spark, sf_dir):
-    root = bronze_root(spark, sf_dir)
-    daily.build_silver(spark, root)
-    return read_silver(spark, root).drop("source_file")
+    lake = _new_root(spark)
+    daily.build_silver(spark, bronze_root(spark, sf_dir), lake=lake)
+    return read_silver(spark, lake).drop("source_file")
 
 
 @query("whole_run_overview")
 def _whole_run_overview(spark, sf_dir):
-    root = bronze_root(spark, sf_dir)
-    daily.run_all(spark, root)
-    return read_table(spark, root, "overview_table")
+    lake = _new_root(spark)
+    daily.run_all(spark, bronze_root(spark, sf_dir), lake=lake)
+    return read_table(spark, lake, "overview_table")
