@@ -157,6 +157,16 @@ def test_trend_names_with_dots_case_and_clashes(make_events):
     assert op.select_columns(wide, ["hour", "x.js"]).columns == ["hour", "x.js"]
 
 
+def test_filled_trend_keeps_hours_of_names_nobody_asked_for(make_events):
+    made = [("a/x", 1, 10), ("a/x", 1, 10), ("a/y", 2, 10), ("a/x", 3, 11), ("a/y", 3, 11), ("a/y", 3, 11)]
+    events = make_events([{"repo": r, "created_at": at(h, day=d)} for r, h, d in made])
+    tidy = op.trend_long(events, "repo_name", 2)
+    one = op.trend_filled(tidy, ["x"], DAY)
+    assert [tuple(r)[1:] for r in one.collect()] == [(at(1), 2), (at(2), 0)]
+    by_day = op.trend_filled(tidy, ["x", "y"], asked=op.top_counted(events, "repo_name", 1))
+    assert [tuple(r)[1:] for r in by_day.collect()] == [(at(1), 2, 0), (at(2), 0, 0), (at(3, day=11), 0, 2)]
+
+
 def test_trend_without_names(make_events):
     tidy = op.trend_long(make_events([{"org_name": None}]), "org_name", 5)
     assert op.label_values(tidy, "org_name") == []

@@ -63,14 +63,25 @@ def peak_hours(t: DataFrame, date: DateLike | None = None, k: int = 3) -> DataFr
 
 
 def trend_filled(
-    t: DataFrame, names: Sequence[str], date: DateLike | None = None, key: str = "repo_name"
+    t: DataFrame,
+    names: Sequence[str],
+    date: DateLike | None = None,
+    key: str = "repo_name",
+    asked: DataFrame | None = None,
 ) -> DataFrame:
     """A stored tidy trend as one column per name, 0 where a name had no event.
 
     Every hour of the stored trend stays, also one in which only other names
-    were active.
+    were active. Over many days the names asked for may differ by day: then
+    ``asked`` holds them as (event_date, name), and a name counts only on its
+    days.
     """
-    return fill_zero(widen(_for_day(t, date), key, "no_of_events", names), names)
+    shown = _for_day(t, date)
+    if asked is not None:
+        marks = asked.select("event_date", key, F.lit(True).alias("_asked"))
+        joined = shown.join(marks, ["event_date", key], "left")
+        shown = joined.withColumn(key, F.when(F.col("_asked"), F.col(key)))
+    return fill_zero(widen(shown, key, "no_of_events", names), names)
 
 
 def starred_cards(t: DataFrame, date: DateLike | None = None, k: int = 3) -> DataFrame:

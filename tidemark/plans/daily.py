@@ -18,6 +18,7 @@ from tidemark.schemas import (
     SILVER_LAYER,
     SILVER_TABLE,
 )
+from tidemark.session import checkpointed
 from tidemark.sources import day_exists, read_bronze, read_silver, write_partitioned
 
 
@@ -103,8 +104,9 @@ def summaries(events: DataFrame, date: DateLike | None = None) -> Iterator[dict[
     def trend(top: DataFrame, key: str, k: int) -> DataFrame:
         if date is not None:
             return op.trend_of(op.on_day(events, date), top, key, rows=k)
-        # A small result: how many names there are decides how they are joined.
-        return op.trend_of(events, top, key, rows=top.count())
+        # A small result, written once: how many names there are decides how they are joined.
+        names = checkpointed(top.select("event_date", key))
+        return op.trend_of(events, names, key, rows=names.count())
 
     try:
         yield {

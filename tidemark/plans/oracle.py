@@ -130,13 +130,13 @@ def _pivot(key: str) -> str:
 
 def _filled(key: str, k: int, labels: list[str]) -> str:
     cells = ", ".join(
-        f"CAST(coalesce(sum(no_of_events) FILTER ({key} = '{name}'), 0) AS BIGINT) AS {name}" for name in labels
-    )
-    return (
-        f"WITH {EVENTS}, {_trend(key, k)}, asked AS (SELECT event_date, {key} FROM ev WHERE {key} IS NOT NULL "
-        f"GROUP BY event_date, {key} QUALIFY row_number() OVER (PARTITION BY event_date ORDER BY count({key}) DESC, {key}) <= 3) "
-        f"SELECT event_date, hour, {cells} FROM trend SEMI JOIN asked USING (event_date, {key}) GROUP BY ALL"
+        f"CAST(coalesce(sum(no_of_events) FILTER (wanted = '{name}'), 0) AS BIGINT) AS {name}" for name in labels
     )
+    return f"""WITH {EVENTS}, {_trend(key, k)},
+asked AS (
+  SELECT event_date, {key}, {key} AS wanted FROM ev WHERE {key} IS NOT NULL GROUP BY event_date, {key}
+  QUALIFY row_number() OVER (PARTITION BY event_date ORDER BY count({key}) DESC, {key}) <= 3)
+SELECT event_date, hour, {cells} FROM trend LEFT JOIN asked USING (event_date, {key}) GROUP BY event_date, hour"""
 
 
 def _adhoc(key: str) -> str:
@@ -268,6 +268,7 @@ SELECT event_date, {_band('pr_merge_rate')} AS merge_band, {_band('pr_merged_rat
 FROM overview""",
     "ratio_reading": f"WITH {EVENTS}, {OVERVIEW} SELECT event_date, {READING} AS reading FROM overview",
     "gold_roundtrip": f"WITH {EVENTS}, {OVERVIEW} {WITH_PARTS}",
+    "stored_wide_trend": f"WITH {EVENTS}, {_trend('org_name', 5)} {_pivot('org_name')}",
     "silver_roundtrip": f"WITH {EVENTS}, {RAW}, {SILVER} SELECT * FROM silver",
     "whole_run_overview": f"WITH {EVENTS}, {RAW}, {SILVER}, {_overview('silver')} {WITH_PARTS}",
 }
