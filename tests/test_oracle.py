@@ -22,10 +22,5 @@ def test_entry(spark):
 
 @pytest.mark.parametrize("name", sorted(driver.queries()))
 def test_query(spark, tables, name):
-    # The adaptive plan of the last query may leave a wide result behind.
-    found = compare(driver.queries()[name](spark, SF_DIR), tables, _sql(name))
+    found = compare(driver.queries()[name](spark, SF_DIR), tables, driver.oracle_sql()[name])
     assert found > 0
-
-
-def _sql(name):
-    return driver.oracle_sql()[name]
