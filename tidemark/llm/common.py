@@ -84,21 +84,25 @@ def filter_slot(key: Column, bits: int = FILTER_BITS) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(bits))
 
 
-def id_filter(df: DataFrame, key: str, bits: int = FILTER_BITS) -> np.ndarray:
-    """A bitmap of the hashed keys, of ``bits`` bits whatever the number of rows.
+def slot_filter(df: DataFrame, slot: Column, bits: int = FILTER_BITS) -> np.ndarray:
+    """A bitmap with the slots of all rows set, of ``bits`` bits whatever the number of rows.
 
-    A key of ``df`` always passes, another one may: the filter saves work, and a
-    join afterwards decides. Put ``filter_slot`` of the other side through ``passes``.
+    Use: a key of ``df`` always passes, another one may. That saves work; a join or a
+    comparison afterwards decides.
     """
-    slots = df.select(filter_slot(F.col(key), bits).alias("slot"))
     part, place = F.floor(F.col("slot") / BITMAP_BITS), F.pmod(F.col("slot"), F.lit(BITMAP_BITS))
-    found = slots.groupBy(part.alias("part")).agg(F.bitmap_construct_agg(place).alias("bitmap"))
+    found = df.select(slot.cast("long").alias("slot")).where("slot is not null").groupBy(part.alias("part"))
     packed = np.zeros(math.ceil(bits / BITMAP_BITS) * BITMAP_BITS // 8, np.uint8)
-    for row in found.collect():  # bits / BITMAP_BITS rows at most
+    for row in found.agg(F.bitmap_construct_agg(place).alias("bitmap")).collect():  # bits / BITMAP_BITS rows at most
         start = row["part"] * BITMAP_BITS // 8
         packed[start : start + BITMAP_BITS // 8] = np.frombuffer(bytes(row["bitmap"]), np.uint8)
     return packed
 
 
+def id_filter(df: DataFrame, key: str) -> np.ndarray:
+    """The filter of a column's values; the other side looks up its ``filter_slot``."""
+    return slot_filter(df, filter_slot(F.col(key)))
+
+
 def passes(packed: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (packed[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm import exact_dedup as exact
 from tidemark.llm.common import table
 from tidemark.llm.jaccard_join import jaccard_join
 
@@ -25,3 +26,11 @@ def query(name: str) -> Callable[[Query], Query]:
 @query("op2_ngram_jaccard_join")
 def _op2(spark, sf_dir):
     return jaccard_join(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
+@query("op5_exact_dedup")
+def _op5(spark, sf_dir):
+    return exact.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op5_exact_dedup"] = exact.SQL
