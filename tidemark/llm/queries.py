@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import exact_dedup as exact
+from tidemark.llm import line_dedup as lines
 from tidemark.llm.common import table
 from tidemark.llm.jaccard_join import jaccard_join
 
@@ -34,3 +35,12 @@ def _op5(spark, sf_dir):
 
 
 ORACLE["op5_exact_dedup"] = exact.SQL
+
+
+@query("op8_line_dedup")
+def _op8(spark, sf_dir):
+    """Documents as the pages of their source."""
+    return lines.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+ORACLE["op8_line_dedup"] = lines.SQL
