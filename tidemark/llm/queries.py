@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import exact_dedup as exact
 from tidemark.llm import line_dedup as lines
+from tidemark.llm import secret_scan as secrets
 from tidemark.llm.common import table
 from tidemark.llm.jaccard_join import jaccard_join
 
@@ -44,3 +45,8 @@ def _op8(spark, sf_dir):
 
 
 ORACLE["op8_line_dedup"] = lines.SQL
+
+
+@query("op3_secret_scan")
+def _op3(spark, sf_dir):
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
