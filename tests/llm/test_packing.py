@@ -1,0 +1,124 @@
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from conftest import SF_DIR
+from helpers import DOCS
+from tokenizers import Tokenizer
+
+from tidemark.llm import packing as pk
+from tidemark.llm.queries import QUERIES
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    found = Tokenizer.from_file(PATH)
+    found.encode_special_tokens = True
+    return found
+
+
+def check(got, docs, tokenizer, capacity):
+    """Pieces are those of the plain tokenizer, and sequences are whole and gapless."""
+    want = []
+    for doc_id, text in docs:
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+        for i, at in enumerate(range(0, len(ids), capacity)):
+            own = ids[at : at + capacity]
+            want.append((doc_id, i, at, len(own), zlib.crc32(np.array(own, "<u4").tobytes())))
+    assert sorted([tuple(r)[:5] for r in got], key=repr) == sorted(want, key=repr)
+    rows = defaultdict(list)
+    for r in got:
+        rows[r.sequence_id].append((r.offset, r.length))
+    for parts in rows.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(rows)
+
+
+TEXTS = [None, "", "  ", "a", "Hello, world. It's 12 o'clock; don't", "İstanbul ﬁne Σίσυφος ΟΔΟΣ éa ́x", "tabs\tand\x0bmore blanks x\r\n y"]
+TEXTS += ["<|endoftext|> <|startoftext|>x", "日本語 テスト 😀😀 ñandú, über. ß", "a.b,c ..,, ., x.y. U.S.A.", "'s 't it's 'S", "x" * 5000, "word " * 3000, "1234567890 " * 50]
+
+
+def test_ids(tokenizer, monkeypatch):
+    rng = random.Random(3)
+    bits = [*"abzABZéÉİΣ.,'!-0 \n\t ́日😀ſ", "the", "'s", "ing", " ", " "]
+    texts = [t or "" for t in TEXTS] + ["".join(rng.choice(bits) for _ in range(rng.randrange(60))) for _ in range(3000)]
+    own = pk.WordTokenizer(PATH)
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(b, "<u4").tolist() for b in own.ids(texts)] == want
+    monkeypatch.setattr(pk, "CACHED_WORDS", 50)
+    assert [np.frombuffer(own.ids([t])[0], "<u4").tolist() for t in texts[:300]] == want[:300]
+
+
+@pytest.mark.parametrize("capacity", [7, 64, 4096])
+def test_small(spark, tokenizer, capacity):
+    docs = [*enumerate(TEXTS), (3, "a"), (3, "a"), (None, "no id")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    check(pk.pack_documents(df, PATH, capacity).collect(), docs, tokenizer, capacity)
+
+
+def first_fit(lengths, capacity):
+    gaps = []
+    for n in sorted(lengths, reverse=True):
+        for i, g in enumerate(gaps):
+            if g >= n:
+                gaps[i] -= n
+                break
+        else:
+            gaps.append(capacity - n)
+    return len(gaps)
+
+
+def test_plan():
+    rng = random.Random(7)
+    for _ in range(200):
+        capacity = rng.choice([10, 30, 100, 1000])
+        lengths = [rng.randrange(1, capacity + 1) if rng.random() < 0.3 else rng.randrange(1, capacity // 3 + 2) for _ in range(rng.randrange(1, 300))]
+        counts = Counter(lengths)
+        plan = pk.Plan(dict(counts), capacity)
+        used, met = defaultdict(list), Counter()
+        for i, (n, first, sequence, each, offset) in enumerate(plan.runs):
+            assert met[n] == first
+            last = plan.runs[i + 1][1] if i + 1 < len(plan.runs) and plan.runs[i + 1][0] == n else counts[n]
+            met[n] = last
+            for r in range(first, last):
+                used[sequence + (r - first) // each].append((offset + (r - first) % each * n, n))
+        assert met == counts
+        for parts in used.values():
+            at = 0
+            for offset, n in sorted(parts):
+                assert offset == at
+                at += n
+            assert at <= capacity
+            assert sum(3 * n > capacity for _, n in parts) <= 2
+        assert sorted(used) == list(range(plan.sequences))
+        least = -(-sum(lengths) // capacity)
+        assert least <= plan.sequences <= max(first_fit(lengths, capacity) * 1.05 + 1, least)
+
+
+def test_plan_grows_with_lengths_only():
+    counts = {n: 1_000_000_007 // n for n in range(1, 4097)}
+    plan = pk.Plan(counts, 4096)
+    assert len(plan.runs) < 60_000
+    assert plan.sequences < 1.001 * max(sum(n * c for n, c in counts.items()) / 4096, 1)
+
+
+def test_empty_and_other_columns(spark, tokenizer):
+    assert pk.pack_documents(spark.createDataFrame([], DOCS), PATH).collect() == []
+    df = spark.createDataFrame([(1, "a b", 4, 5, "x")], "doc_id long, text string, length int, part int, offset string")
+    assert check(pk.pack_documents(df, PATH).collect(), [(1, "a b")], tokenizer, 4096) == 1
+
+
+def test_query(spark, tokenizer):
+    docs = [tuple(r) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect()]
+    got = QUERIES["op7_best_fit_packing"](spark, SF_DIR).collect()
+    used = check(got, docs, tokenizer, 4096)
+    assert used <= 1.02 * sum(r.length for r in got) / 4096 + 1

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm import exact_dedup as exact
 from tidemark.llm import line_dedup as lines
 from tidemark.llm import secret_scan as secrets
+from tidemark.llm import packing
 from tidemark.llm.common import table
 from tidemark.llm.jaccard_join import jaccard_join
 
@@ -50,3 +51,18 @@ ORACLE["op8_line_dedup"] = lines.SQL
 @query("op3_secret_scan")
 def _op3(spark, sf_dir):
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+WORD_BPE = "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer file lies; it is installed with its library on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op7_best_fit_packing")
+def _op7(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE), capacity=4096, end_id=1)
