@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import exact_dedup as exact
+from tidemark.llm import language_id as language
 from tidemark.llm import line_dedup as lines
 from tidemark.llm import secret_scan as secrets
 from tidemark.llm import packing
@@ -66,3 +67,8 @@ def tokenizer_path(name: str) -> str:
 @query("op7_best_fit_packing")
 def _op7(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE), capacity=4096, end_id=1)
+
+
+@query("op1_language_id")
+def _op1(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
