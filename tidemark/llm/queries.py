@@ -11,6 +11,7 @@ from tidemark.llm import language_id as language
 from tidemark.llm import line_dedup as lines
 from tidemark.llm import secret_scan as secrets
 from tidemark.llm import packing
+from tidemark.llm import warc
 from tidemark.llm.common import table
 from tidemark.llm.jaccard_join import jaccard_join
 
@@ -72,3 +73,11 @@ def _op7(spark, sf_dir):
 @query("op1_language_id")
 def _op1(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op9_warc")
+def _op9(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+ORACLE["op9_warc"] = warc.SQL
