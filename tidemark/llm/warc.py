@@ -98,8 +98,9 @@ def _members(source) -> Iterator[Iterator[bytes]]:
 
         def pieces(inflater=inflater) -> Iterator[bytes]:
             nonlocal rest
+            full = False  # whether there may be more to come of the bytes given so far
             while not inflater.eof:
-                if not rest:
+                if not rest and not full:
                     rest = source.read(READ_BYTES)
                     if not rest:
                         raise WarcError("the archive ends within a record")
@@ -107,7 +108,7 @@ def _members(source) -> Iterator[Iterator[bytes]]:
                     piece = inflater.decompress(rest, READ_BYTES)
                 except zlib.error as error:
                     raise WarcError(f"not a gzip member: {error}") from error
-                rest = inflater.unused_data if inflater.eof else inflater.unconsumed_tail
+                rest, full = inflater.unused_data if inflater.eof else inflater.unconsumed_tail, len(piece) == READ_BYTES
                 if piece:
                     yield piece
 
@@ -198,7 +199,7 @@ def _write_pass(folder: str, most: int):
                 for page_id, url, html, refers_to in zip(*columns, strict=True):
                     if archive is None:
                         name = f"{uuid.uuid4().hex}.warc.gz"
-                        archive, size, records = system.open_output_stream(f"{inside}/{name}"), 0, 0
+                        archive, size, records = system.open_output_stream(f"{inside}/{name}", compression=None), 0, 0
                     member = record(page_id, url, (html or "").encode(), refers_to)
                     archive.write(member)
                     size, records = size + len(member), records + 1
