@@ -11,6 +11,7 @@ from tidemark.llm import language_id as language
 from tidemark.llm import line_dedup as lines
 from tidemark.llm import secret_scan as secrets
 from tidemark.llm import packing
+from tidemark.llm import pseudonyms as pii
 from tidemark.llm import vector_search as vectors
 from tidemark.llm import warc
 from tidemark.llm.common import table
@@ -89,3 +90,12 @@ def _op4(spark, sf_dir):
     """Queries are the rows whose id is divisible by 50, against all rows."""
     rows = table(spark, sf_dir, "embeddings")
     return vectors.search(rows, rows.where("vec_id % 50 = 0"), k=5)
+
+
+PII_KEY = b"a key for the test tables; give your own to pseudonymise"
+
+
+@query("op6_pii_pseudonyms")
+def _op6(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, PII_KEY)
