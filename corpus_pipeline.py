@@ -16,7 +16,11 @@ from tidemark.llm.common import stored, table
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 STAGES: list[tuple[str, Stage]] = [
+    ("language_id", stages.identified),
+    ("line_dedup", stages.without_boilerplate),
     ("near_duplicates", stages.near_duplicates),
+    ("secret_scan", stages.without_secrets),
+    ("packing", stages.packed),
 ]
 
 #: SQL has neither the language model nor the tokenizer of the stages.

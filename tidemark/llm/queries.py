@@ -12,6 +12,7 @@ from tidemark.llm import line_dedup as lines
 from tidemark.llm import secret_scan as secrets
 from tidemark.llm import packing
 from tidemark.llm import pseudonyms as pii
+from tidemark.llm import unigram
 from tidemark.llm import vector_search as vectors
 from tidemark.llm import warc
 from tidemark.llm.common import table
@@ -99,3 +100,11 @@ PII_KEY = b"a key for the test tables; give your own to pseudonymise"
 def _op6(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.pseudonymise(docs, PII_KEY)
+
+
+PIECE_MODEL = "piece_bpe_32k.model"
+
+
+@query("op10_sentencepiece_unigram")
+def _op10(spark, sf_dir):
+    return unigram.round_trip(table(spark, sf_dir, "documents"), unigram.load(tokenizer_path(PIECE_MODEL), ranks=True))

@@ -5,7 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm import language_id, line_dedup, packing, secret_scan
 from tidemark.llm.jaccard_join import jaccard_join
+from tidemark.llm.queries import WORD_BPE, tokenizer_path
+
+LEAST_SCORE = 0.15
+
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the labelled ones teach.
+
+    Those go whose text is null or has no letter, and those of which less than
+    ``LEAST_SCORE`` of the n-grams belong to the language found: noise, or a language
+    that nobody has labelled. What the label says does not matter for a document. With
+    no labelled document at all there is nothing to judge by, and all with a letter stay.
+    """
+    model = language_id.train(docs.where("doc_id is not null"))
+    if not model.languages:
+        return docs.where(F.col("text").rlike("\\p{L}"))
+    marked = docs.withColumn("_columns", F.struct(*docs.columns))
+    found = language_id.predict(marked, model, ["_columns"])
+    kept = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return kept.select("_columns.*")
+
+
+def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that over a tenth of their source's documents have.
+
+    A document of which nothing but blanks is left goes. ``n_chars`` follows the text.
+    """
+    found = line_dedup.line_dedup(docs.withColumn("_columns", F.struct(*docs.columns)), host="source")
+    changed = F.col("n_dropped") > 0
+    kept = found.where(~changed | (F.trim(F.regexp_replace("text", "\\s+", " ")) != ""))
+    new = {"text": F.col("text"), "n_chars": F.when(changed, F.length("text").cast("long")).otherwise(F.col("_columns.n_chars"))}
+    return kept.select(*[new.get(c, F.col(f"_columns.{c}")).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,6 +49,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     link with nothing and stay.
     """
     found = jaccard_join(docs, size=5, percent=80)
-    chosen = found.where("doc_id = component_id").select(F.col("doc_id").alias("chosen_id")).distinct()
-    kept = docs.join(chosen, docs.doc_id == chosen.chosen_id).drop("chosen_id").dropDuplicates(["doc_id"])
+    chosen = found.where("doc_id = component_id").select(F.col("doc_id").alias("_chosen")).distinct()
+    kept = docs.join(chosen, F.col("doc_id") == F.col("_chosen")).drop("_chosen").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a mark in place of each secret. ``n_chars`` follows the text."""
+    found = secret_scan.scan(docs.withColumn("_columns", F.struct(*docs.columns)))
+    spans = F.array_sort(F.concat("base_spans", "added_spans"))
+    changed = F.size(spans) > 0
+    text = F.when(changed, secret_scan.masked(F.col("text"), spans)).otherwise(F.col("text"))
+    found = found.withColumn("_text", text)
+    new = {"text": F.col("_text"), "n_chars": F.when(changed, F.length("_text").cast("long")).otherwise(F.col("_columns.n_chars"))}
+    return found.select(*[new.get(c, F.col(f"_columns.{c}")).alias(c) for c in docs.columns])
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 4096 tokens."""
+    return packing.pack_documents(docs, tokenizer_path(WORD_BPE), capacity=4096, end_id=1)
