@@ -115,6 +115,16 @@ def test_bytes(model, library):
         assert abs(path_score(model, found) - best_score(model, "▁" + text.replace(" ", "▁"))) < 1e-9
 
 
+def test_texts_of_many(model):
+    rng = random.Random(6)
+    lists = [ids(model, t) for t in ("a b", "", " x", "\n", "é日\0")] + [[rng.randrange(len(model.pieces)) for _ in range(9)] for _ in range(50)]
+    lists += [[int(model.bytes[0xFF]), 300], [1, 2], [0]]
+    for some in (lists[:5], lists):
+        bounds = np.cumsum([0, *map(len, some)])
+        got = model.texts(np.array([i for x in some for i in x]), bounds).to_pylist()
+        assert got == [model.text(x) for x in some]
+
+
 def test_trie(model):
     words = sorted({"".join(w) for n in range(1, 6) for w in itertools.product("abé", repeat=n)} - {"ab", "éé"})
     trie = ug.DoubleArray([w.encode() for w in words], range(len(words)))

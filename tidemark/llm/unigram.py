@@ -22,6 +22,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
@@ -31,7 +32,8 @@ from tidemark.llm.common import slices
 MARK = "▁"
 LONG = 64
 TOGETHER = 1 << 15
-CACHED_WORDS = 1_000_000
+DECODED_TOGETHER = 256
+CACHED_WORDS = 250_000
 UNKNOWN_PENALTY = 10.0
 """How much less than the least piece an unknown character counts. A fixed value of the format."""
 WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -114,6 +116,9 @@ class Model:
         self.bytes = np.array([bytes_[b] for b in range(256)], np.int32) if len(bytes_) == 256 else None
         self.by_word = not any(MARK in p.text.lstrip(MARK) for _, p in normal)
         self.surfaces = [self._surface(p) for p in pieces]
+        self.sizes = np.array([len(s) for s in self.surfaces], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(self.surfaces), np.uint8)
         self.known: dict[str, bytes] = {}
 
     def _surface(self, piece: Piece) -> bytes:
@@ -148,6 +153,23 @@ class Model:
         found = b"".join([surfaces[i] for i in ids])
         return (found[1:] if self.prefix and found[:1] == b" " else found).decode("utf-8", "replace")
 
+    def texts(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        """The texts of many runs of ids, of which the bounds are given."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        data = self.flat[np.repeat(self.starts[ids] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        edges = np.concatenate([[0], ends])[bounds]
+        if self.prefix:  # without the marker in front
+            full = edges[:-1][edges[1:] > edges[:-1]]
+            drop = np.zeros(len(data) + 1, np.int64)
+            drop[full[data[full] == ord(" ")]] = 1
+            data, edges = data[drop[:-1] == 0], edges - np.concatenate([[0], np.cumsum(drop[:-1])])[edges]
+        raw = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(data.tobytes())])
+        try:
+            return raw.cast(pa.string())
+        except pa.ArrowInvalid:  # byte pieces that are no UTF-8
+            return pa.array([x.as_py().decode("utf-8", "replace") for x in raw], pa.string())
+
     def segment(self, words: list[bytes]) -> list[bytes]:
         """The best path of each word."""
         out: list[bytes] = [b""] * len(words)
@@ -288,8 +310,15 @@ def _encode_pass(model):
 def _decode_pass(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if ids is None else model.value.text(ids) for ids in batch.column("ids").to_pylist()]
-            yield batch.append_column("decoded", pa.array(texts, pa.string()))
+            lists = batch.column("ids")
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+            for first in range(0, batch.num_rows, DECODED_TOGETHER):
+                own = bounds[first : first + DECODED_TOGETHER + 1]
+                part = batch.slice(first, DECODED_TOGETHER)
+                ids = part.column("ids").flatten().to_numpy(zero_copy_only=False)
+                found = model.value.texts(ids, own - own[0])
+                yield part.append_column("decoded", pc.if_else(part.column("ids").is_valid(), found, pa.scalar(None, pa.string())))
 
     return run
 
