@@ -213,6 +213,7 @@ def shards(vectors: DataFrame, spare: int, shard_rows: int = SHARD_ROWS, degree:
     nodes = stored(nodes.select("vector", "ids", F.col("ids")[0].alias("first"), F.size("vector").alias("dim")), "nodes")
     count = max(1, -(-nodes.count() // shard_rows))
     dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("first", "dim"), F.lit(count)).cast("int"))
+    dealt = dealt.repartition(count, "dim", "shard")  # a task per shard or few, which adaptive execution leaves so
     return stored(dealt.groupBy("dim", "shard").applyInArrow(_build_pass(degree, beam, factor), SHARD), "shards"), count
 
 
