@@ -9,7 +9,10 @@ from __future__ import annotations
 
 import functools
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,12 @@ EVENT_TYPES = sorted(TYPES.values())
 # Every 50th event is delivered twice, every 97th lacks its actor.
 COPY_EVERY = 50
 DAMAGE_EVERY = 97
+# In late files every 211th event comes a day late, every 307th with two days' files.
+LATE_EVERY = 211
+TWICE_EVERY = 307
+# The names that the rules below make.
+REPO_NAMES = tuple(f"repo{i}" for i in range(20))
+ORG_NAMES = tuple(f"org{i}" for i in (1, 2, 4, 5, 7, 8))
 
 
 def _text(prefix: str, number: Column, suffix: str = "") -> Column:
@@ -122,19 +131,59 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def bronze_root(spark: SparkSession, sf_dir: str) -> str:
-    """Folder with the raw events as gzip JSON, written once per session."""
-    return _write_bronze(spark, spark.conf.get("spark.app.id", "local"), sf_dir)
+def bronze_root(spark: SparkSession, sf_dir: str, late: bool = False) -> str:
+    """Folder with the raw events as hourly gzip JSON, written once per session.
+
+    With ``late`` some events come with the next day's files instead of their
+    own, and others with both.
+    """
+    return _write_bronze(spark, spark.conf.get("spark.app.id", "local"), sf_dir, late)
+
+
+def query_root(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Folder of a query's tables, the same in a session, so that running it again replaces them."""
+    return _new_root(spark, spark.conf.get("spark.app.id", "local"), sf_dir, name)
 
 
 @functools.lru_cache(maxsize=None)
-def _write_bronze(spark: SparkSession, app_id: str, sf_dir: str) -> str:
-    root = f"{shared_dir(spark)}/lake-{uuid.uuid4().hex}"
-    (
-        raw_events(spark, sf_dir)
-        .hint("rebalance", F.col("event_date"))
-        .write.partitionBy("event_date")
-        .option("compression", "gzip")
-        .json(f"{root}/bronze")
+def _new_root(spark: SparkSession, app_id: str, sf_dir: str, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@functools.lru_cache(maxsize=None)
+def _write_bronze(spark: SparkSession, app_id: str, sf_dir: str, late: bool) -> str:
+    root = query_root(spark, sf_dir, "late" if late else "raw")
+    raw, number = raw_events(spark, sf_dir), F.col("id").cast("bigint")
+    delays = F.array(F.lit(0))
+    if late:
+        delays = F.when(number % TWICE_EVERY == 0, F.array(F.lit(0), F.lit(1)))
+        delays = delays.when(number % LATE_EVERY == 0, F.array(F.lit(1))).otherwise(F.array(F.lit(0)))
+    lines = raw.withColumn("delay", F.explode(delays)).select(
+        F.date_add("event_date", F.col("delay")).cast("string").alias("day"),
+        F.hour(F.to_timestamp("created_at")).alias("hour"),
+        F.to_json(F.struct(*[c for c in raw.columns if c != "event_date"])).alias("line"),
     )
+    sorted_lines = lines.repartition("day", "hour").sortWithinPartitions("day", "hour")
+    sorted_lines.mapInArrow(_hour_files(f"{root}/bronze"), "path string").count()
     return root
+
+
+def _hour_files(folder: str):
+    """Write the lines of each day and hour to the file the feed would deliver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, inside = fs.FileSystem.from_uri(folder)
+        opened, file = None, None
+        for batch in batches:
+            for day, hour, line in zip(*(batch.column(c).to_pylist() for c in ("day", "hour", "line")), strict=True):
+                if (day, hour) != opened:
+                    if file is not None:
+                        file.close()
+                    system.create_dir(f"{inside}/{day}", recursive=True)
+                    opened, file = (day, hour), system.open_output_stream(f"{inside}/{day}/{day}-{hour}.json.gz")
+                file.write(line.encode() + b"\n")
+        if file is not None:
+            file.close()
+        yield pa.RecordBatch.from_pydict({"path": pa.array([], pa.string())})
+
+    return run

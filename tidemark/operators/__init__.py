@@ -3,13 +3,12 @@
 from tidemark.operators.cleaning import (
     dedupe,
     drop_incomplete,
+    events_once,
     flatten,
-    is_empty,
-    null_check,
+    is_complete,
     on_day,
     require_columns,
     select_columns,
-    with_day_parts,
 )
 from tidemark.operators.counting import (
     activity_metrics,
@@ -22,6 +21,7 @@ from tidemark.operators.counting import (
     hourly_type_counts,
     org_counts,
     overview,
+    overview_counts,
     repo_counts,
     top_counted,
     user_counts,
@@ -50,7 +50,7 @@ from tidemark.operators.serving import (
     top_users_card,
     trend_filled,
 )
-from tidemark.operators.trends import hourly_counts, keep_top, label_values, trend_long, trend_of, trend_wide, widen
+from tidemark.operators.trends import hourly_counts, keep_top, labels_of_day, trend_long, trend_of, trend_wide, widen
 
 __all__ = [
     "CONTRIBUTIONS",
@@ -63,6 +63,7 @@ __all__ = [
     "drop_incomplete",
     "event_hour_distribution",
     "events_by_type_and_time",
+    "events_once",
     "events_per_hour",
     "events_per_type",
     "first_per_day",
@@ -70,17 +71,17 @@ __all__ = [
     "flow_metrics",
     "hourly_counts",
     "hourly_type_counts",
-    "is_empty",
+    "is_complete",
     "keep_top",
     "kpi_summary",
-    "label_values",
+    "labels_of_day",
     "leaders_per_hour",
     "most_pushed",
     "most_starred",
-    "null_check",
     "on_day",
     "org_counts",
     "overview",
+    "overview_counts",
     "peak_hours",
     "pushed_cards",
     "rank_by_count",
@@ -100,6 +101,5 @@ __all__ = [
     "trend_wide",
     "user_counts",
     "widen",
-    "with_day_parts",
     "with_ratios",
 ]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import functools
 import operator
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,57 +16,52 @@ from tidemark.params import DateLike, parse_date
 from tidemark.schemas import DAY_PARTS, EVENT_COLUMNS, EXTRA_COLUMNS, REQUIRED_PATHS
 
 
-def null_check(df: DataFrame, col_name: str) -> DataFrame:
-    """Drop rows without a value in a column; the name may be a nested path."""
-    return df.where(F.col(col_name).isNotNull())
+def is_complete(cols: Iterable[str] = REQUIRED_PATHS) -> Column:
+    """Whether a row has a value in every column; the names may be nested paths."""
+    return functools.reduce(operator.and_, [F.col(name).isNotNull() for name in cols])
 
 
 def drop_incomplete(df: DataFrame, cols: Iterable[str] = REQUIRED_PATHS) -> DataFrame:
     """Drop rows that lack any of the required members."""
-    for name in cols:
-        df = null_check(df, name)
-    return df
+    return df.where(is_complete(cols))
 
 
 def dedupe(
     df: DataFrame,
     keys: Sequence[str] = ("id",),
     order: Sequence[str] = ("created_at", "source_file"),
-    prefer_complete: bool = False,
+    complete: Iterable[str] = (),
 ) -> DataFrame:
-    """Keep one row per key: the earliest, then the first by file, then by content.
+    """Keep one row per key: the earliest, then the first by file, then by a hash of its content.
 
-    Ranking by every column makes the survivor the same in every run. Spark
-    keeps only the first row per key within each input partition before it
-    shuffles, so a key that a third of all rows share costs one row per task.
-    ``prefer_complete`` lets a row with all required members win first.
+    The hash makes the survivor the same in every run, and the sort key stays
+    narrow however wide the rows are; project to the columns wanted before.
+    Spark keeps only the first row per key within each input partition before
+    it shuffles, so a key that a third of all rows share costs one row per
+    task. A row with a value in all of the columns ``complete`` wins first.
     """
-    ranking = [F.col(c).asc_nulls_last() for c in (*order, *[c for c in df.columns if c not in (*order, *keys)])]
-    if prefer_complete:
-        complete = F.lit(True)
-        for name in REQUIRED_PATHS:
-            complete = complete & F.col(name).isNotNull()
-        ranking.insert(0, complete.desc())
+    ranking = [F.col(c).asc_nulls_last() for c in order]
+    if rest := [c for c in df.columns if c not in (*order, *keys)]:
+        ranking.append(F.xxhash64(*rest).asc())
+    if complete := list(complete):
+        ranking.insert(0, is_complete(complete).desc())
     first = F.row_number().over(Window.partitionBy(*keys).orderBy(*ranking))
     return df.withColumn("_copy", first).where(F.col("_copy") == 1).drop("_copy")
 
 
-def with_day_parts(df: DataFrame, ts_col: str = "created_at") -> DataFrame:
-    """Add the year, month and day of a timestamp."""
-    ts = F.col(ts_col)
-    return df.withColumns({"year": F.year(ts), "month": F.month(ts), "day": F.day(ts)})
+def day_parts(ts: Column | str = "created_at") -> dict[str, Column]:
+    """The year, month and day of a timestamp or date."""
+    return dict(zip(DAY_PARTS, (F.year(ts), F.month(ts), F.day(ts)), strict=True))
 
 
-def flatten(df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-    """Raw events as flat rows; ``extra`` adds optional payload members."""
+def flatten(df: DataFrame, extra: Sequence[str] = (), marks: Mapping[str, Column] | None = None) -> DataFrame:
+    """Raw events as flat rows; ``extra`` adds optional payload members, ``marks`` further columns."""
     created = utc_wall_clock("created_at")
     computed = {
         "created_at": created,
         "repo_owner": repo_part("repo.name", 0),
         "repo_name": repo_part("repo.name", 1),
-        "year": F.year(created),
-        "month": F.month(created),
-        "day": F.day(created),
+        **day_parts(created),
     }
     columns = [
         (F.col(path) if path else computed[name]).alias(name)
@@ -75,9 +70,26 @@ def flatten(df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     ]
     columns += [F.col(EXTRA_COLUMNS[name][1]).alias(name) for name in extra]
     columns += [computed[name].alias(name) for name in DAY_PARTS]
+    columns += [mark.alias(name) for name, mark in (marks or {}).items()]
     return df.select(*columns)
 
 
+def events_once(events: DataFrame, ingest: str) -> DataFrame:
+    """The event table with each event once per day, however often it was delivered.
+
+    ``ingest`` has the day of the file an event came in. The files of one day
+    hold an event once, so only events from another day's files can be there
+    again. These few are looked up among the day's own by id; the day's own
+    events are not moved as a whole.
+    """
+    day, key = F.make_date(*DAY_PARTS), [*DAY_PARTS, "event_id"]
+    own, others = events.where(F.col(ingest) == day), events.where(F.col(ingest) != day)
+    first = F.row_number().over(Window.partitionBy(*key).orderBy(ingest))
+    others = others.withColumn("_copy", first).where(F.col("_copy") == 1).drop("_copy")
+    there = own.select(*key).join(others.select(*key), key, "left_semi")
+    return own.unionByName(others.join(there, key, "left_anti").select(*own.columns))
+
+
 def on_day(df: DataFrame, date: DateLike, ts_col: str = "created_at") -> DataFrame:
     """Rows of one calendar day.
 
@@ -112,11 +124,6 @@ def require_columns(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     return df
 
 
-def is_empty(df: DataFrame) -> bool:
-    """Whether a result has no row at all."""
-    return df.isEmpty()
-
-
 def scoped(df: DataFrame, date: DateLike | None) -> DataFrame:
     """Events of one day or of all days, with ``event_date`` as a column.
 

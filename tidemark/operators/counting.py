@@ -73,51 +73,17 @@ def events_per_type(df: DataFrame, date: DateLike | None = None) -> DataFrame:
     return scoped(df, date).groupBy("event_date", "type").agg(_rows().alias("no_of_events"))
 
 
-def activity_metrics() -> list[Column]:
-    """Aggregates on users, repositories and organisations; nulls do not count."""
-    repo = F.col("repo")
-    public = F.col("public")
-    return [
-        F.countDistinct("username").alias("no_of_unique_users"),
-        F.countDistinct(repo).alias("no_of_unique_repos_modified"),
-        F.countDistinct(F.when(public, repo)).alias("total_public_repo"),
-        F.countDistinct(F.when(~public, repo)).alias("total_private_repo"),
-        F.countDistinct("org_name").alias("no_of_unique_organizations"),
-        _rows().alias("total_events"),
-    ]
-
-
-def flow_metrics(issue: str = "issue_id", pr: str = "pr_id", action: str = "action") -> list[Column]:
-    """Aggregates on issues and pull requests.
-
-    The arguments are column paths, so the same metrics run on raw nested
-    events, e.g. ``flow_metrics("payload.issue.id", "payload.pull_request.id",
-    "payload.action")``.
-    """
-
-    def distinct(type_name: str, action_name: str, target: str, name: str) -> Column:
-        return F.countDistinct(F.when(is_action(type_name, action_name, action), F.col(target))).alias(name)
-
-    return [
-        distinct(ISSUE, OPENED, issue, "issues_opened"),
-        distinct(PULL_REQUEST, OPENED, pr, "prs_created"),
-        distinct(PULL_REQUEST, MERGED, pr, "prs_merged"),
-        distinct(PULL_REQUEST, CLOSED, pr, "prs_closed"),
-    ]
-
-
-OVERVIEW_COUNTS = (
+# The counts of the overview, by what they count.
+ACTIVITY_COUNTS = (
     "no_of_unique_users",
     "no_of_unique_repos_modified",
     "total_public_repo",
     "total_private_repo",
     "no_of_unique_organizations",
     "total_events",
-    "issues_opened",
-    "prs_created",
-    "prs_merged",
-    "prs_closed",
 )
+FLOW_COUNTS = ("issues_opened", "prs_created", "prs_merged", "prs_closed")
+OVERVIEW_COUNTS = (*ACTIVITY_COUNTS, *FLOW_COUNTS)
 
 
 def user_counts(df: DataFrame, date: DateLike | None = None) -> DataFrame:
@@ -145,20 +111,20 @@ def org_counts(df: DataFrame, date: DateLike | None = None) -> DataFrame:
     return scoped(df, date).where(F.col("org_name").isNotNull()).groupBy("event_date", "org_name").agg(_rows().alias("n"))
 
 
-def _opened_issues(df: DataFrame, date: DateLike | None) -> DataFrame:
-    opened = scoped(df, date).where(is_action(ISSUE, OPENED) & F.col("issue_id").isNotNull())
-    return opened.select("event_date", "issue_id").distinct()
+def _opened_issues(df: DataFrame, date: DateLike | None, issue: str, action: str) -> DataFrame:
+    opened = scoped(df, date).where(is_action(ISSUE, OPENED, action) & F.col(issue).isNotNull())
+    return opened.select("event_date", F.col(issue).alias("issue_id")).distinct()
 
 
 PR_STEPS = {"prs_created": OPENED, "prs_merged": MERGED, "prs_closed": CLOSED}
 
 
-def _pull_requests(df: DataFrame, date: DateLike | None) -> DataFrame:
+def _pull_requests(df: DataFrame, date: DateLike | None, pr: str, action: str) -> DataFrame:
     moved = scoped(df, date).where(
-        is_type(PULL_REQUEST) & F.col("action").isin(*PR_STEPS.values()) & F.col("pr_id").isNotNull()
+        is_type(PULL_REQUEST) & F.col(action).isin(*PR_STEPS.values()) & F.col(pr).isNotNull()
     )
-    return moved.groupBy("event_date", "pr_id").agg(
-        *[F.bool_or(F.col("action") == action).alias(name) for name, action in PR_STEPS.items()]
+    return moved.groupBy("event_date", F.col(pr).alias("pr_id")).agg(
+        *[F.bool_or(F.col(action) == step).alias(name) for name, step in PR_STEPS.items()]
     )
 
 
@@ -168,61 +134,87 @@ def overview_counts(
     users: DataFrame | None = None,
     repos: DataFrame | None = None,
     orgs: DataFrame | None = None,
+    wanted: Sequence[str] = OVERVIEW_COUNTS,
+    issue: str = "issue_id",
+    pr: str = "pr_id",
+    action: str = "action",
 ) -> DataFrame:
-    """The ten overview counts per day, the same as ``activity_metrics`` and
-    ``flow_metrics`` give.
+    """The overview counts per day, or those of them that are wanted.
 
     Nine distinct counts in one aggregate would copy every event ten times and
     group the copies by a key as wide as all columns together. Here each kind
     of thing (user, repository, organisation, issue, pull request) is grouped
     on its own narrow key, from the few columns it needs, and then counted per
-    day; the five counts per day are put together at the end. A popular
-    repository shrinks to one row per task before the shuffle. The counts per
-    user, repository and organisation may be handed in where they are there
-    already.
+    day; the counts per day are put together at the end. A popular repository
+    shrinks to one row per task before the shuffle. Kinds that nobody wants are
+    not read; a plain count per day keeps the days that have events of other
+    kinds only. The counts per user, repository and organisation may be handed
+    in where they are there already. The last arguments are column paths, so
+    raw nested events can be counted as they are.
     """
-    user_rows = user_counts(df, date) if users is None else users
-    repo_rows = repo_counts(df, date) if repos is None else repos
-    org_rows = org_counts(df, date) if orgs is None else orgs
-    kinds = [
-        (user_rows, {"no_of_unique_users": F.count("username"), "total_events": F.sum("n")}),
-        (
-            repo_rows.where(F.col("repo").isNotNull()),
+    kinds = {
+        "users": (
+            lambda: user_counts(df, date) if users is None else users,
+            {"no_of_unique_users": F.count("username"), "total_events": F.sum("n")},
+        ),
+        "repos": (
+            lambda: (repo_counts(df, date) if repos is None else repos).where(F.col("repo").isNotNull()),
             {
                 "no_of_unique_repos_modified": _rows(),
                 "total_public_repo": F.count_if(F.col("n_public") > 0),
                 "total_private_repo": F.count_if(F.col("n_private") > 0),
             },
         ),
-        (org_rows, {"no_of_unique_organizations": _rows()}),
-        (_opened_issues(df, date), {"issues_opened": _rows()}),
-        (_pull_requests(df, date), {name: F.count_if(F.col(name)) for name in PR_STEPS}),
-    ]
+        "orgs": (lambda: org_counts(df, date) if orgs is None else orgs, {"no_of_unique_organizations": _rows()}),
+        "issues": (lambda: _opened_issues(df, date, issue, action), {"issues_opened": _rows()}),
+        "prs": (lambda: _pull_requests(df, date, pr, action), {name: F.count_if(F.col(name)) for name in PR_STEPS}),
+    }
+    chosen = {name: kind for name, kind in kinds.items() if set(kind[1]) & set(wanted) - {"total_events"}}
+    if "users" not in chosen:
+        chosen["days"] = (lambda: scoped(df, date), {"total_events": _rows()})
     per_day = [
-        rows.groupBy("event_date").agg(*[count.alias(name) for name, count in counts.items()])
-        for rows, counts in kinds
+        make().groupBy("event_date").agg(*[count.alias(name) for name, count in counts.items()])
+        for make, counts in chosen.values()
     ]
     together = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), per_day)
-    columns = [F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in OVERVIEW_COUNTS]
+    columns = [F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in wanted]
     if date is None:
         return together.groupBy("event_date").agg(*columns)
     # One row even for a day without events.
-    return together.agg(*columns).select(day_of(date).alias("event_date"), *OVERVIEW_COUNTS)
+    return together.agg(*columns).select(day_of(date).alias("event_date"), *wanted)
+
+
+def activity_metrics(df: DataFrame, date: DateLike | None = None) -> DataFrame:
+    """Users, repositories, organisations and events per day; nulls do not count."""
+    return overview_counts(df, date, wanted=ACTIVITY_COUNTS)
+
+
+def flow_metrics(
+    df: DataFrame,
+    date: DateLike | None = None,
+    issue: str = "issue_id",
+    pr: str = "pr_id",
+    action: str = "action",
+) -> DataFrame:
+    """Issues and pull requests per day, also of raw nested events by the paths of their members."""
+    return overview_counts(df, date, wanted=FLOW_COUNTS, issue=issue, pr=pr, action=action)
+
+
+# The percentages of an overview, as (of, per).
+RATES = {
+    "issue_pr_activity_ratio_daily": ("issues_opened", "prs_created"),
+    "pr_merge_rate": ("prs_closed", "prs_created"),
+    "pr_merged_rate": ("prs_merged", "prs_created"),
+}
 
 
 def with_ratios(df: DataFrame) -> DataFrame:
-    """Add the percentages of an overview.
+    """Add the percentages of an overview, those whose counts it has.
 
     ``pr_merge_rate`` is closed per created, the value published under that
     name; ``pr_merged_rate`` is what the name says.
     """
-    return df.withColumns(
-        {
-            "issue_pr_activity_ratio_daily": safe_pct("issues_opened", "prs_created"),
-            "pr_merge_rate": safe_pct("prs_closed", "prs_created"),
-            "pr_merged_rate": safe_pct("prs_merged", "prs_created"),
-        }
-    )
+    return df.withColumns({name: safe_pct(*pair) for name, pair in RATES.items() if set(pair) <= set(df.columns)})
 
 
 def overview(df: DataFrame, date: DateLike | None = None, **counted: DataFrame) -> DataFrame:

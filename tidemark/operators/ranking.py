@@ -13,28 +13,26 @@ from tidemark.functions.time import hour_start
 from tidemark.operators.cleaning import scoped
 from tidemark.params import DateLike
 
-# Spark prunes a ranking to its first k rows before the shuffle up to this k
-# (the default of spark.sql.optimizer.windowGroupLimitThreshold).
-PRUNED_UP_TO = 1000
-SLICES = 256
+# Parts into which the names of a day are dealt before the best of all parts meet.
+SLICES = 32
 
 
-def first_per_day(counts: DataFrame, k: int, n_col: str, name: str) -> DataFrame:
-    """The k rows of each day with the highest count.
+def first_per_day(counts: DataFrame, k: int, n_col: str, name: str, place: str | None = None) -> DataFrame:
+    """The k rows of each day with the highest count; ``place`` names a column for their number.
 
-    Spark keeps the best k per day within each partition before it brings a
-    day together, so a day's task sees k rows per input task at most. Beyond
-    the k up to which Spark does that, the same is done here by slices.
+    The names of a day are dealt into slices by their hash. Each slice keeps its
+    best k, so the task that brings a day together sees k rows per slice
+    whatever the number of names. For a small k Spark keeps the best k of a
+    slice already within each task before the shuffle.
     """
     if k < 1:
         raise ValueError(f"k must be positive: {k}")
     order = [F.col(n_col).desc(), F.col(name).asc_nulls_last()]
-    place = F.row_number()
-    if k > PRUNED_UP_TO:
-        by_slice = Window.partitionBy("event_date", F.pmod(F.xxhash64(name), F.lit(SLICES))).orderBy(*order)
-        counts = counts.withColumn("_place", place.over(by_slice)).where(F.col("_place") <= k).drop("_place")
+    by_slice = Window.partitionBy("event_date", F.pmod(F.xxhash64(name), F.lit(SLICES))).orderBy(*order)
     by_day = Window.partitionBy("event_date").orderBy(*order)
-    return counts.withColumn("_place", place.over(by_day)).where(F.col("_place") <= k).drop("_place")
+    for window in (by_slice, by_day):
+        counts = counts.withColumn("_place", F.row_number().over(window)).where(F.col("_place") <= k)
+    return counts.drop("_place") if place is None else counts.withColumnRenamed("_place", place)
 
 
 def top_k(
@@ -115,9 +113,9 @@ def leaders_per_hour(df: DataFrame, key: str = "repo_name", date: DateLike | Non
     """The most active repositories of each hour; all of them where several tie.
 
     Ties may be many, so no hour is brought into one task: each hour's highest
-    count is found on its own and the counts that reach it are kept. The
-    highest counts are one row per hour; for a single day these are 24 rows at
-    most and sent to every task, otherwise Spark goes by their measured size.
+    count is found on its own and sent to every task, where the counts that
+    reach it are kept. That is a row per hour of the calendar, 24 per day: ten
+    years are 88,000 small rows, however many events they have.
     """
     counts = (
         scoped(df, date)
@@ -125,6 +123,4 @@ def leaders_per_hour(df: DataFrame, key: str = "repo_name", date: DateLike | Non
         .agg(F.count(F.lit(1)).alias("no_of_events"))
     )
     highest = counts.groupBy("hour").agg(F.max("no_of_events").alias("no_of_events"))
-    if date is not None:
-        highest = F.broadcast(highest)
-    return counts.join(highest, ["hour", "no_of_events"]).select("hour", key, "no_of_events")
+    return counts.join(F.broadcast(highest), ["hour", "no_of_events"]).select("hour", key, "no_of_events")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.activity import rate_band, ratio_reading
@@ -40,9 +40,7 @@ def _for_day(t: DataFrame, date: DateLike | None) -> DataFrame:
 
 
 def _cards(t: DataFrame, date: DateLike | None, k: int, n_col: str, name: str) -> DataFrame:
-    best = first_per_day(_for_day(t, date), k, n_col, name)
-    order = Window.partitionBy("event_date").orderBy(F.col(n_col).desc(), F.col(name).asc_nulls_last())
-    return best.withColumn("position", F.row_number().over(order))
+    return first_per_day(_for_day(t, date), k, n_col, name, place="position")
 
 
 def day_trend(t: DataFrame, date: DateLike | None = None) -> DataFrame:

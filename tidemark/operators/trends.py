@@ -4,31 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.time import hour_start
+from tidemark.functions.time import absolute_hour, hour_of_day, hour_start
 from tidemark.operators.cleaning import scoped
-from tidemark.operators.ranking import top_k
-from tidemark.params import DateLike
+from tidemark.operators.ranking import first_per_day
+from tidemark.params import HOURS, DateLike
 
+# Parts into which the events of one name are dealt where events meet names.
+SALTS = 32
 
-# Names that may be sent to every task; beyond this they are joined by shuffle.
-MAX_SENT_NAMES = 100_000
 
-# Widest view that is built, the same as Spark's own limit for pivots.
-MAX_COLUMNS = 10_000
-
-
-def keep_top(df: DataFrame, top: DataFrame, on: Sequence[str], rows: int | None = None) -> DataFrame:
+def keep_top(df: DataFrame, top: DataFrame, on: Sequence[str], spread: str = "event_id") -> DataFrame:
     """Rows whose key is among the top ones.
 
-    ``rows`` is the known number of rows of ``top``: few are sent to every
-    task. Without it Spark goes by measured sizes.
+    The top keys are the busiest there are, so the rows of a key are dealt into
+    parts by a hash of ``spread`` and the few keys are repeated for each part.
+    How they meet is left to adaptive execution, which goes by measured sizes.
     """
-    names = top.select(*on)
-    few = rows is not None and rows <= MAX_SENT_NAMES
-    return df.join(F.broadcast(names) if few else names, list(on), "left_semi")
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    names = top.select(*on).distinct().withColumn("_part", parts)
+    dealt = df.withColumn("_part", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    return dealt.join(names, [*on, "_part"], "left_semi").drop("_part")
 
 
 def hourly_counts(df: DataFrame, key: str) -> DataFrame:
@@ -40,30 +38,25 @@ def hourly_counts(df: DataFrame, key: str) -> DataFrame:
     )
 
 
-def trend_of(df: DataFrame, top: DataFrame, key: str, rows: int | None = None) -> DataFrame:
+def trend_of(df: DataFrame, top: DataFrame, key: str) -> DataFrame:
     """Events per hour of given names, one row per hour and name.
 
-    ``top`` holds (event_date, name); ``rows`` is its known size. Few names
-    filter the events before they are counted. Otherwise the events are
-    counted first and the join moves counts, of which a name has 24 per day at
-    most, rather than events.
+    ``top`` holds (event_date, name); a pair may come several times. The events
+    are counted first, so the join moves counts, of which a name has 24 per day
+    at most, rather than events.
     """
-    events = scoped(df, None)
     on = ["event_date", key]
-    if rows is not None and rows <= MAX_SENT_NAMES:
-        trend = hourly_counts(keep_top(events, top, on, rows), key)
-    else:
-        trend = hourly_counts(events, key).join(top.select(*on), on)
-    return trend.select("event_date", "hour", key, "no_of_events")
+    kept = hourly_counts(scoped(df, None), key).join(top.select(*on), on, "left_semi")
+    return kept.select("event_date", "hour", key, "no_of_events")
 
 
 def trend_long(df: DataFrame, key: str, k: int, date: DateLike | None = None) -> DataFrame:
     """Events per hour of each day's k most active names, one row per hour and name.
 
-    For one day the k names are found first and sent to every task. For many
-    days it is one pass: events are counted per name and hour, the hours of a
-    name (24 at most) add up to its total, and the rank by total keeps the k
-    best. Equal totals are told apart by name, so the rank numbers names.
+    One pass and one exchange of the counts: a name's day is one row with a
+    count for each hour, which the events of a task are summed into before the
+    exchange. The k best rows of a day are kept, and only these become a row
+    per hour. Equal totals are told apart by name.
 
     A missing name takes a place in the ranking of repositories, as it does
     in ``top_repos``, but has no trend.
@@ -71,28 +64,29 @@ def trend_long(df: DataFrame, key: str, k: int, date: DateLike | None = None) ->
     events = scoped(df, date)
     if key == "org_name":
         events = events.where(F.col(key).isNotNull())
-    if date is not None:
-        return trend_of(events, top_k(events, key, k), key, rows=k)
-    hourly = events.groupBy("event_date", key, hour_start().alias("hour")).agg(
-        F.count(F.lit(1)).alias("no_of_events")
+    hour = hour_of_day()
+    counts = events.groupBy("event_date", key).agg(
+        F.count(F.lit(1)).alias("_total"), *[F.count_if(hour == h).alias(f"_{h}") for h in HOURS]
     )
-    of_name = Window.partitionBy("event_date", key)
-    by_total = Window.partitionBy("event_date").orderBy(F.col("_total").desc(), F.col(key).asc_nulls_last())
-    return (
-        hourly.withColumn("_total", F.sum("no_of_events").over(of_name))
-        .withColumn("_rank", F.dense_rank().over(by_total))
-        .where((F.col("_rank") <= k) & F.col(key).isNotNull())
-        .select("event_date", "hour", key, "no_of_events")
+    best = first_per_day(counts, k, "_total", key).where(F.col(key).isNotNull())
+    hours = F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"_{h}").alias("n")) for h in HOURS])
+    each = best.select("event_date", key, F.explode(F.filter(hours, lambda x: x["n"] > 0)).alias("_hour"))
+    return each.select(
+        "event_date",
+        absolute_hour("event_date", F.col("_hour.h")).alias("hour"),
+        key,
+        F.col("_hour.n").alias("no_of_events"),
     )
 
 
-def label_values(tidy: DataFrame, label: str) -> list[str]:
-    """The labels of a tidy result, sorted: the columns of its wide view."""
-    labels = tidy.where(F.col(label).isNotNull()).select(label).distinct()
-    found = labels.limit(MAX_COLUMNS + 1).collect()
-    if len(found) > MAX_COLUMNS:
-        raise ValueError(f"more than {MAX_COLUMNS} values of {label}: use the tidy form, or fewer days")
-    return sorted(row[0] for row in found)
+def labels_of_day(tidy: DataFrame, label: str) -> list[str]:
+    """The labels of one day's tidy result, sorted: the columns of its wide view.
+
+    One day has as many as its summary keeps, a handful. For many days name the
+    columns that are wanted: their labels grow with the days.
+    """
+    found = tidy.where(F.col(label).isNotNull()).select(label).distinct()
+    return sorted(row[0] for row in found.collect())
 
 
 def widen(tidy: DataFrame, label: str, value: str, names: Sequence[str]) -> DataFrame:

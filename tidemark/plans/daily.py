@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import datetime as dt
 from collections.abc import Iterable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -10,23 +11,45 @@ from pyspark.sql import functions as F
 
 from tidemark import operators as op
 from tidemark.functions import repo_part
-from tidemark.params import DateLike, parse_date
+from tidemark.params import HOURS, DateLike, hour_window, parse_date
 from tidemark.schemas import (
-    COMPLETION_TABLE,
+    DAY_PARTS,
     GOLD_LAYER,
+    HAS_PAYLOAD,
     INGEST_COLUMN,
+    OVERVIEW_TABLE,
+    REQUIRED_COLUMNS,
     SILVER_LAYER,
     SILVER_TABLE,
 )
-from tidemark.session import checkpointed
-from tidemark.sources import day_exists, read_bronze, read_silver, write_partitioned
+from tidemark.sources import (
+    built_hours,
+    day_partition,
+    delivered,
+    event_days,
+    mark_hours,
+    marked_days,
+    read_bronze,
+    register_table,
+    silver_exists,
+    write_partitioned,
+)
 
 
-def silver_frame(
-    raw: DataFrame, extra: Sequence[str] = (), prefer_complete: bool = False, keys: Sequence[str] = ("id",)
-) -> DataFrame:
-    """Raw events deduplicated, checked and flattened."""
-    return op.flatten(op.drop_incomplete(op.dedupe(raw, keys, prefer_complete=prefer_complete)), extra)
+def _flat(raw: DataFrame, extra: Sequence[str] = (), ingest: Column | None = None) -> DataFrame:
+    """Raw events projected to the columns wanted, before anything is sorted or moved."""
+    marks = {HAS_PAYLOAD: F.when(F.col("payload").isNotNull(), True)}
+    return op.flatten(raw, extra, marks if ingest is None else marks | {INGEST_COLUMN: ingest})
+
+
+def _one_copy(flat: DataFrame, prefer_complete: bool) -> DataFrame:
+    keys = ["event_id", *[c for c in (INGEST_COLUMN,) if c in flat.columns]]
+    return op.dedupe(flat, keys, complete=REQUIRED_COLUMNS if prefer_complete else ())
+
+
+def silver_frame(raw: DataFrame, extra: Sequence[str] = (), prefer_complete: bool = False) -> DataFrame:
+    """Raw events flattened, deduplicated and checked."""
+    return op.drop_incomplete(_one_copy(_flat(raw, extra), prefer_complete), REQUIRED_COLUMNS).drop(HAS_PAYLOAD)
 
 
 def _file_day() -> Column:
@@ -53,19 +76,32 @@ def build_silver(
     building a day again replaces what its files gave before, and nothing that
     a neighbouring day's files gave. Copies of an event are looked for among
     the files of one day, so building all days at once gives the same table as
-    building them one by one. Returns how many rows were written and how many
-    of them lie outside their file's day.
+    building them one by one.
+
+    Returns how many lines were read and what became of them: ``malformed``
+    ones are no events at all, ``copies`` have the id of another event of the
+    day's files, ``incomplete`` ones lack a required member, ``undated`` ones a
+    readable time. The ``rows`` were written, ``outside_their_day`` of them
+    under another day than that of their file.
     """
-    raw = read_bronze(spark, root, date, hours)
-    ingest = _file_day() if date is None else F.lit(parse_date(date))
-    keys = ["id"]
-    if date is None:
-        raw = raw.withColumn(INGEST_COLUMN, ingest)
-        keys.append(INGEST_COLUMN)
-    events = silver_frame(raw, extra, prefer_complete, keys)
-    counts = Observation()
-    events = events.withColumn(INGEST_COLUMN, ingest).observe(
-        counts,
+    raw = read_bronze(spark, root, date, hours, extra)
+    flat = _flat(raw, extra, _file_day() if date is None else F.lit(parse_date(date)))
+    anything = F.coalesce(*[F.col(c).cast("string") for c in ("event_id", "type", "created_at", "username", "repo", HAS_PAYLOAD)])
+    lines, kept, written = Observation(), Observation(), Observation()
+    flat = flat.observe(
+        lines,
+        F.count(F.lit(1)).alias("lines"),
+        F.count_if(anything.isNull()).alias("malformed"),
+        F.count("event_id").alias("with_id"),
+    )
+    single = _one_copy(flat.where(F.col("event_id").isNotNull()), prefer_complete).observe(
+        kept,
+        F.count(F.lit(1)).alias("single"),
+        F.count_if(op.is_complete(REQUIRED_COLUMNS)).alias("complete"),
+    )
+    events = op.drop_incomplete(single, (*REQUIRED_COLUMNS, "created_at")).drop(HAS_PAYLOAD)
+    events = events.observe(
+        written,
         F.count(F.lit(1)).alias("rows"),
         F.count_if(F.to_date("created_at") != F.col(INGEST_COLUMN)).alias("outside_their_day"),
     )
@@ -77,9 +113,20 @@ def build_silver(
         date_col="created_at",
         partition_by=[INGEST_COLUMN],
         gather="size" if date is None else None,
-        register=register,
     )
-    return counts.get
+    if register:
+        days = None if date is None else event_days(spark, lake or root, date)
+        parts = None if days is None else [day_partition(d, **{INGEST_COLUMN: parse_date(date)}) for d in days]
+        register_table(spark, lake or root, SILVER_LAYER, SILVER_TABLE, parts)
+    a, b, c = lines.get, kept.get, written.get
+    return {
+        "lines": a["lines"],
+        "malformed": a["malformed"],
+        "copies": a["with_id"] - b["single"],
+        "incomplete": a["lines"] - a["malformed"] - a["with_id"] + b["single"] - b["complete"],
+        "undated": b["complete"] - c["rows"],
+        **c,
+    }
 
 
 @contextlib.contextmanager
@@ -100,66 +147,129 @@ def summaries(events: DataFrame, date: DateLike | None = None) -> Iterator[dict[
     users, repos, orgs, by_type = (counts.persist() for counts in kept)
     named = repos.withColumn("repo_name", repo_part("repo", 1))
     total = F.sum("no_of_events").alias("no_of_events")
-
-    def trend(top: DataFrame, key: str, k: int) -> DataFrame:
-        if date is not None:
-            return op.trend_of(op.on_day(events, date), top, key, rows=k)
-        # A small result, written once: how many names there are decides how they are joined.
-        names = checkpointed(top.select("event_date", key))
-        return op.trend_of(events, names, key, rows=names.count())
-
+    of_day = events if date is None else op.on_day(events, date)
     try:
         yield {
             "event_hour_distribution": by_type,
             "total_events_per_hour": by_type.groupBy("event_date", "hour").agg(total),
             "total_diff_events": by_type.groupBy("event_date", "type").agg(total),
             "top_10_real_users": op.top_real_users(users, weight="n"),
-            "top_3_repo_trend": trend(op.top_repos(named, 3, weight="n"), "repo_name", 3),
-            "top_3_org_trend": trend(op.top_orgs(orgs, 5, weight="n"), "org_name", 5),
+            "top_3_repo_trend": op.trend_of(of_day, op.top_repos(named, 3, weight="n"), "repo_name"),
+            "top_3_org_trend": op.trend_of(of_day, op.top_orgs(orgs, 5, weight="n"), "org_name"),
             "most_starred_repos": op.most_starred(repos, weight="n_stars"),
             "top_3_repos_by_pushes": op.most_pushed(named, weight="n_pushes"),
-            COMPLETION_TABLE: op.overview(events, date, users=users, repos=repos, orgs=orgs),
+            OVERVIEW_TABLE: op.overview(events, date, users=users, repos=repos, orgs=orgs),
         }
     finally:
         for counts in (users, repos, orgs, by_type):
             counts.unpersist()
 
 
+def events_for_summaries(
+    spark: SparkSession, root: str, days: Sequence[dt.date] | None = None
+) -> DataFrame:
+    """The event table, or some days of it, with each event once per day."""
+    if days is None or len(days) != 1:
+        found = delivered(spark, root)
+        if days is not None:
+            found = found.where(F.make_date(*DAY_PARTS).isin(list(days)))
+    else:
+        found = delivered(spark, root, days[0])
+    return op.events_once(found, INGEST_COLUMN).drop(INGEST_COLUMN)
+
+
 def build_gold(
-    spark: SparkSession, root: str, date: DateLike | None = None, register: bool = False
+    spark: SparkSession,
+    root: str,
+    date: DateLike | Sequence[DateLike] | None = None,
+    register: bool = False,
 ) -> list[str]:
-    """Build and store the nine summaries of one day or of all days.
+    """Build and store the nine summaries of one day, of several days or of all days.
 
-    The overview is written last: its partition tells that a day is complete.
+    A day that is asked for alone gets an overview of zeros if it has no event.
+    Without an event table there is nothing to summarise, which is an error.
     """
-    gather = "day" if date is None else "size"
-    with summaries(read_silver(spark, root, date), date) as frames:
+    if not silver_exists(spark, root):
+        raise FileNotFoundError(f"no event table under {root}")
+    if date is None:
+        days = None
+    else:
+        days = sorted({parse_date(d) for d in ([date] if isinstance(date, str | dt.date) else date)})
+    one = days[0] if days and len(days) == 1 else None
+    gather = "day" if one is None else "size"
+    with summaries(events_for_summaries(spark, root, days), one) as frames:
         for name, frame in frames.items():
-            write_partitioned(frame, root, GOLD_LAYER, name, gather=gather, register=register)
+            write_partitioned(frame, root, GOLD_LAYER, name, gather=gather)
+            if register:
+                register_table(spark, root, GOLD_LAYER, name, None if days is None else map(day_partition, days))
         return list(frames)
 
 
+def run_days(
+    spark: SparkSession,
+    root: str,
+    dates: Iterable[DateLike],
+    hours: Iterable[int] = HOURS,
+    force: bool = False,
+    register: bool = False,
+    lake: str | None = None,
+) -> list[dict[str, object]]:
+    """Build the days whose raw files of these hours are not in the tables yet.
+
+    A mark per day says which hours of its raw files all tables hold. It is
+    taken back before a day is built and written when everything else is, so a
+    run that breaks off is done again. Hours that were built before are built
+    along, as a day's files are deduplicated together. The summaries are built
+    of each day that any of the files' events are dated in. Raw files that are
+    not there are an error.
+    """
+    place = lake or root
+    report, todo, touched = [], {}, set()
+    for day in sorted({parse_date(d) for d in dates}):
+        have, wanted = built_hours(spark, place, day), set(hours)
+        if not force and wanted <= have:
+            report.append({"date": day, "built": False})
+            continue
+        todo[day] = have | wanted
+        mark_hours(spark, place, {day: ()})
+        some = None if todo[day] == set(HOURS) else sorted(todo[day])
+        touched.update(event_days(spark, place, day))
+        counts = build_silver(spark, root, day, some, register=register, lake=lake)
+        touched.update(event_days(spark, place, day))
+        report.append({"date": day, "built": True, **counts})
+    if touched:
+        build_gold(spark, place, sorted(touched), register=register)
+    mark_hours(spark, place, todo)
+    return report
+
+
 def run_day(
     spark: SparkSession,
     root: str,
     date: DateLike,
-    hours: Iterable[int] | None = None,
+    start: int = 0,
+    duration: int = 24,
     force: bool = False,
     register: bool = False,
+    check_range: bool = False,
+    lake: str | None = None,
 ) -> dict[str, object]:
-    """Build one day unless it is there already."""
-    day = parse_date(date)
-    if not force and day_exists(spark, root, day, GOLD_LAYER, COMPLETION_TABLE):
-        return {"date": day, "built": False}
-    counts = build_silver(spark, root, day, hours, register=register)
-    build_gold(spark, root, day, register=register)
-    return {"date": day, "built": True, **counts}
+    """Build a day's hours from ``start`` on unless they are built already.
+
+    ``check_range`` refuses days that can have no raw files.
+    """
+    day = parse_date(date, check_range=check_range)
+    return run_days(spark, root, [day], hour_window(start, duration), force, register, lake)[0]
 
 
 def run_all(
     spark: SparkSession, root: str, register: bool = False, lake: str | None = None
 ) -> dict[str, int]:
     """Build every day that has raw files, in one go."""
+    place = lake or root
+    mark_hours(spark, place, dict.fromkeys(marked_days(spark, place), ()))
     counts = build_silver(spark, root, register=register, lake=lake)
-    build_gold(spark, lake or root, register=register)
+    build_gold(spark, place, register=register)
+    days = delivered(spark, place).select(INGEST_COLUMN).distinct().collect()  # a row per day of raw files
+    mark_hours(spark, place, {row[0]: HOURS for row in days})
     return counts

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
+from tidemark.fixtures import ORG_NAMES, REPO_NAMES
+
+ONE_DAY = "DATE '2024-01-15'"
+
 EVENTS = """
 ev AS (
   SELECT CAST(event_id AS VARCHAR) AS event_id,
@@ -124,11 +131,12 @@ trend AS (
     )
 
 
-def _pivot(key: str) -> str:
-    return f"SELECT * FROM (PIVOT trend ON {key} USING CAST(sum(no_of_events) AS BIGINT) GROUP BY event_date, hour)"
+def _pivot(key: str, labels: Sequence[str]) -> str:
+    cells = ", ".join(f"CAST(sum(no_of_events) FILTER ({key} = '{name}') AS BIGINT) AS {name}" for name in labels)
+    return f"SELECT event_date, hour, {cells} FROM trend GROUP BY event_date, hour"
 
 
-def _filled(key: str, k: int, labels: list[str]) -> str:
+def _filled(key: str, k: int, labels: Sequence[str]) -> str:
     cells = ", ".join(
         f"CAST(coalesce(sum(no_of_events) FILTER (wanted = '{name}'), 0) AS BIGINT) AS {name}" for name in labels
     )
@@ -141,8 +149,8 @@ SELECT event_date, hour, {cells} FROM trend LEFT JOIN asked USING (event_date, {
 
 def _adhoc(key: str) -> str:
     return f"""WITH {EVENTS}
-SELECT count({key}) AS no_of_events, {key} FROM ev GROUP BY {key}
-ORDER BY no_of_events DESC, {key} LIMIT 3"""
+SELECT {key}, count({key}) AS no_of_events FROM ev WHERE event_date = {ONE_DAY}
+GROUP BY {key} ORDER BY no_of_events DESC, {key} LIMIT 3"""
 
 
 def _cards(n_col: str, name: str, k: int) -> str:
@@ -169,13 +177,14 @@ READING = """CASE WHEN prs_created = 0 THEN NULL
   ELSE 'balanced' END"""
 
 TYPES = ["IssueCommentEvent", "IssuesEvent", "PullRequestEvent", "PushEvent", "WatchEvent"]
-REPOS = [f"repo{i}" for i in range(20)]
-ORGS = [f"org{i}" for i in (1, 2, 4, 5, 7, 8)]
 
 ORACLE: dict[str, str] = {
     "bronze_scan": f"""WITH {EVENTS}, {RAW}
 SELECT type, count(*) AS n, count(username) AS with_login, count(comment_id) AS with_comment,
   count(*) AS with_source FROM raw GROUP BY type""",
+    "bronze_hours": f"""WITH {EVENTS}, {RAW}
+SELECT event_id, type, concat('2024-01-15-', hour(created_at), '.json.gz') AS file FROM raw
+WHERE CAST(created_at AS DATE) = {ONE_DAY} AND hour(created_at) BETWEEN 6 AND 11""",
     "bronze_inferred": f"WITH {EVENTS}, {RAW} SELECT event_id, type, repo, action FROM raw",
     "silver_flatten": f"WITH {EVENTS}, {RAW}, {SILVER} SELECT * FROM silver",
     "dedupe_events": f"""WITH {EVENTS}, {RAW}
@@ -183,7 +192,7 @@ SELECT event_id, type, created_at FROM kept""",
     "null_checked_events": f"""WITH {EVENTS}, {RAW}
 SELECT event_id, type, username FROM kept
 WHERE event_id IS NOT NULL AND type IS NOT NULL AND username IS NOT NULL AND repo IS NOT NULL""",
-    "silver_day": f"WITH {EVENTS} SELECT * FROM ev WHERE CAST(created_at AS DATE) = DATE '2024-01-15'",
+    "silver_day": f"WITH {EVENTS} SELECT * FROM ev WHERE CAST(created_at AS DATE) = {ONE_DAY}",
     "human_events": f"WITH {EVENTS} SELECT event_id, username FROM ev WHERE {HUMAN}",
     "events_by_type_and_time": f"""WITH {EVENTS}
 SELECT event_date, type, created_at, count(*) AS no_of_events FROM ev GROUP BY ALL""",
@@ -225,10 +234,10 @@ SELECT event_date, repo, nullif(split_part(repo, '/', 1), '') AS repo_owner,
     "top_org_trend_long": f"WITH {EVENTS}, {_trend('org_name', 5)} SELECT * FROM trend",
     "events_of_top_repos": f"""WITH {EVENTS}, {_top('repo_name', 3, 'total')}
 SELECT event_date, event_id, repo_name, type FROM ev SEMI JOIN top USING (event_date, repo_name)""",
-    "top_3_repo_trend": f"WITH {EVENTS}, {_trend('repo_name', 3)} {_pivot('repo_name')}",
-    "top_3_org_trend": f"WITH {EVENTS}, {_trend('org_name', 5)} {_pivot('org_name')}",
-    "repo_trend_filled": _filled("repo_name", 3, REPOS),
-    "org_trend_filled": _filled("org_name", 5, ORGS),
+    "top_3_repo_trend": f"WITH {EVENTS}, {_trend('repo_name', 3)} {_pivot('repo_name', REPO_NAMES)}",
+    "top_3_org_trend": f"WITH {EVENTS}, {_trend('org_name', 5)} {_pivot('org_name', ORG_NAMES)}",
+    "repo_trend_filled": _filled("repo_name", 3, REPO_NAMES),
+    "org_trend_filled": _filled("org_name", 5, ORG_NAMES),
     "day_trend": f"""WITH {EVENTS}, {PER_HOUR}
 SELECT event_date, event_date + hour * INTERVAL 1 HOUR AS hour, no_of_events FROM per_hour""",
     "peak_hours": f"""WITH {EVENTS}, {PER_HOUR}
@@ -268,7 +277,57 @@ SELECT event_date, {_band('pr_merge_rate')} AS merge_band, {_band('pr_merged_rat
 FROM overview""",
     "ratio_reading": f"WITH {EVENTS}, {OVERVIEW} SELECT event_date, {READING} AS reading FROM overview",
     "gold_roundtrip": f"WITH {EVENTS}, {OVERVIEW} {WITH_PARTS}",
-    "stored_wide_trend": f"WITH {EVENTS}, {_trend('org_name', 5)} {_pivot('org_name')}",
+    "stored_wide_trend": f"WITH {EVENTS}, {_trend('org_name', 5)} {_pivot('org_name', ORG_NAMES)}",
     "silver_roundtrip": f"WITH {EVENTS}, {RAW}, {SILVER} SELECT * FROM silver",
     "whole_run_overview": f"WITH {EVENTS}, {RAW}, {SILVER}, {_overview('silver')} {WITH_PARTS}",
 }
+
+# --- the same over the event table that raw files make ----------------------
+
+LAKE = "lake AS (SELECT *, CAST(created_at AS DATE) AS event_date FROM silver)"
+
+
+def _over_lake(name: str, day: bool = False, tail: str = "") -> str:
+    """A query over the given events as one over the event table, for all days or one."""
+    start = f"WITH {EVENTS}"
+    body = re.sub(r"\bev\b", "lake", ORACLE[name].removeprefix(start))
+    sql = f"{start}, {RAW}, {SILVER}, {LAKE}{body}"
+    return f"SELECT * FROM ({sql}) WHERE event_date = {ONE_DAY} {tail}" if day else sql
+
+
+ORACLE |= {
+    "day_by_day_overview": ORACLE["whole_run_overview"],
+    "stored_event_hour_distribution": _over_lake("event_hour_distribution_long"),
+    "stored_total_events_per_hour": _over_lake("total_events_per_hour"),
+    "stored_total_diff_events": _over_lake("total_diff_events"),
+    "stored_top_10_real_users": _over_lake("top_10_real_users"),
+    "stored_top_3_repo_trend": _over_lake("top_repo_trend_long"),
+    "stored_top_3_org_trend": _over_lake("top_org_trend_long"),
+    "stored_most_starred_repos": _over_lake("most_starred_repos"),
+    "stored_top_3_repos_by_pushes": _over_lake("top_3_repos_by_pushes"),
+    "stored_overview_table": _over_lake("overview_table"),
+    "first_users_of_day": _over_lake("top_10_real_users", True, "ORDER BY rank_on_that_day, username LIMIT 4"),
+    "org_trend_of_day": f"""WITH {EVENTS}, {RAW}, {SILVER}, {LAKE}, {re.sub(r"\bev\b", "lake", _trend("org_name", 5))}
+SELECT event_date, hour, """
+    + ", ".join(
+        f"CAST(coalesce(sum(no_of_events) FILTER (org_name = '{name}'), 0) AS BIGINT) AS {name}" for name in ORG_NAMES
+    )
+    + f" FROM trend WHERE event_date = {ONE_DAY} GROUP BY event_date, hour",
+    "silver_of_day": f"WITH {EVENTS}, {RAW}, {SILVER} SELECT * FROM silver WHERE CAST(created_at AS DATE) = {ONE_DAY}",
+    "type_distribution_of_day": _over_lake("event_hour_distribution", True),
+    **{
+        f"{name}_of_day": _over_lake(name, True)
+        for name in (
+            "day_trend",
+            "peak_hours",
+            "starred_cards",
+            "pushed_cards",
+            "top_users_card",
+            "kpi_summary",
+            "contribution_breakdown",
+            "repo_distribution",
+            "rate_band",
+            "ratio_reading",
+        )
+    },
+}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 # The nested members of a raw event that the event table reads,
@@ -86,6 +87,35 @@ EXTRA_COLUMNS = {
 
 DAY_PARTS = ("year", "month", "day")
 
+# The required members by their names in the event table; a mark stands for the payload.
+HAS_PAYLOAD = "_has_payload"
+REQUIRED_COLUMNS = ("event_id", "type", "username", "repo", HAS_PAYLOAD)
+
+
+def bronze_schema(extra: Sequence[str] | None = None) -> str:
+    """Schema of raw events with the members that the event table and ``extra`` read, or all of them.
+
+    What the schema leaves out the parser skips.
+    """
+    if extra is None or "payload" in extra:
+        return BRONZE_SCHEMA
+    wanted = {path: kind for _, kind, path in EVENT_COLUMNS if path and path != "source_file"}
+    wanted |= {"created_at": "timestamp"} | {EXTRA_COLUMNS[name][1]: EXTRA_COLUMNS[name][0] for name in extra}
+    tree: dict = {}
+    for path, kind in wanted.items():
+        *parents, leaf = path.split(".")
+        node = tree
+        for parent in parents:
+            node = node.setdefault(parent, {})
+        node[leaf] = kind
+
+    def spelled(node: dict, mark: str) -> str:
+        kinds = ((k, f"struct<{spelled(v, ':')}>" if isinstance(v, dict) else v) for k, v in node.items())
+        return ", ".join(f"{name}{mark} {kind}" for name, kind in kinds)
+
+    return spelled(tree, "")
+
+
 SILVER_LAYER = "silver"
 SILVER_TABLE = "silver_raw"
 INGEST_COLUMN = "ingest_date"
@@ -163,5 +193,4 @@ GOLD_TABLES = {
     )
 }
 
-# The table whose partition marks a day as fully built; it is written last.
-COMPLETION_TABLE = "overview_table"
+OVERVIEW_TABLE = "overview_table"

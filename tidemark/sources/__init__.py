@@ -2,22 +2,34 @@
 
 from tidemark.sources.bronze import hour_paths, infer_bronze, read_bronze
 from tidemark.sources.lake import (
+    built_hours,
     day_exists,
     day_path,
+    delivered,
+    event_days,
+    mark_hours,
+    marked_days,
     read_silver,
     read_table,
     read_wide,
     register_views,
     run_sql,
+    silver_exists,
     table_path,
 )
-from tidemark.sources.writer import register_table, with_event_date, write_partitioned
+from tidemark.sources.writer import day_partition, register_table, write_partitioned
 
 __all__ = [
+    "built_hours",
     "day_exists",
+    "day_partition",
     "day_path",
+    "delivered",
+    "event_days",
     "hour_paths",
     "infer_bronze",
+    "mark_hours",
+    "marked_days",
     "read_bronze",
     "read_silver",
     "read_table",
@@ -25,7 +37,7 @@ __all__ = [
     "register_table",
     "register_views",
     "run_sql",
+    "silver_exists",
     "table_path",
-    "with_event_date",
     "write_partitioned",
 ]

@@ -7,13 +7,13 @@ deduplication that follows spreads the rows again.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.params import HOURS, DateLike, parse_date
-from tidemark.schemas import BRONZE_SCHEMA
+from tidemark.schemas import bronze_schema
 
 
 def bronze_day(root: str, date: DateLike) -> str:
@@ -31,15 +31,18 @@ def read_bronze(
     root: str,
     date: DateLike | None = None,
     hours: Iterable[int] | None = None,
+    extra: Sequence[str] | None = None,
 ) -> DataFrame:
     """Raw events of some hours, of a day, or of every day under ``root``.
 
-    The fixed schema saves the pass that inference would take and lets the
-    parser skip payload members nobody reads. Lines that are not JSON become
-    rows of nulls, which the completeness check removes later.
+    The fixed schema saves the pass that inference would take. With ``extra`` it
+    has only the members that the event table and these optional columns need,
+    and the parser skips all others; without, it has all that are known. Lines
+    that are not JSON become rows of nulls, which the completeness check
+    removes later.
     """
     reader = (
-        spark.read.schema(BRONZE_SCHEMA)
+        spark.read.schema(bronze_schema(extra))
         .option("mode", "PERMISSIVE")
         .option("multiLine", False)
         .option("timeZone", "UTC")
@@ -52,8 +55,8 @@ def read_bronze(
         raw = reader.json(bronze_day(root, date))
     else:
         # One pattern for all hours: an hour without a file is no error.
-        wanted = ",".join(str(hour) for hour in hours)
-        raw = reader.json(f"{bronze_day(root, date)}/{parse_date(date)}-{{{wanted}}}.json.gz")
+        names = ",".join(path.rpartition("/")[2] for path in hour_paths(root, date, hours))
+        raw = reader.json(f"{bronze_day(root, date)}/{{{names}}}")
     return raw.withColumn("source_file", F.col("_metadata.file_path"))
 
 

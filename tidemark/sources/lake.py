@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import logging
-from collections.abc import Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.params import DateLike, parse_date
 from tidemark.schemas import (
+    DAY_PARTS,
     GOLD_LAYER,
     GOLD_TABLES,
     INGEST_COLUMN,
@@ -64,9 +66,64 @@ def _scan(
 def read_silver(
     spark: SparkSession, root: str, date: DateLike | None = None, extra: tuple[str, ...] = ()
 ) -> DataFrame:
-    """The event table, or one calendar day of it."""
-    events = _scan(spark, root, SILVER_LAYER, SILVER_TABLE, date, silver_schema(extra))
-    return events.drop(INGEST_COLUMN)
+    """The event table, or one calendar day of it: an event as often as days' files delivered it."""
+    return delivered(spark, root, date, extra).drop(INGEST_COLUMN)
+
+
+def delivered(
+    spark: SparkSession, root: str, date: DateLike | None = None, extra: tuple[str, ...] = ()
+) -> DataFrame:
+    """The event table with the day of the file that each event came in."""
+    return _scan(spark, root, SILVER_LAYER, SILVER_TABLE, date, silver_schema(extra))
+
+
+def silver_exists(spark: SparkSession, root: str) -> bool:
+    """Whether an event table was ever written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table_path(root, SILVER_LAYER, SILVER_TABLE))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def event_days(spark: SparkSession, root: str, ingest: DateLike) -> list[dt.date]:
+    """The days that the events of one day's files are dated in, by the table's folders: mostly one or two."""
+    path = f"{table_path(root, SILVER_LAYER, SILVER_TABLE)}/year=*/month=*/day=*/{INGEST_COLUMN}={parse_date(ingest)}"
+    reader = spark.read.option("basePath", table_path(root, SILVER_LAYER, SILVER_TABLE)).schema(silver_schema())
+    try:
+        found = reader.parquet(path).select(*DAY_PARTS).distinct().collect()
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    return sorted(dt.date(*row) for row in found)
+
+
+def mark_hours(spark: SparkSession, root: str, hours: Mapping[dt.date, Iterable[int]]) -> None:
+    """Note for some days which hours of their raw files all tables hold."""
+    rows = [(sorted(some), day) for day, some in hours.items()]
+    if rows:
+        marks = spark.createDataFrame(rows, f"hours array<int>, {INGEST_COLUMN} date").coalesce(1)
+        marks = marks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        marks.partitionBy(INGEST_COLUMN).json(f"{root}/built")
+
+
+def _marks(spark: SparkSession, root: str, folder: str) -> list:
+    base = f"{root}/built"
+    reader = spark.read.schema(f"hours array<int>, {INGEST_COLUMN} date").option("basePath", base)
+    try:
+        return reader.json(f"{base}{folder}").collect()
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+
+
+def built_hours(spark: SparkSession, root: str, date: DateLike) -> set[int]:
+    """The hours of a day's raw files that all tables hold."""
+    return {hour for row in _marks(spark, root, f"/{INGEST_COLUMN}={parse_date(date)}") for hour in row["hours"] or ()}
+
+
+def marked_days(spark: SparkSession, root: str) -> list[dt.date]:
+    """The days that have a mark: one small row per day."""
+    return sorted(row[INGEST_COLUMN] for row in _marks(spark, root, ""))
 
 
 def read_table(
@@ -79,7 +136,10 @@ def read_table(
     date_col: str = "event_date",
     layer: str = GOLD_LAYER,
 ) -> DataFrame:
-    """A stored table for one date or all dates, optionally sorted and limited."""
+    """A stored table for one date or all dates, optionally sorted and limited.
+
+    One date of a summary comes in the summary's own order where no other is given.
+    """
     spec = GOLD_TABLES.get(table) if layer == GOLD_LAYER else None
     if (layer, table) == (SILVER_LAYER, SILVER_TABLE):
         found = read_silver(spark, root, date)
@@ -87,21 +147,30 @@ def read_table(
         found = _scan(spark, root, layer, table, date, spec.schema if spec else None)
     if date is not None:
         found = found.where(F.to_date(F.col(date_col)) == F.lit(parse_date(date)))
+        if order_by is None and spec is not None and spec.order_by:
+            order_by = spec.order_by
     if order_by is not None:
         found = found.orderBy(*order_by)
     return found if limit is None else found.limit(limit)
 
 
-def read_wide(spark: SparkSession, root: str, table: str, date: DateLike | None = None) -> DataFrame:
+def read_wide(
+    spark: SparkSession, root: str, table: str, date: DateLike | None = None, names: Sequence[str] | None = None
+) -> DataFrame:
     """The wide view of a table that is stored tidy: one column per label.
 
-    The labels come from the stored table, which is small: a few rows per hour.
+    The labels of one date are found in its few rows. For all dates give the
+    ``names`` that are wanted, as labels grow with the days.
     """
-    from tidemark.operators.trends import label_values, widen
+    from tidemark.operators.trends import labels_of_day, widen
 
     label, value = GOLD_TABLES[table].pivot
     tidy = read_table(spark, root, table, date)
-    return widen(tidy, label, value, label_values(tidy, label))
+    if names is None:
+        if date is None:
+            raise ValueError("a wide view needs a date or names")
+        names = labels_of_day(tidy, label)
+    return widen(tidy, label, value, names)
 
 
 def day_exists(

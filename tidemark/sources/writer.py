@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.cleaning import day_parts
 from tidemark.params import DateLike, parse_date
 from tidemark.schemas import DAY_PARTS
 from tidemark.sources.lake import table_path
 
 
-def with_event_date(df: DataFrame, date: DateLike) -> DataFrame:
-    """Stamp the run date on a result."""
-    return df.withColumn("event_date", F.lit(parse_date(date)))
-
-
 def write_partitioned(
     df: DataFrame,
     root: str,
@@ -38,8 +34,7 @@ def write_partitioned(
       one task and splits a day that is too large for one;
     - ``None`` leaves rows where they are, for rows that are all of one day.
     """
-    parts = {"year": F.year, "month": F.month, "day": F.day}
-    out = df.withColumns({name: part(F.col(date_col)) for name, part in parts.items()})
+    out = df.withColumns(day_parts(date_col))
     keys = [*DAY_PARTS, *partition_by]
     columns = [F.col(k) for k in keys]
     if gather == "day":
@@ -60,12 +55,34 @@ def write_partitioned(
     return path
 
 
-def register_table(spark: SparkSession, root: str, layer: str, table: str) -> str:
-    """Make a stored table known to the session catalog as ``layer.table``."""
+def register_table(
+    spark: SparkSession,
+    root: str,
+    layer: str,
+    table: str,
+    partitions: Iterable[Mapping[str, object]] | None = None,
+) -> str:
+    """Make a stored table known to the session catalog as ``layer.table``.
+
+    A table that is known already takes up the given partitions, those that
+    were written; without them, and for a new table, all folders are listed.
+    """
     name = f"`{layer}`.`{table}`"
     spark.sql(f"CREATE SCHEMA IF NOT EXISTS `{layer}`")
-    if not spark.catalog.tableExists(name):
+    known = spark.catalog.tableExists(name)
+    if not known:
         spark.catalog.createTable(name, path=table_path(root, layer, table), source="parquet")
-    spark.catalog.recoverPartitions(name)
+    if known and partitions is not None:
+        for keys in partitions:
+            spec = ", ".join(f"{k} = '{v}'" for k, v in keys.items())
+            spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS PARTITION ({spec})")
+    else:
+        spark.catalog.recoverPartitions(name)
     spark.catalog.refreshTable(name)
     return name
+
+
+def day_partition(date: DateLike, **more: object) -> dict[str, object]:
+    """The partition of a day, for ``register_table``."""
+    day = parse_date(date)
+    return {name: getattr(day, name) for name in DAY_PARTS} | more
