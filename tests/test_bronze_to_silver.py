@@ -153,8 +153,9 @@ def test_copies_lose_to_the_earliest_whatever_the_file_order(spark, tmp_path):
     raw = read_bronze(spark, str(tmp_path), DAY)
     assert op.dedupe(raw).select("type").collect() == [("C",)]
     # The incomplete copy wins and is then dropped, unless complete ones are preferred.
-    assert op.drop_incomplete(op.dedupe(raw)).isEmpty()
-    assert rows(op.drop_incomplete(op.dedupe(raw, prefer_complete=True)), "type") == [("A",)]
+    assert daily.silver_frame(raw).isEmpty()
+    found = [rows(daily.silver_frame(raw.repartition(n), prefer_complete=True), "type") for n in (1, 3, 5)]
+    assert found[0] in ([("A",)], [("B",)]) and found == found[:1] * 3
 
 
 def test_a_hot_id_is_pruned_before_the_shuffle(spark, lake):
@@ -162,13 +163,26 @@ def test_a_hot_id_is_pruned_before_the_shuffle(spark, lake):
     assert text.index("Final") < text.index("Exchange") < text.index("Partial")
 
 
+def test_events_are_projected_before_they_are_sorted(spark, lake):
+    """Payload members that nobody asked for are not parsed, and no struct is a sort key."""
+    text = details(daily.silver_frame(read_bronze(spark, str(lake), DAY, extra=())))
+    scan = next(line for line in text.splitlines() if "ReadSchema" in line)
+    assert "head" not in scan and "title" not in scan and "state" not in scan and "login" in scan
+    keys = [line for line in text.splitlines() if line.startswith("Arguments: [event_id")]
+    assert keys and not any("payload" in line or "actor" in line for line in keys)
+    some = details(daily.silver_frame(read_bronze(spark, str(lake), DAY, extra=("pr_title",)), extra=("pr_title",)))
+    scan = next(line for line in some.splitlines() if "ReadSchema" in line)
+    assert "title" in scan and "head" not in scan
+
+
 def test_build_is_repeatable_and_spares_the_neighbour(spark, lake):
     root, next_day = str(lake), dt.date(2024, 3, 11)
-    # Event 6 is delivered with both days; each day's files are deduplicated apart.
+    # Event 6 is delivered with both days; each day's files are deduplicated apart, and the summaries count it once.
     put(lake, 0, [event("20", at="2024-03-11T05:00:00Z"), event("6", at="2024-03-11T00:00:00Z")], next_day)
     assert not day_exists(spark, root, DAY, "silver", "silver_raw")
-    assert daily.build_silver(spark, root, next_day) == {"rows": 2, "outside_their_day": 0}
-    assert daily.build_silver(spark, root, DAY) == {"rows": 8, "outside_their_day": 1}
+    for day, written, outside in ((next_day, 2, 0), (DAY, 8, 1)):
+        found = daily.build_silver(spark, root, day)
+        assert (found["rows"], found["outside_their_day"]) == (written, outside)
     before = rows(read_silver(spark, root))
     assert len(before) == 10
     assert rows(read_silver(spark, root, next_day), "event_id") == [("20",), ("6",), ("6",)]
@@ -180,13 +194,19 @@ def test_build_is_repeatable_and_spares_the_neighbour(spark, lake):
     assert rows(read_silver(spark, root)) == before
     daily.build_silver(spark, root, lake=f"{root}/other")
     assert rows(read_silver(spark, f"{root}/other")) == before
+    once = daily.events_for_summaries(spark, root)
+    assert rows(once, "event_id") == sorted({(r[0],) for r in rows(read_silver(spark, root), "event_id")})
+    assert rows(daily.events_for_summaries(spark, root, [next_day]), "event_id") == [("20",), ("6",)]
+    assert rows(daily.events_for_summaries(spark, root, [DAY, next_day])) == rows(once)
 
 
 def test_day_without_usable_rows(spark, tmp_path):
     put(tmp_path, 0, ["junk"])
-    assert daily.build_silver(spark, str(tmp_path), DAY) == {"rows": 0, "outside_their_day": 0}
+    found = daily.build_silver(spark, str(tmp_path), DAY)
+    assert (found["lines"], found["malformed"], found["rows"]) == (1, 1, 0)
     assert read_silver(spark, str(tmp_path), DAY).isEmpty()
-    daily.build_gold(spark, str(tmp_path), DAY)
+    assert daily.run_day(spark, str(tmp_path), DAY)["rows"] == 0
+    assert daily.run_day(spark, str(tmp_path), DAY) == {"date": DAY, "built": False}
 
 
 def test_stored_day_is_read_from_its_own_folder(spark, lake):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark import operators as op
 from tidemark.fixtures import activity_events
+from tidemark.plans.queries import QUERIES
 from tidemark.functions import is_human, rate_band, ratio_reading, safe_pct
 
 
@@ -37,6 +38,13 @@ def test_top_k_beyond_the_pruned_size_is_exact(make_events):
         op.top_k(events, "username", 0)
 
 
+def test_one_form_for_every_k(make_events):
+    events = make_events([{"username": f"u{i % 40}"} for i in range(100)])
+    for k in (1, 7, 39, 40, 5000):
+        want = sorted(((-(3 if i < 20 else 2), f"u{i}") for i in range(40)))[:k]
+        assert sorted((-n, u) for u, n in rows(op.top_k(events, "username", k), "username", "no_of_events")) == want
+
+
 def test_top_k_prunes_before_a_day_comes_together(make_events):
     events = make_events([{}])
     text = plan(op.top_repos(events))
@@ -124,13 +132,27 @@ def test_overview_counts(make_events):
         "pr_merge_rate": 66.67,
         "pr_merged_rate": 33.33,
     }
-    # The plain distinct counts say the same.
-    plain = events.agg(*op.activity_metrics(), *op.flow_metrics()).first().asDict()
-    assert plain == {name: row[name] for name in plain}
+    # The parts say the same, also of members of nested events, and days of other events stay.
+    parts = [*op.activity_metrics(events).collect(), *op.flow_metrics(events).collect()]
+    assert [p.event_date for p in parts] == [DAY] * 2 and row == row | parts[0].asDict() | parts[1].asDict()
+    nested = events.withColumn("payload", F.struct(F.col("issue_id").alias("i"), F.col("pr_id").alias("p"), "action"))
+    nested = op.flow_metrics(nested.drop("issue_id", "pr_id", "action"), None, "payload.i", "payload.p", "payload.action")
+    assert nested.first() == parts[1]
+    assert rows(op.flow_metrics(make_events([{}]))) == [(DAY, 0, 0, 0, 0)]
+
 
+def test_wanted_counts_read_what_they_need(make_events):
+    events = make_events([{"type": "IssuesEvent", "action": "opened", "issue_id": 1}, {"created_at": at(1, day=11)}])
+    some = op.with_ratios(op.overview_counts(events, wanted=("issues_opened",)))
+    assert rows(some) == [(DAY, 1), (dt.date(2024, 3, 11), 0)]
+    text = plan(op.overview_counts(activity_events(events.sparkSession, SF_DIR), wanted=("issues_opened",)))
+    assert text.split("Initial Plan")[-1].count("FileScan") == 2 and "user_id" not in text
 
-def test_overview_does_not_multiply_events(make_events):
-    assert "Expand" not in plan(op.overview(make_events([{}])))
+
+def test_no_registered_query_multiplies_events(spark):
+    """Distinct counts are made by grouping, not by copying every event."""
+    for name in ("overview_table", "activity_metrics", "flow_metrics", "flow_metrics_nested", "rate_band"):
+        assert "Expand" not in plan(QUERIES[name](spark, SF_DIR)), name
 
 
 def test_overview_of_days_without_pull_requests_or_events(make_events):
@@ -148,7 +170,7 @@ def test_trend_names_with_dots_case_and_clashes(make_events):
     repos = ["a/x.js", "a/x.js", "a/Foo", "a/foo", "a/foo", "a/hour", "a/hour"]
     events = make_events([{"repo": r, "created_at": at(i % 2)} for i, r in enumerate(repos)])
     tidy = op.trend_long(events, "repo_name", 4)
-    names = op.label_values(tidy, "repo_name")
+    names = op.labels_of_day(tidy, "repo_name")
     assert names == ["Foo", "foo", "hour", "x.js"]
     filled = op.trend_filled(tidy, names)
     assert filled.columns == ["event_date", "hour", "Foo", "foo", "hour", "x.js"]
@@ -169,7 +191,7 @@ def test_filled_trend_keeps_hours_of_names_nobody_asked_for(make_events):
 
 def test_trend_without_names(make_events):
     tidy = op.trend_long(make_events([{"org_name": None}]), "org_name", 5)
-    assert op.label_values(tidy, "org_name") == []
+    assert op.labels_of_day(tidy, "org_name") == []
     assert op.trend_filled(tidy, [], key="org_name").isEmpty()
 
 
@@ -178,8 +200,17 @@ def test_trend_ways_agree(spark):
     top = op.top_repos(events)
     want = rows(op.trend_long(events, "repo_name", 3))
     assert rows(op.trend_of(events, top, "repo_name")) == want
-    assert rows(op.trend_of(events, top, "repo_name", rows=top.count())) == want
-    assert rows(op.trend_of(events, top, "repo_name", rows=10**9)) == want
+    # A name that is given several times counts once.
+    assert rows(op.trend_of(events, top.union(top), "repo_name")) == want
+    kept = op.keep_top(events, top.union(top), ["event_date", "repo_name"])
+    assert rows(kept) == rows(events.join(top, ["event_date", "repo_name"], "left_semi").select(kept.columns))
+    assert kept.columns == events.columns
+
+
+def test_trend_moves_counts_once(spark):
+    """One exchange of counts by name, and two of the best rows only."""
+    text = plan(op.trend_long(activity_events(spark, SF_DIR), "repo_name", 3)).split("Initial Plan")[-1]
+    assert text.count("Exchange") == 3 and text.count("FileScan") == 1
 
 
 def test_many_days_join_counts_not_events(spark):
@@ -265,7 +296,5 @@ def test_bands_and_readings(spark):
 
 def test_small_helpers(make_events):
     events = make_events([{}])
-    assert not op.is_empty(events) and op.is_empty(events.limit(0))
     assert op.require_columns(events, ["repo"]) is events
-    parts = op.with_day_parts(events).select("year", "month", "day").first()
-    assert tuple(parts) == (2024, 3, 10)
+    assert rows(op.drop_incomplete(events.withColumn("x", F.lit(None)), ["repo", "x"])) == []

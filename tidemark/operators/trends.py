@@ -26,7 +26,7 @@ def keep_top(df: DataFrame, top: DataFrame, on: Sequence[str], spread: str = "ev
     parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     names = top.select(*on).distinct().withColumn("_part", parts)
     dealt = df.withColumn("_part", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-    return dealt.join(names, [*on, "_part"], "left_semi").drop("_part")
+    return dealt.join(names, [*on, "_part"], "left_semi").select(*df.columns)
 
 
 def hourly_counts(df: DataFrame, key: str) -> DataFrame:
@@ -43,10 +43,11 @@ def trend_of(df: DataFrame, top: DataFrame, key: str) -> DataFrame:
 
     ``top`` holds (event_date, name); a pair may come several times. The events
     are counted first, so the join moves counts, of which a name has 24 per day
-    at most, rather than events.
+    at most, rather than events. (A semi-join would be moved below the counting,
+    to the events.)
     """
     on = ["event_date", key]
-    kept = hourly_counts(scoped(df, None), key).join(top.select(*on), on, "left_semi")
+    kept = hourly_counts(scoped(df, None), key).join(top.select(*on).distinct(), on)
     return kept.select("event_date", "hour", key, "no_of_events")
 
 
