@@ -31,14 +31,14 @@ def luhn_right(text):
 VALID = {
     "card": ["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111", "378282246310005", "3782 822463 10005", "6011000990139424"],
     "ssn": ["123-45-6789", "001-01-0001", "899-99-9999", "667-12-3456"],
-    "phone": ["+1 (017) 555-7713", "+49 30 901820", "+442079460958", "+33 1 23 45 67 89"],
+    "phone": ["+1 (017) 555-7713", "+49 30 901820", "+442079460958", "+33 1 23 45 67 89", "(212) 555-0123", "212-555-0123", "(212)555.0123"],
     "ip": ["97.51.17.173", "8.8.8.8", "255.255.255.255"],
     "date": ["2024-02-29", "31.12.1999", "01/02/2003", "12/31/1999", "1900-01-01", "2099-12-31"],
     "email": ["und.34@mail7.example.com", "A.b+c_1@x.org"],
     "iban": ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "FR1420041010050500013M02606"],
 }
 INVALID = ["4111111111111112", "0000000000000000", "000-12-3456", "666-12-3456", "900-12-3456", "123-00-6789", "123-45-0000", "+1 23", "256.1.1.1"]
-INVALID += ["1.2.3", "1.2.3.4.5", "01.2.3.4", "127.0.0.1", "0.0.0.0", "2023-02-29", "31.04.2000", "1899-12-31", "2100-01-01", "99/99/2000", "2024-01/02"]
+INVALID += ["112-555-0123", "212-155-0123", "212-555-01234", "1-212-555-0123", "1.2.3", "1.2.3.4.5", "01.2.3.4", "127.0.0.1", "0.0.0.0", "2023-02-29", "31.04.2000", "1899-12-31", "2100-01-01", "99/99/2000", "2024-01/02"]
 INVALID += ["DE89370400440532013001", "a@b", "@x.org", "v4111111111111111", "12345", "Version 2.0.", "3.14159", "é", "123e4567-e89b-12d3-a456-426614174000"]
 
 

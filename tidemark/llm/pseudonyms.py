@@ -120,6 +120,15 @@ def phone(text: str, cipher: Cipher) -> str | None:
     return code + refill(text[len(code) :], permuted_digits(cipher, f"phone{code}", rest))
 
 
+def local_phone(text: str, cipher: Cipher) -> str:
+    """Ten digits of which the first and the fourth are 2 to 9, as its pattern says; they stay so."""
+    digits = digits_of(text)
+    value = ((int(digits[0]) - 2) * 100 + int(digits[1:3])) * 800 + (int(digits[3]) - 2) * 100 + int(digits[4:6])
+    value, line = divmod(cipher.permute("local phone", 800 * 800 * 10000, value * 10000 + int(digits[6:])), 10000)
+    area, exchange = divmod(value, 800)
+    return refill(text, f"{area + 200}{exchange + 200}{line:04}")
+
+
 def ip(text: str, cipher: Cipher) -> str | None:
     """Four numbers to 255 without leading zeros; neither the wildcard nor a loopback."""
     parts = text.split(".")
@@ -237,6 +246,12 @@ RULES = (
     ),
     Kind("ssn", r"[0-9]-[0-9]", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", ssn),
     Kind("phone", r"\+[0-9]", r"(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]{1,5}){1,5}(?![0-9A-Za-z])", phone),
+    Kind(
+        "phone",
+        r"[0-9][.-][0-9]{4}",
+        r"(?<![0-9A-Za-z+.-])(?<!\) )(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[.-])[2-9][0-9]{2}[.-][0-9]{4}(?![0-9A-Za-z]|[.-][0-9])",
+        local_phone,
+    ),
     Kind("ip", r"[0-9]\.[0-9]", r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9A-Za-z])", ip),
     Kind(
         "date",
