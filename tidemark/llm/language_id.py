@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.llm.common import mix64, slices, stored
 
@@ -203,7 +204,7 @@ def train(
     return Model(languages, masks, np.array(filled) ** hashes, tuple(sizes), slot_bits, hashes)
 
 
-def _predict_pass(model):
+def _predict_pass(model, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         for batch in batches:
@@ -226,7 +227,7 @@ def _predict_pass(model):
                 scores += np.where(worded, rates[np.arange(len(texts)), best], 0.0).tolist()
                 margins += np.where(worded, ordered[:, -1] - second, 0.0).tolist()
             yield (
-                batch.drop_columns(["text"]).append_column("lang_pred", pa.array(names, pa.string()))
+                (batch if with_text else batch.drop_columns(["text"])).append_column("lang_pred", pa.array(names, pa.string()))
                 .append_column("score", pa.array(scores, pa.float64()))
                 .append_column("margin", pa.array(margins, pa.float64()))
             )
@@ -242,9 +243,12 @@ def predict(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",)) ->
     the first language by name. ``und``, with 0 for both, is for null texts, texts
     without a letter, and a model without languages. Only ``text`` is looked at.
     """
-    kinds = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("margin", "double")
-    texts = docs.select(*keep, F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(_predict_pass(docs.sparkSession.sparkContext.broadcast(model)), kinds)
+    rest = [c for c in keep if c != "text"]
+    texts = docs.select(*rest, F.col("text").cast("string").alias("text"))
+    kept = texts if "text" in keep else texts.drop("text")
+    kinds = StructType(kept.schema.fields[:]).add("lang_pred", "string").add("score", "double").add("margin", "double")
+    model = docs.sparkSession.sparkContext.broadcast(model)
+    return texts.mapInArrow(_predict_pass(model, "text" in keep), kinds)
 
 
 def held_out(doc_id: Column) -> Column:

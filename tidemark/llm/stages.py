@@ -23,10 +23,10 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.train(docs.where("doc_id is not null"))
     if not model.languages:
         return docs.where(F.col("text").rlike("\\p{L}"))
-    marked = docs.withColumn("_columns", F.struct(*docs.columns))
-    found = language_id.predict(marked, model, ["_columns"])
+    rest = F.struct(*[c for c in docs.columns if c != "text"])
+    found = language_id.predict(docs.select(rest.alias("_rest"), "text"), model, ["_rest", "text"])
     kept = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return kept.select("_columns.*")
+    return kept.select(*["text" if c == "text" else F.col(f"_rest.{c}").alias(c) for c in docs.columns])
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
