@@ -151,7 +151,7 @@ def _count_pass(languages: Sequence[str], sizes: Sequence[int]):
                         own = grams[np.cumsum(steps[:-1]) > 0]
                         waiting.setdefault(code, []).append(own)
                         held += len(own)
-                if held > 1 << 23:
+                if held > 1 << 22:
                     yield from out()
                     waiting, held = {}, 0
         yield from out()

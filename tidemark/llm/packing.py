@@ -31,7 +31,7 @@ from tidemark.llm.common import slices, stored
 
 CAPACITY = 4096
 END_ID = 1
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 500_000
 
 _tokenizers: dict[str, "WordTokenizer"] = {}
 
@@ -95,7 +95,7 @@ class WordTokenizer:
 
 
 def word_tokenizer(path: str) -> WordTokenizer:
-    """One per worker process, which serves many tasks."""
+    """One per worker process, which serves many tasks; a task leaves it without words."""
     if path not in _tokenizers:
         _tokenizers[path] = WordTokenizer(path)
     return _tokenizers[path]
@@ -124,6 +124,7 @@ def _piece_pass(path: str, capacity: int, end_id: int):
             columns = [pa.array(v, pa.int32() if k == "piece" else pa.int64()) for k, v in rows.items()]
             columns.insert(5, pa.array([part] * len(columns[0]), pa.int32()))
             yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in PIECES.split(", ")])
+        tokenizer.known = {"": b""}  # the worker lives on and serves other work
 
     return run
 
