@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import filter_slot, id_filter, mix64, passes, slices, stored, utf8
+from tidemark.llm.common import filter_slot, id_filter, mix64, passes, release, slices, stored, utf8
 from tidemark.llm.components import components
 from tidemark.llm.words import shingle_sets
 
@@ -477,15 +477,19 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
         .mapInArrow(_drop_single, "list long, doc_id long, level byte, side byte"),
         "prefix-lists",
     )
+    release(spark)
     traits = profiles.select("doc_id", "n", "step", "copies", "bitmap")
     by_list = entries.join(traits, "doc_id").repartition(parts, "list").sortWithinPartitions("list", "n", "doc_id")
     near = stored(by_list.mapInArrow(_hub_pass(percent), "a long, b long").distinct(), "near")
     near_docs = near.where("b is null").select(F.col("a").alias("doc_id"))
 
+    del by_list
+    release(spark)
     chosen = spark.sparkContext.broadcast(id_filter(near_docs, "doc_id"))
     sets = slotted.mapInArrow(_set_pass(size, chosen), "doc_id long, tokens binary")
     sets = stored(sets.join(near_docs, "doc_id", "left_semi"), "near-sets")
 
+    release(spark)
     links = stored(_linked(near.where("b is not null"), sets, percent), "hub-links")
     same_id = known.groupBy("doc_id").agg(F.min(F.xxhash64("key")).alias("x"), F.max(F.xxhash64("key")).alias("y"))
     same_id = same_id.where("x <> y").select("doc_id")
@@ -493,6 +497,7 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     links = stored(links.union(shared), "links-so-far")
     found = components(links)
 
+    release(spark)
     near_now = near_docs.join(found, near_docs.doc_id == found.node, "left").select(
         "doc_id", F.coalesce("component", "doc_id").alias("component")
     )
