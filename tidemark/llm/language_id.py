@@ -34,6 +34,7 @@ SLOT_BITS = 20
 HASHES = 3
 UNKNOWN = "und"
 BLANK = 32
+BLOCK = 1 << 17
 
 
 @lru_cache(maxsize=1)
@@ -56,8 +57,7 @@ def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     at_edge[np.searchsorted(runs, edges, side="right") - 1] = True
     keep[runs[~at_edge]] = True
     keep[edges] = True
-    place = np.cumsum(keep) - keep
-    return points[keep], place[edges]
+    return points[keep], np.cumsum(keep)[edges] - keep[edges]
 
 
 def ngrams(points: np.ndarray, size: int) -> np.ndarray:
@@ -73,6 +73,12 @@ def ngrams(points: np.ndarray, size: int) -> np.ndarray:
         return mix64(total + np.uint64(size))
 
 
+def gram_blocks(points: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The n-grams of a text of any length, some at a time: the first one's place and their hashes."""
+    for start in range(0, len(points) - size + 1, BLOCK):
+        yield start, ngrams(points[start : start + BLOCK + size - 1], size)
+
+
 def gram_slots(grams: np.ndarray, slot_bits: int, hashes: int) -> Iterator[np.ndarray]:
     """The slots of each n-gram: bits of its hash, then of the hash of that."""
     for i in range(hashes):
@@ -102,19 +108,21 @@ class Model:
         texts = len(bounds) - 1
         hits, totals = np.zeros((texts, len(self.languages))), np.zeros(texts)
         for size in self.sizes:
-            grams = ngrams(points, size)
             first, last = spans_of(bounds, size)
-            last = np.minimum(last, len(grams))
+            last = np.minimum(last, max(len(points) - size + 1, 0))
             first = np.minimum(first, last)
             totals += last - first
-            slots = list(gram_slots(grams, self.slot_bits, self.hashes))
-            for w, masks in enumerate(self.masks):
-                found = masks[slots[0]]
-                for slot in slots[1:]:
-                    found = found & masks[slot]
-                for b in range(min(64, len(self.languages) - 64 * w)):
-                    sums = np.concatenate([[0], np.cumsum((found >> np.uint64(b)) & np.uint64(1), dtype=np.int64)])
-                    hits[:, 64 * w + b] += sums[last] - sums[first]
+            for start, grams in gram_blocks(points, size):
+                here = slice(np.searchsorted(last, start, side="right"), np.searchsorted(first, start + len(grams)))
+                low, high = np.maximum(first[here] - start, 0), np.minimum(last[here] - start, len(grams))
+                slots = list(gram_slots(grams, self.slot_bits, self.hashes))
+                for w, masks in enumerate(self.masks):
+                    found = masks[slots[0]]
+                    for slot in slots[1:]:
+                        found = found & masks[slot]
+                    for b in range(min(64, len(self.languages) - 64 * w)):
+                        sums = np.concatenate([[0], np.cumsum((found >> np.uint64(b)) & np.uint64(1), dtype=np.int64)])
+                        hits[here, 64 * w + b] += sums[high] - sums[low]
         return (hits - totals[:, None] * self.chance) / (1 - self.chance), totals
 
 
@@ -142,15 +150,17 @@ def _count_pass(languages: Sequence[str], sizes: Sequence[int]):
                 for code in np.unique(names).tolist():
                     points, bounds = code_points(part.column("text").filter(pa.array(names == code)))
                     for size in sizes:
-                        grams = ngrams(points, size)
                         first, last = spans_of(bounds, size)
-                        steps = np.zeros(len(grams) + 1, np.int64)
-                        last = np.minimum(last, len(grams))
+                        count = max(len(points) - size + 1, 0)
+                        steps = np.zeros(count + 1, np.int8)
+                        last = np.minimum(last, count)
                         np.add.at(steps, np.minimum(first, last), 1)
                         np.add.at(steps, last, -1)
-                        own = grams[np.cumsum(steps[:-1]) > 0]
-                        waiting.setdefault(code, []).append(own)
-                        held += len(own)
+                        inside = np.cumsum(steps, dtype=np.int8) > 0
+                        for start, grams in gram_blocks(points, size):
+                            own = grams[inside[start : start + len(grams)]]
+                            waiting.setdefault(code, []).append(own)
+                            held += len(own)
                 if held > 1 << 22:
                     yield from out()
                     waiting, held = {}, 0

@@ -11,7 +11,7 @@ import pyarrow as pa
 from tidemark.llm.common import mix64, utf8
 
 PLACES = 64
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 
 
 @lru_cache(maxsize=1)
