@@ -91,6 +91,19 @@ def test_chance_is_corrected():
     assert abs(hits[0, 0] / totals[0]) < 0.03
 
 
+def test_blocks_of_a_text(monkeypatch):
+    """Counts don't depend on where blocks of n-grams end."""
+    rng = np.random.default_rng(2)
+    masks = rng.integers(0, 4, (1, 1 << 12), dtype=np.uint64)
+    model = li.Model(("a", "b"), masks, np.zeros(2), (3, 5), 12, 2)
+    texts = pa.array([*TEXTS, "some words and more " * 9, ""], pa.string())
+    whole = model.counts(*li.code_points(texts))
+    for block in (1, 7, 64):
+        monkeypatch.setattr(li, "BLOCK", block)
+        hits, totals = model.counts(*li.code_points(texts))
+        assert (hits == whole[0]).all() and (totals == whole[1]).all()
+
+
 def test_many_languages(spark):
     rows = [(i * 3 + j, " ".join(chr(0x4E00 + i * 40 + k) * 3 for k in range(20)), f"l{i:03}") for i in range(130) for j in range(2)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
