@@ -120,6 +120,52 @@ def phone(text: str, cipher: Cipher) -> str | None:
     return code + refill(text[len(code) :], permuted_digits(cipher, f"phone{code}", rest))
 
 
+#: Digits of a whole number, country code included, where a country's numbers all have the same.
+PLAN_DIGITS = {"1": 11, "7": 11, "30": 12, "33": 11, "34": 11, "45": 10, "47": 10, "48": 11, "91": 12, "351": 12, "420": 12}
+PHONE = r"(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]{1,5}){1,5}(?![0-9A-Za-z])"
+RUN = re.compile("[0-9]+")
+MORE = re.compile("[.-][0-9]")
+
+
+def phone_ends(text: str, found: re.Match) -> list[int]:
+    """Where a phone number may end within a match, best first: after each run of digits.
+
+    Ends before anything that looks like another kind come first, then those that give the
+    digits of the country's plan, then those that do not part a run joined by dots or
+    dashes, then the later ones. Only forms are looked at, which pseudonyms keep, so the
+    way back finds the same ends.
+    """
+    runs = [r.span() for r in RUN.finditer(text, *found.span())]
+    others = [a for a, _ in runs[1:] if any(p.match(text, a) for p in _other_kinds())]
+
+    def rank(end: int) -> tuple[int, bool, bool, int]:
+        digits = digits_of(text[found.start() : end])
+        planned = any(PLAN_DIGITS.get(digits[:n]) == len(digits) for n in (1, 2, 3))
+        return sum(a < end for a in others), not planned, MORE.match(text, end) is not None, -end
+
+    return sorted((b for _, b in runs if text[b : b + 1] != ")"), key=rank)
+
+
+def card_matches(pattern: re.Pattern, text: str) -> Iterator[re.Match]:
+    """Matches, but for one that begins with the last digits of a phone number before another match."""
+    at = 0
+    while found := pattern.search(text, at):
+        at = found.end()
+        plus = text.rfind("+", max(found.start() - 32, 0), found.start())
+        before = re.compile(PHONE).match(text, plus) if plus >= 0 else None
+        ends = phone_ends(text, before) if before and before.end() > found.start() else []
+        end = next((e for e in ends if 8 <= len(digits_of(text[plus:e])) <= 15), 0)
+        if found.start() < end < found.end() and pattern.match(text, end + 1):
+            at = end
+        else:
+            yield found
+
+
+@lru_cache(maxsize=1)
+def _other_kinds() -> list[re.Pattern]:
+    return [re.compile(r.pattern) for r in RULES if r.renew is not phone]
+
+
 def local_phone(text: str, cipher: Cipher) -> str:
     """Ten digits of which the first and the fourth are 2 to 9, as its pattern says; they stay so."""
     digits = digits_of(text)
@@ -233,6 +279,8 @@ class Kind:
     hint: str
     pattern: str
     renew: Callable[[str, Cipher], str | None]
+    ends: Callable[[str, re.Match], list[int]] = lambda text, found: [found.end()]
+    matches: Callable[[re.Pattern, str], Iterator[re.Match]] = re.Pattern.finditer
 
 
 #: In order of precedence where matches overlap. ``hint`` is a pattern that a text with a match has.
@@ -243,9 +291,10 @@ RULES = (
         r"[0-9]{3}",
         r"(?<![0-9A-Za-z.])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9A-Za-z])",
         card,
+        matches=card_matches,
     ),
     Kind("ssn", r"[0-9]-[0-9]", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", ssn),
-    Kind("phone", r"\+[0-9]", r"(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]{1,5}){1,5}(?![0-9A-Za-z])", phone),
+    Kind("phone", r"\+[0-9]", PHONE, phone, phone_ends),
     Kind(
         "phone",
         r"[0-9][.-][0-9]{4}",
@@ -268,22 +317,24 @@ class Renewer:
 
     def __init__(self, key: bytes, kinds: tuple[str, ...] = KINDS, back: bool = False) -> None:
         self.cipher = Cipher(key, back)
-        self.rules = [(r.name, re.compile(r.hint), re.compile(r.pattern), r.renew) for r in RULES if r.name in kinds]
+        self.rules = [(r.name, re.compile(r.hint), re.compile(r.pattern), r) for r in RULES if r.name in kinds]
 
     def spans(self, text: str) -> list[tuple[int, int, str, str]]:
         """``start, end, kind, pseudonym`` in order, without overlap."""
         found: list[tuple[int, int, str, str]] = []
-        for name, hint, pattern, renew in self.rules:
+        for name, hint, pattern, rule in self.rules:
             if not hint.search(text):
                 continue
             starts, ends, own = [f[0] for f in found], [f[1] for f in found], []
-            for m in pattern.finditer(text):
-                i = bisect.bisect_left(starts, m.end())  # the spans before i begin before this match ends
-                if i and ends[i - 1] > m.start():
-                    continue
-                new = renew(m[0], self.cipher)
-                if new is not None:
-                    own.append((m.start(), m.end(), name, new))
+            for m in rule.matches(pattern, text):
+                for end in rule.ends(text, m):
+                    i = bisect.bisect_left(starts, end)  # the spans before i begin before this end
+                    if i and ends[i - 1] > m.start():
+                        continue
+                    new = rule.renew(text[m.start() : end], self.cipher)
+                    if new is not None:
+                        own.append((m.start(), end, name, new))
+                        break
             found = sorted(found + own)
         return found
 
