@@ -102,6 +102,26 @@ def test_phones_end_before_what_follows(number, follower):
     assert back.renew(new)[0] == text
 
 
+SPELLINGS = [
+    ["+14155552671", "+1 415 555 2671", "+1 (415) 555-2671", "+1-415-555-2671", "(415) 555-2671", "415.555.2671"],
+    ["+10175557713", "+1 (017) 555-7713", "+1 017 555 7713"],
+    ["+442079460958", "+44 20 7946 0958", "+44 (20) 7946-0958"],
+    ["+35312345678", "+353 1 234 5678"],
+    ["+79161234567", "+7 916 123-45-67", "+7 (916) 123-45-67"],
+]
+
+
+@pytest.mark.parametrize("spellings", SPELLINGS)
+def test_phones_in_any_spelling_are_linked(spellings):
+    there, back = ps.Renewer(KEY), ps.Renewer(KEY, back=True)
+    code = {"+1": "1", "+4": "44", "+3": "353", "+7": "7"}[spellings[0][:2]]
+    renewed = [there.renew(s)[0] for s in spellings]
+    assert len({re.sub("[^0-9]", "", new).removeprefix(code if s[0] == "+" else "") for s, new in zip(spellings, renewed, strict=True)}) == 1
+    assert all(new.startswith("+" + code) for s, new in zip(spellings, renewed, strict=True) if s[0] == "+")
+    assert [back.renew(new)[0] for new in renewed] == spellings
+    assert not set(renewed) & set(spellings)
+
+
 def test_phones_of_the_tables():
     import pyarrow.parquet as pq
 

@@ -111,13 +111,34 @@ def ssn(text: str, cipher: Cipher) -> str | None:
     return f"{area:03}-{group + 1:02}-{serial + 1:04}"
 
 
+#: Country codes of one and of two digits; all others have three.
+SHORT_CODES = {"1", "7", "20", "27", "36", "39", "81", "82", "84", "86", "98"} | {
+    str(n) for some in (range(30, 35), range(40, 42), range(43, 50), range(51, 59), range(60, 67), range(90, 96)) for n in some
+}
+
+
+def country_code(digits: str) -> str:
+    return next((digits[:n] for n in (1, 2) if digits[:n] in SHORT_CODES), digits[:3])
+
+
 def phone(text: str, cipher: Cipher) -> str | None:
-    """8 to 15 digits in all; the country code stays."""
-    code = re.match(r"\+[0-9]{1,3}", text)[0]
-    rest = digits_of(text[len(code) :])
-    if not 8 <= len(rest) + len(code) - 1 <= 15:
+    """8 to 15 digits in all; the country code stays, however the number is spelled.
+
+    North American numbers that may come without their code are permuted as those are.
+    """
+    digits = digits_of(text)
+    if not 8 <= len(digits) <= 15:
         return None
-    return code + refill(text[len(code) :], permuted_digits(cipher, f"phone{code}", rest))
+    code = country_code(digits)
+    rest = digits[len(code) :]
+    if code != "1" or len(rest) != 10:
+        rest = permuted_digits(cipher, f"phone+{code}", rest)
+    elif LOCAL.fullmatch(rest):
+        rest = local_digits(rest, cipher)
+    else:  # on to the next one that is no such number either
+        while LOCAL.fullmatch(rest := permuted_digits(cipher, "phone+1", rest)):
+            pass
+    return refill(text, code + rest)
 
 
 #: Digits of a whole number, country code included, where a country's numbers all have the same.
@@ -140,7 +161,7 @@ def phone_ends(text: str, found: re.Match) -> list[int]:
 
     def rank(end: int) -> tuple[int, bool, bool, int]:
         digits = digits_of(text[found.start() : end])
-        planned = any(PLAN_DIGITS.get(digits[:n]) == len(digits) for n in (1, 2, 3))
+        planned = PLAN_DIGITS.get(country_code(digits)) == len(digits)
         return sum(a < end for a in others), not planned, MORE.match(text, end) is not None, -end
 
     return sorted((b for _, b in runs if text[b : b + 1] != ")"), key=rank)
@@ -166,13 +187,19 @@ def _other_kinds() -> list[re.Pattern]:
     return [re.compile(r.pattern) for r in RULES if r.renew is not phone]
 
 
-def local_phone(text: str, cipher: Cipher) -> str:
-    """Ten digits of which the first and the fourth are 2 to 9, as its pattern says; they stay so."""
-    digits = digits_of(text)
+LOCAL = re.compile("[2-9][0-9]{2}[2-9][0-9]{6}")
+
+
+def local_digits(digits: str, cipher: Cipher) -> str:
     value = ((int(digits[0]) - 2) * 100 + int(digits[1:3])) * 800 + (int(digits[3]) - 2) * 100 + int(digits[4:6])
     value, line = divmod(cipher.permute("local phone", 800 * 800 * 10000, value * 10000 + int(digits[6:])), 10000)
     area, exchange = divmod(value, 800)
-    return refill(text, f"{area + 200}{exchange + 200}{line:04}")
+    return f"{area + 200}{exchange + 200}{line:04}"
+
+
+def local_phone(text: str, cipher: Cipher) -> str:
+    """Ten digits of which the first and the fourth are 2 to 9, as its pattern says; they stay so."""
+    return refill(text, local_digits(digits_of(text), cipher))
 
 
 def ip(text: str, cipher: Cipher) -> str | None:
