@@ -10,6 +10,7 @@ from helpers import DOCS
 from tokenizers import Tokenizer
 
 from tidemark.llm import packing as pk
+from tidemark.llm import stages
 from tidemark.llm.queries import QUERIES
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -65,6 +66,24 @@ def test_small(spark, tokenizer, capacity):
     check(pk.pack_documents(df, PATH, capacity).collect(), docs, tokenizer, capacity)
 
 
+SPECIAL = [*TEXTS, "one <|endoftext|> two", "A<|startoftext|>B.<|endoftext|>", "<|ENDOFTEXT|> <|EndOfText|> One", "é <|ENDOFTEXT|> <|endoftext|>", "<|endoftext|>\n<|endoftext|", "<|endoftext|>\u0338 x"]
+
+
+def test_special_tokens(spark, tmp_path):
+    as_it_is = Tokenizer.from_file(PATH)
+    assert as_it_is.encode("one <|endoftext|> two", add_special_tokens=False).ids == [637, 49407, 1237]
+    own = pk.WordTokenizer(PATH, plain=False)
+    rng = random.Random(5)
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "endoftext", *"aZé.,'!0 \n\t ", " ", " "]
+    texts = [t or "" for t in SPECIAL] + ["".join(rng.choice(bits) for _ in range(rng.randrange(30))) for _ in range(3000)]
+    assert [np.frombuffer(b, "<u4").tolist() for b in own.ids(texts)] == [as_it_is.encode(t, add_special_tokens=False).ids for t in texts]
+    docs = list(enumerate(SPECIAL))
+    df = spark.createDataFrame(docs, DOCS.split(", lang")[0])
+    df.selectExpr("*", "'en' lang", "'s' source", "5L n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    check(QUERIES["op7_best_fit_packing"](spark, str(tmp_path)).collect(), docs, as_it_is, 4096)
+    check(stages.packed(spark, df, "").collect(), docs, as_it_is, 4096)
+
+
 def first_fit(lengths, capacity):
     gaps = []
     for n in sorted(lengths, reverse=True):

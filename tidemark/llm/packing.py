@@ -33,21 +33,24 @@ CAPACITY = 4096
 END_ID = 1
 CACHED_WORDS = 500_000
 
-_tokenizers: dict[str, "WordTokenizer"] = {}
+_tokenizers: dict[tuple[str, bool], "WordTokenizer"] = {}
 
 
 class WordTokenizer:
     """A tokenizer that never joins what white space parts, with the ids of words it has met.
 
-    The memory of words only saves time; it starts anew when it is full.
+    The memory of words only saves time; it starts anew when it is full. With ``plain``
+    the names of special tokens in a text are ordinary text, otherwise those tokens.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, plain: bool = True) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = plain
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.special = () if plain else tuple(token.content.lower() for token in added)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -55,7 +58,7 @@ class WordTokenizer:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
-        split = [(t.lower() if t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
+        split = [(self._lower(t) if t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
         new = set().union(*split) - self.known.keys()
         if new:
             if len(self.known) + len(new) > CACHED_WORDS:
@@ -65,6 +68,11 @@ class WordTokenizer:
         find = self.known.__getitem__
         return [b"".join(map(find, words)) for words in split]
 
+    def _lower(self, text: str) -> str:
+        """In lower case, unless that has the name of a special token, which differs from other spellings."""
+        lower = text.lower()
+        return text if any(name in lower for name in self.special) else lower
+
     def _learn(self, words: list[str]) -> None:
         """Many plain words go through the tokenizer as one text, as each is one token with a word end."""
         plain, parts, rest = [], [], []
@@ -94,19 +102,19 @@ class WordTokenizer:
                 self.known[word] = np.array(found.ids, "<u4").tobytes()
 
 
-def word_tokenizer(path: str) -> WordTokenizer:
+def word_tokenizer(path: str, plain: bool) -> WordTokenizer:
     """One per worker process, which serves many tasks; a task leaves it without words."""
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+    if (path, plain) not in _tokenizers:
+        _tokenizers[path, plain] = WordTokenizer(path, plain)
+    return _tokenizers[path, plain]
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, number long"
 
 
-def _piece_pass(path: str, capacity: int, end_id: int):
+def _piece_pass(path: str, capacity: int, end_id: int, plain: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, part = word_tokenizer(path), TaskContext.get().partitionId()
+        tokenizer, part = word_tokenizer(path, plain), TaskContext.get().partitionId()
         end, met = np.array([end_id], "<u4").tobytes(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             rows: dict[str, list] = {name: [] for name in ("doc_id", "piece", "start", "length", "ids_crc32", "number")}
@@ -129,12 +137,12 @@ def _piece_pass(path: str, capacity: int, end_id: int):
     return run
 
 
-def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, plain: bool = True) -> DataFrame:
     """The pieces of all documents, stored, with ``number`` among the pieces of a length in ``part``."""
     texts = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
-    return stored(texts.mapInArrow(_piece_pass(path, capacity, end_id), PIECES), "pieces")
+    return stored(texts.mapInArrow(_piece_pass(path, capacity, end_id, plain), PIECES), "pieces")
 
 
 class Plan:
@@ -259,7 +267,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.mapInArrow(_place_pass(spark.sparkContext.broadcast(runs)), kinds)
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, plain: bool = True) -> DataFrame:
     """All documents as pieces of at most ``capacity`` tokens in as few sequences as best fit finds.
 
     ``docs`` has ``doc_id long`` and ``text string``; other columns are ignored.
@@ -268,6 +276,8 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
     sequence_id, offset``, a row per piece: ``start`` ids of the document come before
     it, ``offset`` ids of its sequence. Only documents over the capacity are cut. Null
     and empty texts are the end id alone. Each row is a document of its own, also if
-    it repeats a doc_id or has none. An empty table gives no rows.
+    it repeats a doc_id or has none. An empty table gives no rows. With ``plain`` the
+    names of special tokens in a text are ordinary text; without it they become those
+    tokens, as the tokenizer file says.
     """
-    return pack(token_pieces(docs, path, capacity, end_id), capacity)
+    return pack(token_pieces(docs, path, capacity, end_id, plain), capacity)

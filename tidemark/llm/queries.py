@@ -70,7 +70,7 @@ def tokenizer_path(name: str) -> str:
 
 @query("op7_best_fit_packing")
 def _op7(spark, sf_dir):
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE), capacity=4096, end_id=1)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE), capacity=4096, end_id=1, plain=False)
 
 
 @query("op1_language_id")

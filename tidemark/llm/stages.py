@@ -67,4 +67,4 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 4096 tokens."""
-    return packing.pack_documents(docs, tokenizer_path(WORD_BPE), capacity=4096, end_id=1)
+    return packing.pack_documents(docs, tokenizer_path(WORD_BPE), capacity=4096, end_id=1, plain=False)
