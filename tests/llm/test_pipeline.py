@@ -87,6 +87,21 @@ def test_each_stage(spark):
     assert set(final) == set(seen["near_duplicates"])
 
 
+def test_rows_that_share_a_doc_id(spark):
+    other = "Quite another story about a ship on the sea that came home after seven long years with nobody on board but a cat. "
+    third = "In the garden behind the house grew apples and pears and plums that nobody picked before the first snow had come. "
+    rows = [
+        (2, LONG * 3, "en", "b", 5), (2, other * 3, "en", "b", 5), (2, other * 3 + "And then.", "en", "b", 5),
+        (3, LONG * 3, "en", "b", 5), (3, third * 3, "en", "c", 5), (3, third * 3, "de", "b", 5),
+        (1, other * 3 + "The end.", "en", "b", 5), (4, third * 3 + "The end.", "en", "b", 5), (5, None, "en", "b", 5), (5, "", "en", "b", 5),
+        (None, third * 3, "en", "b", 5), (None, third * 3, "en", "b", 5),
+    ]
+    want = [(1, other * 3 + "The end.", "en", "b", 5), (2, LONG * 3, "en", "b", 5), (3, third * 3, "de", "b", 5), *rows[8:]]
+    for parts, some in ((1, rows), (5, rows[::-1])):
+        got = stages.near_duplicates(spark, spark.createDataFrame(some, DOCS).repartition(parts), "").collect()
+        assert sorted((tuple(r) for r in got), key=repr) == sorted(want, key=repr)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], DOCS)
     for _, stage in corpus_pipeline.STAGES:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import language_id, line_dedup, packing, secret_scan
+from tidemark.llm.common import stored
 from tidemark.llm.jaccard_join import jaccard_join
 from tidemark.llm.queries import WORD_BPE, tokenizer_path
 
@@ -44,13 +45,32 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that near-duplicate links connect: that with the smallest doc_id.
 
-    Links are those of five-word shingles and a similarity of 0.8 or more. A doc_id
-    that comes several times stays once; rows without doc_id and texts without words
-    link with nothing and stay.
+    Links are those of five-word shingles and a similarity of 0.8 or more. Rows that share
+    a doc_id but not the text are linked each for itself, so only copies and near copies of
+    what stays go; of equal doc_ids in a group one stays by a hash of its text, and of rows
+    that differ in other columns only the first in the order of these as JSON. Rows without
+    doc_id and texts without words link with nothing and stay, but for exact copies with
+    the same doc_id.
     """
-    found = jaccard_join(docs, size=5, percent=80)
-    chosen = found.where("doc_id = component_id").select(F.col("doc_id").alias("_chosen")).distinct()
-    kept = docs.join(chosen, F.col("doc_id") == F.col("_chosen")).drop("_chosen").dropDuplicates(["doc_id"])
+    rows = docs.where("doc_id is not null")
+    text = F.xxhash64("text")
+    several = rows.groupBy("doc_id").agg(F.min(text).alias("x"), F.max(text).alias("y")).where("x <> y")
+    several = stored(several.select(F.col("doc_id").alias("_several")), "repeated-ids")
+    own = F.xxhash64("doc_id", "text")
+    rows = rows.join(several, F.col("doc_id") == F.col("_several"), "left")
+    rows = rows.withColumn("_node", F.when(F.col("_several").isNull(), F.col("doc_id").cast("long")).otherwise(own))
+    nodes = stored(rows.where("_several is not null").select(F.col("_node").alias("_own"), F.col("_several").alias("_id")).distinct(), "row-nodes")
+
+    found = jaccard_join(rows.select(F.col("_node").alias("doc_id"), "text"), size=5, percent=80)
+    found = found.join(nodes, F.col("doc_id") == F.col("_own"), "left")
+    first = F.min(F.struct(F.coalesce("_id", "doc_id").alias("id"), F.col("doc_id").alias("node")))
+    chosen = found.groupBy("component_id").agg(first.alias("first")).select(F.col("first.node").alias("_chosen"))
+
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.to_json(F.struct(*others)) if others else F.lit("")
+    kept = rows.join(chosen, F.col("_node") == F.col("_chosen"))
+    kept = kept.groupBy("_node").agg(F.min_by(F.struct(*docs.columns), order).alias("_row"))
+    kept = kept.select(*[F.col(f"_row.{c}").alias(c) for c in docs.columns])
     return kept.unionByName(docs.where("doc_id is null"))
 
 
