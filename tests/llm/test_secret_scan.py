@@ -83,6 +83,29 @@ def test_against_plain(spark):
     assert sum(r.n_entropy for r in got) > 20
 
 
+def test_keys_behind_prefixes_and_beside_shown_parts(spark):
+    rng = random.Random(6)
+    pick = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    keys = [pick("0123456789ABCDEF", n) for n in (32, 40) for _ in range(20)]
+    rows = [(f"{before}{k}{after}", k) for k in keys for before, after in (("live_", ""), ("key-", ""), ("a/", "/b"), ("x+", "-y"))]
+    # a key of which every window has enough bits, at each end of a path with a part made to be shown
+    key = "aZ3kQ9xW7vB2nM5pL8rT4yC6"
+    rows += [(f"{key}/samples/in/it", key), (f"docs/sample-1/{key}", key), (f"Example_{key}", key), (f"{key}/dummy/{key}", key)]
+    got = ss.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string"))
+    got = got.select("doc_id", "text", F.array_sort(F.concat("base_spans", "added_spans")).alias("s"))
+    got = got.select("doc_id", ss.masked(F.col("text"), F.col("s")).alias("text")).collect()
+    assert len(got) == len(rows)
+    left = [rows[r.doc_id] for r in got if max((len(x) for x in re.findall("[0-9A-Z]+|" + key, r.text.replace(ss.MASK, " "))), default=0) > 12]
+    assert len(left) <= 8, left  # keys of which some windows have few bits
+    assert all(key not in r.text for r in got)
+
+
+def test_what_is_allowed_stays(spark):
+    texts = ["sha256-" + "0123456789ABCDEF" * 3, "order-12345678901234567890", "aZ3kQ9xW7vEXAMPLEB2nM5pL8rT4yC6", "Sample/some-path/with/2-parts", "123E4567-E89B-12D3-A456-426614174000"]
+    got = ss.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(r.added_spans == [] for r in got), got
+
+
 def test_mask(spark):
     rows = list(enumerate(texts()))
     df = ss.scan(spark.createDataFrame(rows, "doc_id long, text string"))

@@ -1,11 +1,13 @@
 """Secret scans with DataFrame functions only: fixed patterns, and entropy in sliding windows.
 
 Candidates of the entropy scan are runs of one character class: hexadecimal digits, or
-the characters of base 64 and its variants. A window slides over each candidate; the
+the characters of base 64 and its variants. A hexadecimal part of a longer run, between
+its signs, is a candidate of its own, as keys come behind prefixes. A window slides over each candidate; the
 counts of its characters change by one step in and one step out, and with them the sum
 of c * log2(c), from which the window's Shannon entropy follows. Windows over their
 class's threshold become spans, overlapping ones a single span. Candidates on the
-allow-list are passed over: they look random and are no secrets.
+allow-list are passed over: they look random and are no secrets. Parts made to be shown
+are passed over for themselves; what comes before and after them is judged.
 """
 
 from __future__ import annotations
@@ -34,7 +36,9 @@ class CharacterClass:
 
 
 CLASSES = {
-    "entropy_hex": CharacterClass(r"(?<![A-Za-z0-9+/_-])[0-9A-Fa-f]{20,}(?![A-Za-z0-9+/_-])", 20, 3.0),
+    "entropy_hex": CharacterClass(
+        r"(?<![A-Za-z0-9])(?<!sha1-)(?<!sha256-)(?<!sha384-)(?<!sha512-)[0-9A-Fa-f]{20,}(?![A-Za-z0-9])", 20, 3.0
+    ),
     "entropy_b64": CharacterClass(r"[A-Za-z0-9+/_-]{20,}={0,2}", 20, 3.7),
 }
 ALLOWED = (
@@ -42,9 +46,9 @@ ALLOWED = (
     r"^[^0-9]*$",  # words: no digit at all
     r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",  # a UUID
     r"^[a-z]+([-_/][a-z0-9]+)+$",  # a path or name in lower-case parts
-    r"(?i:example|sample|dummy|xxxx)",  # made to be shown
     r"^sha(1|256|384|512)-",  # a digest that pages publish
 )
+SHOWN = r"(?<![A-Za-z0-9])[A-Za-z0-9]*(?i:example|sample|dummy|xxxx)[A-Za-z0-9]*[+/_-]*"
 
 
 def found(text: Column, pattern: str, kind: str, least_of_group: int = 0) -> Column:
@@ -139,10 +143,27 @@ def entropy_spans(text: Column, kind: str, rule: CharacterClass) -> Column:
     allowed = lambda c: F.lit(False) if not ALLOWED else _any(c.rlike(p) for p in ALLOWED)
     candidate = lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"])
 
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def between(c):
+        """The pieces of a candidate between its parts made to be shown, if a window fits in."""
+
+        def cut(shown):
+            starts = F.concat(F.array(F.lit(0)), F.transform(shown, lambda x: x["end"]))
+            ends = F.concat(F.transform(shown, lambda x: x["start"]), F.array(F.length(c)))
+            return F.arrays_zip(starts.alias("start"), ends.alias("end"))
+
+        return F.filter(_only(found(c, SHOWN, kind), cut), lambda p: p["end"] - p["start"] >= rule.window)
+
+    def busy(c):
+        def windows(p):
+            own = lambda part: F.when(~allowed(part), busy_windows(part, rule.window, rule.bits)).otherwise(none)
+            moved = lambda b: F.struct((p["start"] + b["start"]).alias("start"), (p["start"] + b["end"]).alias("end"))
+            return F.transform(_only(F.substring(c, p["start"] + 1, p["end"] - p["start"]), own), moved)
+
+        return F.when(~allowed(c), F.flatten(F.transform(between(c), windows))).otherwise(none)
+
     def of(s):
-        busy = lambda c: F.when(~allowed(c), busy_windows(c, rule.window, rule.bits)).otherwise(
-            F.array().cast("array<struct<start:int,end:int>>")
-        )
         return F.transform(
             _only(candidate(s), busy),
             lambda b: F.struct((s["start"] + b["start"]).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (s["start"] + b["end"]).alias("end")),
