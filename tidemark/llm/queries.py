@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup as exact
+from tidemark.llm import hard_negatives as hard
 from tidemark.llm import language_id as language
 from tidemark.llm import line_dedup as lines
 from tidemark.llm import secret_scan as secrets
@@ -108,3 +110,13 @@ PIECE_MODEL = "piece_bpe_32k.model"
 @query("op10_sentencepiece_unigram")
 def _op10(spark, sf_dir):
     return unigram.round_trip(table(spark, sf_dir, "documents"), unigram.load(tokenizer_path(PIECE_MODEL), ranks=True))
+
+
+@query("op11_hard_negatives")
+def _op11(spark, sf_dir):
+    """Anchors are the rows whose id is divisible by 50."""
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", hard.shifted(F.col("label"), F.col("vec_id")))
+    return hard.mine(rows, F.col("vec_id") % 50 == 0)
+
+
+ORACLE["op11_hard_negatives"] = hard.SQL
