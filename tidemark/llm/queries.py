@@ -13,6 +13,7 @@ from tidemark.llm import language_id as language
 from tidemark.llm import line_dedup as lines
 from tidemark.llm import secret_scan as secrets
 from tidemark.llm import packing
+from tidemark.llm import periodic_runs as runs
 from tidemark.llm import pseudonyms as pii
 from tidemark.llm import unigram
 from tidemark.llm import vector_search as vectors
@@ -120,3 +121,9 @@ def _op11(spark, sf_dir):
 
 
 ORACLE["op11_hard_negatives"] = hard.SQL
+
+
+@query("op12_periodic_runs")
+def _op12(spark, sf_dir):
+    """Every tenth text is made periodic first, as the given ones have few runs."""
+    return runs.digest(runs.periodic_runs(runs.made_periodic(table(spark, sf_dir, "documents"))))
