@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import exact_dedup as exact
 from tidemark.llm import hard_negatives as hard
 from tidemark.llm import language_id as language
+from tidemark.llm import license_scan as licences
 from tidemark.llm import line_dedup as lines
 from tidemark.llm import secret_scan as secrets
 from tidemark.llm import packing
@@ -127,3 +128,11 @@ ORACLE["op11_hard_negatives"] = hard.SQL
 def _op12(spark, sf_dir):
     """Every tenth text is made periodic first, as the given ones have few runs."""
     return runs.digest(runs.periodic_runs(runs.made_periodic(table(spark, sf_dir, "documents"))))
+
+
+@query("op13_license_scan")
+def _op13(spark, sf_dir):
+    return licences.digest(licences.scan(table(spark, sf_dir, "documents")))
+
+
+ORACLE["op13_license_scan"] = licences.SQL
