@@ -1,4 +1,4 @@
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 from conftest import SF_DIR, plan
 from helpers import DOCS
@@ -9,14 +9,17 @@ from tidemark.llm.queries import ORACLE, QUERIES
 
 
 def plain(rows, ratio, least):
-    pages = defaultdict(set)
+    pages = defaultdict(list)
     for _, text, host in rows:
         if host is not None:
-            pages[host].add(text)
+            pages[host].append(text)
     common = {}
     for host, texts in pages.items():
-        n = Counter(x for t in texts if t is not None for x in {y.strip(" ") for y in t.split("\n")} - {""})
-        common[host] = {x for x, c in n.items() if c >= least and c > ratio * len(texts)}
+        have = defaultdict(list)
+        for t in texts:
+            for x in {y.strip(" ") for y in t.split("\n")} - {""} if t is not None else ():
+                have[x].append(t)
+        common[host] = {x for x, own in have.items() if len(set(own)) >= least and len(own) > ratio * len(texts)}
     out = []
     for doc, text, host in rows:
         lines = text.split("\n") if text is not None else []
@@ -46,6 +49,20 @@ def test_small(spark):
         assert sorted((tuple(r) for r in got), key=repr) == plain(ROWS, ratio, least)
 
 
+def test_copies_count_as_pages(spark):
+    """Of 1,000 pages, 900 are copies: a line of 11 others stays, one of 101 pages goes, the copied text stays."""
+    rows = [(i, "copied\nseldom two" if i < 2 else "copied", "a") for i in range(900)]
+    rows += [(1000 + i, f"own {i}" + "\nseldom" * (i < 11) + "\noften" * (i < 100), "a") for i in range(100)] + [(2000, "copied\noften", "a")]
+    rows += [(3000 + i, "one\ntext", "b") for i in range(50)] + [(4000 + i, f"menu\n{i}", "c") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((tuple(r) for r in ld.line_dedup(df).select("doc_id", "text", "n_lines", "n_dropped").collect()), key=repr)
+    assert got == plain(rows, ld.RATIO, ld.LEAST_TEXTS)
+    dropped = {r[0]: r[3] for r in got}
+    assert dropped[1000] == 1 and dropped[1099] == 1 and dropped[5] == 1 and dropped[3000] == 0 and dropped[4000] == 1
+    texts = {r[0]: r[1] for r in got}
+    assert texts[1000] == "own 0\nseldom" and texts[3000] == "one\ntext" and texts[4003] == "3"
+
+
 def test_empty_and_other_columns(spark):
     assert ld.line_dedup(spark.createDataFrame([], DOCS)).collect() == []
     rows = [(i, f"m\n{i}", "h", "page", 3, ["x"]) for i in range(9)]

@@ -30,7 +30,7 @@ def brute_force(spark, rows):
     kept = {r.doc_id for r in found if r.lang_pred != "und" and r.score >= stages.LEAST_SCORE}
     rows = [r for r in rows if r[0] in kept]
     assert all(plain_points(r[1]).strip() for r in rows)
-    lines = plain_lines([(r[0], r[1], r[3]) for r in rows], line_dedup.RATIO, line_dedup.LEAST_PAGES)
+    lines = plain_lines([(r[0], r[1], r[3]) for r in rows], line_dedup.RATIO, line_dedup.LEAST_TEXTS)
     texts = {d: t for d, t, _, dropped in lines if not dropped or t.strip()}
     component = jaccard_components(texts.items(), 5, 80)
     return [(d, masked(t)) for d, t in texts.items() if component[d] == d]
