@@ -55,8 +55,12 @@ def test_ids(tokenizer, monkeypatch):
     own = pk.WordTokenizer(PATH)
     want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     assert [np.frombuffer(b, "<u4").tolist() for b in own.ids(texts)] == want
-    monkeypatch.setattr(pk, "CACHED_WORDS", 50)
-    assert [np.frombuffer(own.ids([t])[0], "<u4").tolist() for t in texts[:300]] == want[:300]
+    monkeypatch.setattr(pk, "KNOWN_BYTES", 20_000)
+    most = 0
+    for t, ids in zip(texts[:600], want, strict=False):
+        assert np.frombuffer(own.ids([t])[0], "<u4").tolist() == ids
+        most = max(most, len(own.known) + len(own.older))
+    assert own.size < 20_000 and len(own.known) + len(own.older) < 200 < most
 
 
 @pytest.mark.parametrize("capacity", [7, 64, 4096])

@@ -31,7 +31,9 @@ from tidemark.llm.common import slices, stored
 
 CAPACITY = 4096
 END_ID = 1
-CACHED_WORDS = 500_000
+KNOWN_BYTES = 48 << 20
+"""About how much memory the words that a worker process remembers may take."""
+ENTRY_BYTES = 200
 
 _tokenizers: dict[tuple[str, bool], "WordTokenizer"] = {}
 
@@ -39,8 +41,9 @@ _tokenizers: dict[tuple[str, bool], "WordTokenizer"] = {}
 class WordTokenizer:
     """A tokenizer that never joins what white space parts, with the ids of words it has met.
 
-    The memory of words only saves time; it starts anew when it is full. With ``plain``
-    the names of special tokens in a text are ordinary text, otherwise those tokens.
+    The memory of words only saves time. It has two halves: words in use move into the
+    newer one, and when that is full the older one goes. With ``plain`` the names of
+    special tokens in a text are ordinary text, otherwise those tokens.
     """
 
     def __init__(self, path: str, plain: bool = True) -> None:
@@ -55,16 +58,20 @@ class WordTokenizer:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+        self.size = 0
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
         split = [(self._lower(t) if t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
+        if self.size > KNOWN_BYTES // 2:
+            self.known, self.older, self.size = {"": b""}, self.known, 0
         new = set().union(*split) - self.known.keys()
         if new:
-            if len(self.known) + len(new) > CACHED_WORDS:
-                self.known = {"": b""}
-                new = set().union(*split) - self.known.keys()
-            self._learn(list(new))
+            again = new & self.older.keys()
+            self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
+            self._learn(list(new - again))
+            self.size += sum(map(len, new)) + sum(len(self.known[word]) for word in new) + ENTRY_BYTES * len(new)
         find = self.known.__getitem__
         return [b"".join(map(find, words)) for words in split]
 
@@ -103,7 +110,7 @@ class WordTokenizer:
 
 
 def word_tokenizer(path: str, plain: bool) -> WordTokenizer:
-    """One per worker process, which serves many tasks; a task leaves it without words."""
+    """One per worker process, which serves many tasks."""
     if (path, plain) not in _tokenizers:
         _tokenizers[path, plain] = WordTokenizer(path, plain)
     return _tokenizers[path, plain]
@@ -132,7 +139,6 @@ def _piece_pass(path: str, capacity: int, end_id: int, plain: bool):
             columns = [pa.array(v, pa.int32() if k == "piece" else pa.int64()) for k, v in rows.items()]
             columns.insert(5, pa.array([part] * len(columns[0]), pa.int32()))
             yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in PIECES.split(", ")])
-        tokenizer.known = {"": b""}  # the worker lives on and serves other work
 
     return run
 
@@ -261,6 +267,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     starts = counts.select(
         F.col("part").alias("part_"), F.col("length").alias("length_"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")
     )
+    starts = starts.hint("shuffle_hash")  # as many rows as tasks times lengths, which grows with the corpus
     ranked = pieces.join(starts, (F.col("part") == F.col("part_")) & (F.col("length") == F.col("length_")))
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("number")).alias("rank"))
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
