@@ -55,12 +55,20 @@ def test_ids(tokenizer, monkeypatch):
     own = pk.WordTokenizer(PATH)
     want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     assert [np.frombuffer(b, "<u4").tolist() for b in own.ids(texts)] == want
-    monkeypatch.setattr(pk, "KNOWN_BYTES", 20_000)
-    most = 0
+    monkeypatch.setattr(pk, "KNOWN_BYTES", 4_000)
+    monkeypatch.setattr(pk, "NEW_WORDS", 20)
+    own, most = pk.WordTokenizer(PATH), 0
     for t, ids in zip(texts[:600], want, strict=False):
         assert np.frombuffer(own.ids([t])[0], "<u4").tolist() == ids
-        most = max(most, len(own.known) + len(own.older))
-    assert own.size < 20_000 and len(own.known) + len(own.older) < 200 < most
+        most = max(most, own.table.size + own.older.size + own.new.size)
+    assert 2_000 < most < 60_000 and len(own.older.keys)  # one text of 3,000 words is among them
+
+
+def test_long_text_in_blocks(tokenizer):
+    rng = random.Random(4)
+    text = "".join(rng.choice(["word ", "Ünder. ", "x\n", "don't ", "a" * 50 + " ", "é"]) for _ in range(200_000))
+    assert len(text) > pk.BLOCK
+    assert np.frombuffer(pk.WordTokenizer(PATH).ids([text])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("capacity", [7, 64, 4096])

@@ -17,9 +17,12 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,23 +30,63 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, stored
+from tidemark.llm.common import slices, stored, utf8
+from tidemark.llm.words import BLOCK, blocks, placed_words
 
 CAPACITY = 4096
 END_ID = 1
 KNOWN_BYTES = 48 << 20
-"""About how much memory the words that a worker process remembers may take."""
-ENTRY_BYTES = 200
+"""How much memory the words that a worker process remembers may take, about."""
+NEW_WORDS = 1 << 16
+PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ſ]+")
+"""Words that the tokenizer's normaliser only turns into lower case."""
+PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ſ]+|[0-9]|[^a-zà-öø-ſ0-9]+")
+"""How the tokenizer cuts plain words in lower case: fixed endings, letters, single digits, other signs."""
 
 _tokenizers: dict[tuple[str, bool], "WordTokenizer"] = {}
 
 
+def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each pair, ``count`` of them, in a row."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
+
+
+class WordTable:
+    """Ids by the 64-bit hash of a word, in sorted arrays: some thirty bytes a word."""
+
+    def __init__(self) -> None:
+        self.keys, self.starts, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the keys are there, and at which place."""
+        if not len(self.keys):
+            return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.keys[at] == keys, at
+
+    def add(self, keys: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        """Put in sorted keys that are not there yet."""
+        at = np.searchsorted(self.keys, keys)
+        starts = len(self.ids) + np.cumsum(counts) - counts
+        self.keys, self.starts, self.counts = (
+            np.insert(old, at, new) for old, new in ((self.keys, keys), (self.starts, starts), (self.counts, counts))
+        )
+        self.ids = np.concatenate([self.ids, ids])
+
+    @property
+    def size(self) -> int:
+        return self.keys.nbytes + self.starts.nbytes + self.counts.nbytes + self.ids.nbytes
+
+
 class WordTokenizer:
     """A tokenizer that never joins what white space parts, with the ids of words it has met.
 
-    The memory of words only saves time. It has two halves: words in use move into the
-    newer one, and when that is full the older one goes. With ``plain`` the names of
-    special tokens in a text are ordinary text, otherwise those tokens.
+    Words are looked up by hash, many at a time. The memory of words only saves time: new
+    words gather in a small table, go on into a larger one, and when that is full the one
+    filled before it is dropped. With ``plain`` the names of special tokens in a text are
+    ordinary text, otherwise those tokens.
     """
 
     def __init__(self, path: str, plain: bool = True) -> None:
@@ -53,60 +96,114 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain
         added = self.tokenizer.get_added_tokens_decoder().values()
-        self.special = () if plain else tuple(token.content.lower() for token in added)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
-        self.size = 0
+        self.special = () if plain else tuple(token.content.lower().encode() for token in added)
+        self.model = self.tokenizer.model
+        self.older, self.table, self.new = WordTable(), WordTable(), WordTable()
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each one's begin and end."""
+        data, bounds = utf8(texts)
+        if len(bounds) == 2 and len(data) > BLOCK:
+            parts = [data] if self._named(data) else blocks(data)
+            found = [self._ids(part, np.array([0, len(part)]))[0] for part in parts]
+            ids = np.concatenate(found)
+            return ids, np.array([0, len(ids)])
+        return self._ids(data, bounds)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
-        split = [(self._lower(t) if t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
-        if self.size > KNOWN_BYTES // 2:
-            self.known, self.older, self.size = {"": b""}, self.known, 0
-        new = set().union(*split) - self.known.keys()
-        if new:
-            again = new & self.older.keys()
-            self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
-            self._learn(list(new - again))
-            self.size += sum(map(len, new)) + sum(len(self.known[word]) for word in new) + ENTRY_BYTES * len(new)
-        find = self.known.__getitem__
-        return [b"".join(map(find, words)) for words in split]
-
-    def _lower(self, text: str) -> str:
-        """In lower case, unless that has the name of a special token, which differs from other spellings."""
-        lower = text.lower()
-        return text if any(name in lower for name in self.special) else lower
-
-    def _learn(self, words: list[str]) -> None:
-        """Many plain words go through the tokenizer as one text, as each is one token with a word end."""
-        plain, parts, rest = [], [], []
-        for word in words:
-            if word.isalpha():
-                plain.append(word)
-                parts.append(1)
-            elif word[-1] in ".," and word[:-1].isalpha():
-                plain.append(word)
-                parts.append(2)
-            else:
-                rest.append(word)
-        for i in range(0, len(plain), 1000):
-            some, ends = plain[i : i + 1000], np.cumsum(parts[i : i + 1000])
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != ends[-1]:  # a letter whose lower case is more than a letter
-                rest += some
+        found, bounds = self.texts(pa.array(texts, pa.string()))
+        return [found[a:b].astype("<u4").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def _named(self, data: np.ndarray) -> bool:
+        """Whether a text has the name of a special token, in any spelling."""
+        lower = data.tobytes().lower()
+        return any(name in lower for name in self.special)
+
+    def _ids(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        hashes, first, last = placed_words(data, bounds)
+        edges = np.searchsorted(first, bounds)
+        words, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        counts, ids = self._known(words, index, data, first, last)
+        each = counts[inverse]
+        flat = ids[ragged((np.cumsum(counts) - counts)[inverse], each)]
+        starts = np.concatenate([[0], np.cumsum(each)])[edges]
+        if self.special and self._named(data):  # their upper-case spellings are other tokens
+            parts = [flat[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+            for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+                if self._named(data[a:b]):
+                    parts[i] = np.array(self.tokenizer.encode(data[a:b].tobytes().decode(), add_special_tokens=False).ids, np.uint32)
+            flat, starts = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        return flat, starts
+
+    def _known(self, words: np.ndarray, index: np.ndarray, data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each word, and all ids in a row; new words are learned."""
+        counts, missing, found = np.zeros(len(words), np.int64), np.ones(len(words), bool), []
+        for table in (self.table, self.older, self.new):
+            hit, at = table.find(words)
+            hit &= missing
+            counts[hit] = table.counts[at[hit]]
+            found.append((hit, table.ids[ragged(table.starts[at[hit]], table.counts[at[hit]])]))
+            missing &= ~hit
+        if missing.any():
+            places = index[missing]
+            raw = data.tobytes()
+            learned = self._learn([raw[a:b].decode() for a, b in zip(first[places].tolist(), last[places].tolist(), strict=True)])
+            counts[missing] = [len(x) // 4 for x in learned]
+            ids = np.frombuffer(b"".join(learned), np.uint32)
+            self._remember(words[missing], counts[missing], ids)
+            found.append((missing, ids))
+        total = np.empty(int(counts.sum()), np.uint32)
+        starts = np.cumsum(counts) - counts
+        for some, ids in found:
+            total[ragged(starts[some], counts[some])] = ids
+        return counts, total
+
+    def _remember(self, keys: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        if self.table.size > KNOWN_BYTES // 2:
+            self.older, self.table = self.table, WordTable()
+        self.new.add(keys, counts, ids)
+        if len(self.new.keys) > NEW_WORDS:
+            new, self.new = self.new, WordTable()
+            there, _ = self.table.find(new.keys)
+            order = np.flatnonzero(~there)
+            self.table.add(new.keys[order], new.counts[order], new.ids[ragged(new.starts[order], new.counts[order])])
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """The ids of words: plain ones piece by piece through the merges alone, others through the whole tokenizer.
+
+        What the tokenizer does before its merges has no effect on plain words but for the
+        lower case and the cut into pieces.
+        """
+        found, rest = [b""] * len(words), []
+        pieces: dict[str, bytes] = {}
+        for i, word in enumerate(words):
+            if not PLAIN.fullmatch(word):
+                rest.append(i)
                 continue
-            raw, at = ids.tobytes(), 0
-            for word, cut in zip(some, (cuts[ends - 1] * 4).tolist(), strict=True):
-                self.known[word] = raw[at:cut]
-                at = cut
-        for i in range(0, len(rest), 1000):
-            some = rest[i : i + 1000]
-            for word, found in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(found.ids, "<u4").tobytes()
+            own = PIECE.findall(word.lower())
+            for piece in own:
+                if piece not in pieces:
+                    pieces[piece] = self._piece(piece)
+            found[i] = pieces[own[0]] if len(own) == 1 else b"".join([pieces[x] for x in own])
+        for at in range(0, len(rest), 1000):
+            some = rest[at : at + 1000]
+            for i, own in zip(some, self.tokenizer.encode_batch([words[i] for i in some], add_special_tokens=False), strict=True):
+                found[i] = np.array(own.ids, np.uint32).tobytes()
+        return found
+
+    def _piece(self, piece: str) -> bytes:
+        spelled = piece if piece.isascii() else "".join(map(byte_letters().__getitem__, piece.encode()))
+        ids = [token.id for token in self.model.tokenize(spelled)]
+        return struct.pack(f"={len(ids)}I", *ids)
+
+
+@lru_cache(maxsize=1)
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it can be printed, else one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    return [chr(b if b in shown else next(hidden)) for b in range(256)]
 
 
 def word_tokenizer(path: str, plain: bool) -> WordTokenizer:
@@ -126,9 +223,10 @@ def _piece_pass(path: str, capacity: int, end_id: int, plain: bool):
         for batch in batches:
             rows: dict[str, list] = {name: [] for name in ("doc_id", "piece", "start", "length", "ids_crc32", "number")}
             for some in slices(batch, "text"):
-                found = tokenizer.ids(some.column("text").to_pylist())
-                for doc_id, ids in zip(some.column("doc_id").to_pylist(), found, strict=True):
-                    ids += end
+                flat, bounds = tokenizer.texts(some.column("text"))
+                raw, bounds = flat.astype("<u4").tobytes(), (4 * bounds).tolist()
+                for doc_id, a, b in zip(some.column("doc_id").to_pylist(), bounds[:-1], bounds[1:], strict=True):
+                    ids = raw[a:b] + end
                     for i, at in enumerate(range(0, len(ids) // 4, capacity)):
                         own = ids[4 * at : 4 * (at + capacity)]
                         length = len(own) // 4

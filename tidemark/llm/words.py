@@ -26,14 +26,20 @@ def _bytes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One hash per word of every text, and where each text's words begin.
+    """One hash per word of every text, and where each text's words begin."""
+    hashes, first, _ = placed_words(data, bounds)
+    return hashes, np.searchsorted(first, bounds).astype(np.int64)
+
+
+def placed_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One hash per word of every text, and the bytes where it begins and ends.
 
     A word's hash is the sum of a random number for each pair of place and byte,
     mixed with its length, so that equal words and only they agree (but for chance).
     """
     blank, lower, placed = _bytes()
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     spaces = blank[data]
     before = np.empty(len(data) + 1, bool)
     before[0] = True
@@ -56,21 +62,24 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
         starts = np.cumsum(lengths) - lengths
         sums = np.add.reduceat(values, starts) if len(starts) else np.zeros(0, np.uint64)
         hashes = mix64(sums + lengths.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-    return hashes, np.searchsorted(first, bounds).astype(np.int64)
+    return hashes, first, last
 
 
-def _long_text(data: np.ndarray) -> np.ndarray:
-    """The same for one very long text, by blocks that end at blanks."""
-    blank = _bytes()[0]
-    found, start = [], 0
+def blocks(data: np.ndarray) -> Iterator[np.ndarray]:
+    """A very long text in blocks that end at blanks."""
+    blank, start = _bytes()[0], 0
     while start < len(data):
         stop = min(start + BLOCK, len(data))
         while stop < len(data) and not blank[data[stop]]:
             gap = np.flatnonzero(blank[data[stop : stop + BLOCK]])
             stop = stop + int(gap[0]) if len(gap) else min(stop + BLOCK, len(data))
-        part = data[start:stop]
-        found.append(word_hashes(part, np.array([0, len(part)]))[0])
+        yield data[start:stop]
         start = stop
+
+
+def _long_text(data: np.ndarray) -> np.ndarray:
+    """The hashes of the words of one very long text."""
+    found = [word_hashes(part, np.array([0, len(part)]))[0] for part in blocks(data)]
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
