@@ -64,6 +64,16 @@ def test_ids(tokenizer, monkeypatch):
     assert 2_000 < most < 60_000 and len(own.older.keys)  # one text of 3,000 words is among them
 
 
+def test_plain_words_of_all_letters(tokenizer):
+    rng = random.Random(6)
+    letters = [chr(c) for c in range(0x20, 0x180)]
+    texts = [f"{chr(c)}a{chr(c)}'s{chr(c)}1{chr(c)}" for c in range(0x21, 0x2500)]
+    texts += ["".join(rng.choice(letters) for _ in range(40)) for _ in range(5000)]
+    got = pk.WordTokenizer(PATH).ids(texts)
+    for text, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_long_text_in_blocks(tokenizer):
     rng = random.Random(4)
     text = "".join(rng.choice(["word ", "Ünder. ", "x\n", "don't ", "a" * 50 + " ", "é"]) for _ in range(200_000))

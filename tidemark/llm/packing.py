@@ -40,7 +40,7 @@ KNOWN_BYTES = 48 << 20
 NEW_WORDS = 1 << 16
 PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ſ]+")
 """Words that the tokenizer's normaliser only turns into lower case."""
-PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ſ]+|[0-9]|[^a-zà-öø-ſ0-9]+")
+PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-zß-öø-ſ0-9]+")
 """How the tokenizer cuts plain words in lower case: fixed endings, letters, single digits, other signs."""
 
 _tokenizers: dict[tuple[str, bool], "WordTokenizer"] = {}
