@@ -6,6 +6,7 @@ from tidemark.operators.cleaning import (
     events_once,
     flatten,
     is_complete,
+    late_events,
     on_day,
     require_columns,
     select_columns,
@@ -27,6 +28,7 @@ from tidemark.operators.counting import (
     user_counts,
     with_ratios,
 )
+from tidemark.operators.parts import KINDS, LATE, OWN, count_parts, roll_up
 from tidemark.operators.ranking import (
     first_per_day,
     leaders_per_hour,
@@ -50,14 +52,18 @@ from tidemark.operators.serving import (
     top_users_card,
     trend_filled,
 )
-from tidemark.operators.trends import hourly_counts, keep_top, labels_of_day, trend_long, trend_of, trend_wide, widen
+from tidemark.operators.trends import hourly_counts, keep_top, labels_of_day, trend_from, trend_long, trend_of, trend_wide, widen
 
 __all__ = [
     "CONTRIBUTIONS",
+    "KINDS",
+    "LATE",
+    "OWN",
     "REPO_KINDS",
     "activity_metrics",
     "avg_events_per_user",
     "breakdown",
+    "count_parts",
     "day_trend",
     "dedupe",
     "drop_incomplete",
@@ -75,6 +81,7 @@ __all__ = [
     "keep_top",
     "kpi_summary",
     "labels_of_day",
+    "late_events",
     "leaders_per_hour",
     "most_pushed",
     "most_starred",
@@ -87,6 +94,7 @@ __all__ = [
     "rank_by_count",
     "repo_counts",
     "require_columns",
+    "roll_up",
     "select_columns",
     "starred_cards",
     "top_counted",
@@ -96,6 +104,7 @@ __all__ = [
     "top_repos",
     "top_users_card",
     "trend_filled",
+    "trend_from",
     "trend_long",
     "trend_of",
     "trend_wide",

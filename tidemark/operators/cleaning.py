@@ -74,20 +74,28 @@ def flatten(df: DataFrame, extra: Sequence[str] = (), marks: Mapping[str, Column
     return df.select(*columns)
 
 
-def events_once(events: DataFrame, ingest: str) -> DataFrame:
-    """The event table with each event once per day, however often it was delivered.
+def late_events(events: DataFrame, ingest: str) -> DataFrame:
+    """Events that came with another day's files only, each once.
 
     ``ingest`` has the day of the file an event came in. The files of one day
     hold an event once, so only events from another day's files can be there
-    again. These few are looked up among the day's own by id; the day's own
-    events are not moved as a whole.
+    again. These few are looked up by id among the day's own, of which
+    nothing but the id is read.
     """
     day, key = F.make_date(*DAY_PARTS), [*DAY_PARTS, "event_id"]
-    own, others = events.where(F.col(ingest) == day), events.where(F.col(ingest) != day)
     first = F.row_number().over(Window.partitionBy(*key).orderBy(ingest))
-    others = others.withColumn("_copy", first).where(F.col("_copy") == 1).drop("_copy")
-    there = own.select(*key).join(others.select(*key), key, "left_semi")
-    return own.unionByName(others.join(there, key, "left_anti").select(*own.columns))
+    others = events.where(F.col(ingest) != day).withColumn("_copy", first).where(F.col("_copy") == 1).drop("_copy")
+    own = events.where(F.col(ingest) == day).select(*key)
+    return others.join(own, key, "left_anti").select(*events.columns)
+
+
+def events_once(events: DataFrame, ingest: str) -> DataFrame:
+    """The event table with each event once per day, however often it was delivered.
+
+    The day's own events are not moved.
+    """
+    own = events.where(F.col(ingest) == F.make_date(*DAY_PARTS))
+    return own.unionByName(late_events(events, ingest))
 
 
 def on_day(df: DataFrame, date: DateLike, ts_col: str = "created_at") -> DataFrame:

@@ -134,6 +134,8 @@ def overview_counts(
     users: DataFrame | None = None,
     repos: DataFrame | None = None,
     orgs: DataFrame | None = None,
+    issues: DataFrame | None = None,
+    prs: DataFrame | None = None,
     wanted: Sequence[str] = OVERVIEW_COUNTS,
     issue: str = "issue_id",
     pr: str = "pr_id",
@@ -148,8 +150,8 @@ def overview_counts(
     day; the counts per day are put together at the end. A popular repository
     shrinks to one row per task before the shuffle. Kinds that nobody wants are
     not read; a plain count per day keeps the days that have events of other
-    kinds only. The counts per user, repository and organisation may be handed
-    in where they are there already. The last arguments are column paths, so
+    kinds only. The counts per user, repository and organisation, the issues opened
+    and the pull requests with their steps may be handed in where they are there already. The last arguments are column paths, so
     raw nested events can be counted as they are.
     """
     kinds = {
@@ -166,8 +168,8 @@ def overview_counts(
             },
         ),
         "orgs": (lambda: org_counts(df, date) if orgs is None else orgs, {"no_of_unique_organizations": _rows()}),
-        "issues": (lambda: _opened_issues(df, date, issue, action), {"issues_opened": _rows()}),
-        "prs": (lambda: _pull_requests(df, date, pr, action), {name: F.count_if(F.col(name)) for name in PR_STEPS}),
+        "issues": (lambda: _opened_issues(df, date, issue, action) if issues is None else issues, {"issues_opened": _rows()}),
+        "prs": (lambda: _pull_requests(df, date, pr, action) if prs is None else prs, {name: F.count_if(F.col(name)) for name in PR_STEPS}),
     }
     chosen = {name: kind for name, kind in kinds.items() if set(kind[1]) & set(wanted) - {"total_events"}}
     if "users" not in chosen:

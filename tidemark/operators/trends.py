@@ -46,9 +46,14 @@ def trend_of(df: DataFrame, top: DataFrame, key: str) -> DataFrame:
     at most, rather than events. (A semi-join would be moved below the counting,
     to the events.)
     """
+    return trend_from(hourly_counts(scoped(df, None), key).withColumnRenamed("no_of_events", "n"), top, key)
+
+
+def trend_from(hourly: DataFrame, top: DataFrame, key: str) -> DataFrame:
+    """The same from counts ``n`` per hour and name, of which each pair has one row."""
     on = ["event_date", key]
-    kept = hourly_counts(scoped(df, None), key).join(top.select(*on).distinct(), on)
-    return kept.select("event_date", "hour", key, "no_of_events")
+    kept = hourly.join(top.select(*on).distinct(), on)
+    return kept.select("event_date", "hour", key, F.col("n").alias("no_of_events"))
 
 
 def trend_long(df: DataFrame, key: str, k: int, date: DateLike | None = None) -> DataFrame:

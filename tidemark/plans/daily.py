@@ -2,37 +2,50 @@
 
 from __future__ import annotations
 
-import contextlib
 import datetime as dt
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Mapping, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import operators as op
-from tidemark.functions import repo_part
+from tidemark.functions import utc_wall_clock
 from tidemark.params import HOURS, DateLike, hour_window, parse_date
 from tidemark.schemas import (
+    COUNTS_LAYER,
+    COUNTS_SCHEMA,
+    COUNTS_TABLE,
     DAY_PARTS,
     GOLD_LAYER,
+    GOLD_TABLES,
     HAS_PAYLOAD,
     INGEST_COLUMN,
-    OVERVIEW_TABLE,
+    REJECTED_SCHEMA,
+    REJECTED_TABLE,
     REQUIRED_COLUMNS,
+    REQUIRED_PATHS,
     SILVER_LAYER,
     SILVER_TABLE,
+    bronze_schema,
+    silver_schema,
 )
 from tidemark.sources import (
-    built_hours,
+    Record,
+    clear_partition,
     day_partition,
     delivered,
-    event_days,
-    mark_hours,
-    marked_days,
+    hour_of_file,
+    raw_files,
     read_bronze,
+    read_days,
+    read_lines,
+    read_records,
     register_table,
+    scan_paths,
     silver_exists,
     write_partitioned,
+    write_records,
 )
 
 
@@ -57,42 +70,38 @@ def _file_day() -> Column:
     return F.try_to_date(F.regexp_extract("source_file", r"(\d{4}-\d{2}-\d{2})/[^/]+$", 1))
 
 
-def build_silver(
-    spark: SparkSession,
-    root: str,
-    date: DateLike | None = None,
-    hours: Iterable[int] | None = None,
-    extra: Sequence[str] = (),
-    prefer_complete: bool = False,
-    register: bool = False,
-    lake: str | None = None,
-) -> dict[str, int]:
-    """Build the event table from the raw files of one day or of all days.
+@dataclass(frozen=True)
+class Written:
+    """What became of the lines of some raw files."""
 
-    ``lake`` is where the tables go, if not to the root of the raw files.
+    counts: dict[str, int]
+    days: Mapping[dt.date, frozenset[dt.date]]
+    """The days that the events of each day's files are dated in."""
+    with_rejects: Sequence[str]
+    """The files in which some line was set aside."""
 
-    An event may be dated outside the day of the file it came in. Below the
-    event's own day the table is therefore partitioned by the day of the file:
-    building a day again replaces what its files gave before, and nothing that
-    a neighbouring day's files gave. Copies of an event are looked for among
-    the files of one day, so building all days at once gives the same table as
-    building them one by one.
 
-    Returns how many lines were read and what became of them: ``malformed``
-    ones are no events at all, ``copies`` have the id of another event of the
-    day's files, ``incomplete`` ones lack a required member, ``undated`` ones a
-    readable time. The ``rows`` were written, ``outside_their_day`` of them
-    under another day than that of their file.
-    """
-    raw = read_bronze(spark, root, date, hours, extra)
+def _write_silver(
+    spark: SparkSession,
+    root: str,
+    date: DateLike | None,
+    hours: Iterable[int] | None,
+    extra: Sequence[str],
+    prefer_complete: bool,
+    place: str,
+    paths: Sequence[str] | None = None,
+) -> Written:
+    raw = read_bronze(spark, root, date if paths is None else None, hours if paths is None else None, extra, paths)
     flat = _flat(raw, extra, _file_day() if date is None else F.lit(parse_date(date)))
     anything = F.coalesce(*[F.col(c).cast("string") for c in ("event_id", "type", "created_at", "username", "repo", HAS_PAYLOAD)])
+    usable = op.is_complete((*REQUIRED_COLUMNS, "created_at"))
     lines, kept, written = Observation(), Observation(), Observation()
     flat = flat.observe(
         lines,
         F.count(F.lit(1)).alias("lines"),
         F.count_if(anything.isNull()).alias("malformed"),
         F.count("event_id").alias("with_id"),
+        F.collect_set(F.when(~usable, F.col("source_file"))).alias("with_rejects"),  # at most the names of the files
     )
     single = _one_copy(flat.where(F.col("event_id").isNotNull()), prefer_complete).observe(
         kept,
@@ -104,78 +113,145 @@ def build_silver(
         written,
         F.count(F.lit(1)).alias("rows"),
         F.count_if(F.to_date("created_at") != F.col(INGEST_COLUMN)).alias("outside_their_day"),
+        F.collect_set(F.struct(INGEST_COLUMN, F.to_date("created_at").alias("day"))).alias("days"),  # a few per day of files
     )
-    write_partitioned(
-        events,
-        lake or root,
-        SILVER_LAYER,
-        SILVER_TABLE,
-        date_col="created_at",
-        partition_by=[INGEST_COLUMN],
-        gather="size" if date is None else None,
-    )
-    if register:
-        days = None if date is None else event_days(spark, lake or root, date)
-        parts = None if days is None else [day_partition(d, **{INGEST_COLUMN: parse_date(date)}) for d in days]
-        register_table(spark, lake or root, SILVER_LAYER, SILVER_TABLE, parts)
+    gather = "size" if date is None else None
+    write_partitioned(events, place, SILVER_LAYER, SILVER_TABLE, "created_at", [INGEST_COLUMN], gather)
     a, b, c = lines.get, kept.get, written.get
-    return {
+    days: dict[dt.date, set[dt.date]] = {}
+    for ingest, day in c["days"]:
+        days.setdefault(ingest, set()).add(day)
+    counts = {
         "lines": a["lines"],
         "malformed": a["malformed"],
         "copies": a["with_id"] - b["single"],
         "incomplete": a["lines"] - a["malformed"] - a["with_id"] + b["single"] - b["complete"],
         "undated": b["complete"] - c["rows"],
-        **c,
+        "rows": c["rows"],
+        "outside_their_day": c["outside_their_day"],
     }
+    return Written(counts, {day: frozenset(found) for day, found in days.items()}, sorted(a["with_rejects"]))
+
+
+def build_silver(
+    spark: SparkSession,
+    root: str,
+    date: DateLike | None = None,
+    hours: Iterable[int] | None = None,
+    extra: Sequence[str] = (),
+    prefer_complete: bool = False,
+    register: bool = False,
+    lake: str | None = None,
+) -> dict[str, int]:
+    """Build the event table from the raw files of one day or of all days.
 
+    ``lake`` is where the tables go, if not to the root of the raw files.
 
-@contextlib.contextmanager
-def summaries(events: DataFrame, date: DateLike | None = None) -> Iterator[dict[str, DataFrame]]:
-    """The nine summaries of an event table, unsaved; pivots are tidy.
+    An event may be dated outside the day of the file it came in. Below the
+    event's own day the table is therefore partitioned by the day of the file:
+    building a day again replaces what its files gave before, and nothing that
+    a neighbouring day's files gave. Copies of an event are looked for among
+    the files of one day, so building all days at once gives the same table as
+    building them one by one.
 
-    Events per user, per repository, per organisation, and per hour and type
-    each serve several summaries. They are kept while the context is open, and
-    they are far fewer than the events; what a lost executor held of them is
-    counted again.
+    Returns how many lines were read and what became of them: ``malformed``
+    ones are no events at all, ``copies`` have the id of another event of the
+    day's files, ``incomplete`` ones lack a required member, ``undated`` ones a
+    readable time. The ``rows`` were written, ``outside_their_day`` of them
+    under another day than that of their file.
     """
-    kept = [
-        op.user_counts(events, date),
-        op.repo_counts(events, date),
-        op.org_counts(events, date),
-        op.hourly_type_counts(events, date),
-    ]
-    users, repos, orgs, by_type = (counts.persist() for counts in kept)
-    named = repos.withColumn("repo_name", repo_part("repo", 1))
-    total = F.sum("no_of_events").alias("no_of_events")
-    of_day = events if date is None else op.on_day(events, date)
-    try:
-        yield {
-            "event_hour_distribution": by_type,
-            "total_events_per_hour": by_type.groupBy("event_date", "hour").agg(total),
-            "total_diff_events": by_type.groupBy("event_date", "type").agg(total),
-            "top_10_real_users": op.top_real_users(users, weight="n"),
-            "top_3_repo_trend": op.trend_of(of_day, op.top_repos(named, 3, weight="n"), "repo_name"),
-            "top_3_org_trend": op.trend_of(of_day, op.top_orgs(orgs, 5, weight="n"), "org_name"),
-            "most_starred_repos": op.most_starred(repos, weight="n_stars"),
-            "top_3_repos_by_pushes": op.most_pushed(named, weight="n_pushes"),
-            OVERVIEW_TABLE: op.overview(events, date, users=users, repos=repos, orgs=orgs),
-        }
-    finally:
-        for counts in (users, repos, orgs, by_type):
-            counts.unpersist()
+    place = lake or root
+    written = _write_silver(spark, root, date, hours, extra, prefer_complete, place)
+    if register:
+        parts = None if date is None else _silver_partitions(written.days)
+        register_table(spark, place, SILVER_LAYER, SILVER_TABLE, parts)
+    return written.counts
+
+
+def _silver_partitions(days: Mapping[dt.date, Iterable[dt.date]]) -> list[dict[str, object]]:
+    return [day_partition(day, **{INGEST_COLUMN: ingest}) for ingest, found in sorted(days.items()) for day in sorted(found)]
+
+
+def rejected_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """The lines of raw files that are no usable events, with the file and the reason.
+
+    ``malformed`` lines are no events at all, ``incomplete`` ones lack a required member,
+    ``undated`` ones a readable time, in this order. Each line is judged for itself: it
+    may be a copy of an event that is in order and in the event table.
+    """
+    lines = read_lines(spark, paths)
+    event = F.from_json("line", bronze_schema(()), {"mode": "PERMISSIVE", "timeZone": "UTC"})
+    lines = lines.withColumn("event", event)
+    member = lambda path: F.col(f"event.{path}")
+    nothing = F.coalesce(*[member(path).cast("string") for path in REQUIRED_PATHS if path != "payload"], member("created_at").cast("string"))
+    nothing = nothing.isNull() & member("payload").isNull()
+    whole = op.is_complete([f"event.{path}" for path in REQUIRED_PATHS])
+    dated = utc_wall_clock("event.created_at").isNotNull()
+    reason = F.when(nothing, "malformed").when(~whole, "incomplete").when(~dated, "undated")
+    found = lines.withColumn("reason", reason).where(F.col("reason").isNotNull())
+    file = F.regexp_extract("source_file", "[^/]+$", 0)
+    return found.select("line", file.alias("file"), "reason", _file_day().alias(INGEST_COLUMN))
+
+
+def read_rejected(spark: SparkSession, root: str, dates: Iterable[DateLike] | None = None) -> DataFrame:
+    """The lines set aside, of some days of files or of all."""
+    days = None if dates is None else sorted({parse_date(d) for d in dates})
+    return read_days(spark, root, SILVER_LAYER, REJECTED_TABLE, days, REJECTED_SCHEMA)
 
 
 def events_for_summaries(
     spark: SparkSession, root: str, days: Sequence[dt.date] | None = None
 ) -> DataFrame:
     """The event table, or some days of it, with each event once per day."""
-    if days is None or len(days) != 1:
-        found = delivered(spark, root)
+    return op.events_once(_delivered(spark, root, days), INGEST_COLUMN).drop(INGEST_COLUMN)
+
+
+def _delivered(spark: SparkSession, root: str, days: Sequence[dt.date] | None) -> DataFrame:
+    return read_days(spark, root, SILVER_LAYER, SILVER_TABLE, days, silver_schema())
+
+
+def changed_events(
+    spark: SparkSession, root: str, days: Sequence[dt.date] | None, own_days: Sequence[dt.date] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The events of days of which the counts may have changed: own ones of ``own_days`` (of all by default), and late ones.
+
+    The late part of a day is small. Its events are held against the ids of the day's own
+    ones, of which nothing else is read unless the day is among ``own_days``.
+    """
+    found, day = _delivered(spark, root, days), F.make_date(*DAY_PARTS)
+    of_own = found.where(F.col(INGEST_COLUMN) == day)
+    if own_days is not None:
+        of_own = _delivered(spark, root, sorted(set(own_days))).where(F.col(INGEST_COLUMN) == day)
+    late = op.late_events(found, INGEST_COLUMN)
+    return tuple(df.withColumn("delivered", F.lit(part)) for df, part in ((of_own, op.OWN), (late, op.LATE)))
+
+
+def _refresh_counts(spark: SparkSession, root: str, days: Sequence[dt.date] | None, own_days: Sequence[dt.date] | None) -> None:
+    """Count anew the parts of days that may have changed."""
+    events, late = changed_events(spark, root, days, own_days)
+    late = late.persist()
+    try:
+        if not late.isEmpty():
+            events = events.unionByName(late)
+        counts = op.count_parts(events)
         if days is not None:
-            found = found.where(F.make_date(*DAY_PARTS).isin(list(days)))
-    else:
-        found = delivered(spark, root, days[0])
-    return op.events_once(found, INGEST_COLUMN).drop(INGEST_COLUMN)
+            # A row that counts nothing per day and part, so that each partition is replaced.
+            refreshed = [(d, part) for d in days for part in (op.OWN, op.LATE) if part == op.LATE or own_days is None or d in own_days]
+            none = spark.createDataFrame(refreshed, "event_date date, delivered string")
+            none = none.select("*", F.lit(0).cast("bigint").alias("n"), F.explode(F.array(*map(F.lit, op.KINDS))).alias("kind"))
+            counts = counts.unionByName(none, allowMissingColumns=True)
+        parts = ["delivered", "kind"]
+        write_partitioned(
+            counts.drop(*DAY_PARTS), root, COUNTS_LAYER, COUNTS_TABLE, partition_by=parts, gather="size", replace_all=days is None
+        )
+    finally:
+        late.unpersist()
+
+
+def read_counts(spark: SparkSession, root: str, days: Sequence[dt.date] | None = None) -> DataFrame:
+    """The stored counts that summaries are rolled up from."""
+    found = read_days(spark, root, COUNTS_LAYER, COUNTS_TABLE, days, COUNTS_SCHEMA)
+    return found.withColumn("event_date", F.make_date(*DAY_PARTS))
 
 
 def build_gold(
@@ -183,11 +259,16 @@ def build_gold(
     root: str,
     date: DateLike | Sequence[DateLike] | None = None,
     register: bool = False,
+    changed: Sequence[dt.date] | None = None,
 ) -> list[str]:
     """Build and store the nine summaries of one day, of several days or of all days.
 
-    A day that is asked for alone gets an overview of zeros if it has no event.
-    Without an event table there is nothing to summarise, which is an error.
+    The events are counted first; the counts are stored and the summaries rolled up from
+    them. ``changed`` names the days whose own files were built anew, if that is known:
+    of all others only late events are counted, and the stored counts serve for the rest.
+    A day that is asked for alone gets an overview of zeros if it has no event, and
+    loses the rows of the other summaries. Without an event table there is nothing to
+    summarise, which is an error.
     """
     if not silver_exists(spark, root):
         raise FileNotFoundError(f"no event table under {root}")
@@ -197,12 +278,60 @@ def build_gold(
         days = sorted({parse_date(d) for d in ([date] if isinstance(date, str | dt.date) else date)})
     one = days[0] if days and len(days) == 1 else None
     gather = "day" if one is None else "size"
-    with summaries(events_for_summaries(spark, root, days), one) as frames:
-        for name, frame in frames.items():
-            write_partitioned(frame, root, GOLD_LAYER, name, gather=gather)
-            if register:
-                register_table(spark, root, GOLD_LAYER, name, None if days is None else map(day_partition, days))
-        return list(frames)
+    _refresh_counts(spark, root, days, changed)
+    counts = read_counts(spark, root, days)
+    for name, frame in op.roll_up(counts, one).items():
+        write_partitioned(frame, root, GOLD_LAYER, name, gather=gather, replace_all=days is None)
+        if register:
+            register_table(spark, root, GOLD_LAYER, name, None if days is None else map(day_partition, days))
+    if days is not None:
+        with_events = counts.where((F.col("kind") == "types") & (F.col("n") > 0)).select("event_date").distinct()
+        for day in set(days) - {row[0] for row in with_events.collect()}:  # a row per day asked for
+            for name, table in GOLD_TABLES.items():
+                if not (one and name == "overview_table"):
+                    clear_partition(spark, root, GOLD_LAYER, name, table.schema, day)
+    return list(GOLD_TABLES)
+
+
+def _build(
+    spark: SparkSession,
+    root: str,
+    place: str,
+    there: Mapping[dt.date, Mapping[str, tuple[int, int]]],
+    todo: Mapping[dt.date, Mapping[str, tuple[int, int]]],
+    records: Mapping[dt.date, Record],
+    register: bool,
+) -> dict[str, int]:
+    """Build some days from the files given for each, in one scan, and all summaries they touch."""
+    old = {day: records.get(day, Record()) for day in todo}
+    before = {day: set(record.days) for day, record in old.items()}
+    if broken := [day for day, record in old.items() if record.pending]:
+        # Where a build broke off, the table itself says what it wrote.
+        rows = delivered(spark, place).where(F.col(INGEST_COLUMN).isin(broken))
+        for row in rows.select(INGEST_COLUMN, *DAY_PARTS).distinct().collect():  # a few per broken day
+            before[row[0]].add(dt.date(*row[1:]))
+    write_records(spark, place, {day: replace(record, files={}, pending=True) for day, record in old.items()})
+
+    one = next(iter(todo)) if len(todo) == 1 else None
+    written = _write_silver(spark, root, one, None, (), False, place, scan_paths(root, todo, there))
+    for day in todo:
+        for gone in sorted(before[day] - written.days.get(day, frozenset())):
+            clear_partition(spark, place, SILVER_LAYER, SILVER_TABLE, silver_schema(), gone, **{INGEST_COLUMN: day})
+    rejecting = set()
+    if written.with_rejects:
+        rejects = rejected_lines(spark, written.with_rejects)
+        write_partitioned(rejects, place, SILVER_LAYER, REJECTED_TABLE, INGEST_COLUMN, gather="size")
+        rejecting = {parse_date(path.split("/")[-2]) for path in written.with_rejects}
+    for day in sorted(day for day, record in old.items() if record.rejected and day not in rejecting):
+        clear_partition(spark, place, SILVER_LAYER, REJECTED_TABLE, REJECTED_SCHEMA, day)
+    if register:
+        register_table(spark, place, SILVER_LAYER, SILVER_TABLE, _silver_partitions(written.days))
+
+    touched = set(todo).union(*before.values(), *written.days.values())
+    build_gold(spark, place, sorted(touched), register=register, changed=sorted(todo))
+    done = {day: Record(files, written.days.get(day, frozenset()), day in rejecting) for day, files in todo.items()}
+    write_records(spark, place, done)
+    return written.counts
 
 
 def run_days(
@@ -213,34 +342,38 @@ def run_days(
     force: bool = False,
     register: bool = False,
     lake: str | None = None,
+    check_range: bool = False,
 ) -> list[dict[str, object]]:
-    """Build the days whose raw files of these hours are not in the tables yet.
-
-    A mark per day says which hours of its raw files all tables hold. It is
-    taken back before a day is built and written when everything else is, so a
-    run that breaks off is done again. Hours that were built before are built
-    along, as a day's files are deduplicated together. The summaries are built
-    of each day that any of the files' events are dated in. Raw files that are
-    not there are an error.
+    """Build the days whose raw files of these hours are not in the tables yet, in one scan.
+
+    A record per day names the raw files that all tables hold, with length and time of
+    change. A day is built if a file of the hours asked for is not in its record as it
+    lies there now: it came late, or was replaced. Files that were built before are built
+    along, as a day's files are deduplicated together. The record is pending during a
+    build and written when everything else is, so a run that breaks off is done again. The
+    summaries are built of each day that any of the files' events are dated in, or were
+    before. A day without any raw file of these hours is an error, unless it was built
+    before. ``check_range`` refuses days that can have no raw files.
+
+    Returns a report per day; what became of the lines is in the report of a day that was
+    built alone, otherwise, for all days together, under ``of_run``.
     """
     place = lake or root
-    report, todo, touched = [], {}, set()
-    for day in sorted({parse_date(d) for d in dates}):
-        have, wanted = built_hours(spark, place, day), set(hours)
-        if not force and wanted <= have:
-            report.append({"date": day, "built": False})
-            continue
-        todo[day] = have | wanted
-        mark_hours(spark, place, {day: ()})
-        some = None if todo[day] == set(HOURS) else sorted(todo[day])
-        touched.update(event_days(spark, place, day))
-        counts = build_silver(spark, root, day, some, register=register, lake=lake)
-        touched.update(event_days(spark, place, day))
-        report.append({"date": day, "built": True, **counts})
-    if touched:
-        build_gold(spark, place, sorted(touched), register=register)
-    mark_hours(spark, place, todo)
-    return report
+    days = sorted({parse_date(d, check_range=check_range) for d in dates})
+    wanted = set(hours)
+    there, records = raw_files(spark, root, days), read_records(spark, place, days)
+    todo = {}
+    for day in days:
+        files, have = there.get(day, {}), records.get(day, Record())
+        asked = {n: v for n, v in files.items() if wanted == set(HOURS) or hour_of_file(n, day) in wanted}
+        if not asked and not have.files:
+            read_bronze(spark, root, day, sorted(wanted))  # which says what is missing
+            raise FileNotFoundError(f"no raw files of {day}")
+        if asked and (force or any(have.files.get(n) != v for n, v in asked.items())):
+            todo[day] = {n: v for n, v in files.items() if n in asked or n in have.files}
+    counts = _build(spark, root, place, there, todo, records, register) if todo else {}
+    of_run = counts if len(todo) == 1 else {"of_run": counts}
+    return [{"date": day, "built": True, **of_run} if day in todo else {"date": day, "built": False} for day in days]
 
 
 def run_day(
@@ -258,18 +391,21 @@ def run_day(
 
     ``check_range`` refuses days that can have no raw files.
     """
-    day = parse_date(date, check_range=check_range)
-    return run_days(spark, root, [day], hour_window(start, duration), force, register, lake)[0]
+    return run_days(spark, root, [date], hour_window(start, duration), force, register, lake, check_range)[0]
 
 
 def run_all(
-    spark: SparkSession, root: str, register: bool = False, lake: str | None = None
+    spark: SparkSession, root: str, register: bool = False, lake: str | None = None, force: bool = True, check_range: bool = False
 ) -> dict[str, int]:
-    """Build every day that has raw files, in one go."""
+    """Build every day that has raw files, in one go; without ``force`` only days with new files.
+
+    Returns what became of the lines, nothing if there was nothing to build.
+    """
     place = lake or root
-    mark_hours(spark, place, dict.fromkeys(marked_days(spark, place), ()))
-    counts = build_silver(spark, root, register=register, lake=lake)
-    build_gold(spark, place, register=register)
-    days = delivered(spark, place).select(INGEST_COLUMN).distinct().collect()  # a row per day of raw files
-    mark_hours(spark, place, {row[0]: HOURS for row in days})
-    return counts
+    there, records = raw_files(spark, root), read_records(spark, place)
+    for day in there:
+        parse_date(day, check_range=check_range)
+    todo = {day: files for day, files in there.items() if force or files != records.get(day, Record()).files}
+    if not there:
+        read_bronze(spark, root)  # which says what is missing
+    return _build(spark, root, place, there, todo, records, register) if todo else {}

@@ -1,14 +1,12 @@
 """Reading raw events and stored tables, and writing tables."""
 
-from tidemark.sources.bronze import hour_paths, infer_bronze, read_bronze
+from tidemark.sources.bronze import hour_paths, infer_bronze, read_bronze, read_lines
 from tidemark.sources.lake import (
-    built_hours,
+    clear_partition,
     day_exists,
     day_path,
     delivered,
-    event_days,
-    mark_hours,
-    marked_days,
+    read_days,
     read_silver,
     read_table,
     read_wide,
@@ -17,27 +15,42 @@ from tidemark.sources.lake import (
     silver_exists,
     table_path,
 )
+from tidemark.sources.manifest import (
+    Record,
+    built_hours,
+    hour_of_file,
+    raw_files,
+    read_records,
+    scan_paths,
+    write_records,
+)
 from tidemark.sources.writer import day_partition, register_table, write_partitioned
 
 __all__ = [
+    "Record",
     "built_hours",
+    "clear_partition",
     "day_exists",
     "day_partition",
     "day_path",
     "delivered",
-    "event_days",
+    "hour_of_file",
     "hour_paths",
     "infer_bronze",
-    "mark_hours",
-    "marked_days",
+    "raw_files",
     "read_bronze",
+    "read_days",
+    "read_lines",
+    "read_records",
     "read_silver",
     "read_table",
     "read_wide",
     "register_table",
     "register_views",
     "run_sql",
+    "scan_paths",
     "silver_exists",
     "table_path",
     "write_partitioned",
+    "write_records",
 ]

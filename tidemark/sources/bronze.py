@@ -32,8 +32,9 @@ def read_bronze(
     date: DateLike | None = None,
     hours: Iterable[int] | None = None,
     extra: Sequence[str] | None = None,
+    paths: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Raw events of some hours, of a day, or of every day under ``root``.
+    """Raw events of some hours, of a day, or of every day under ``root``; or those of ``paths``.
 
     The fixed schema saves the pass that inference would take. With ``extra`` it
     has only the members that the event table and these optional columns need,
@@ -47,7 +48,9 @@ def read_bronze(
         .option("multiLine", False)
         .option("timeZone", "UTC")
     )
-    if date is None:
+    if paths is not None:
+        raw = reader.json(list(paths))
+    elif date is None:
         if hours is not None:
             raise ValueError("hours need a date")
         raw = reader.option("recursiveFileLookup", True).json(f"{root}/bronze")
@@ -60,6 +63,12 @@ def read_bronze(
     return raw.withColumn("source_file", F.col("_metadata.file_path"))
 
 
+def read_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Raw lines as they are, as ``line``, with the file each is from; blank ones are none."""
+    lines = spark.read.text(list(paths)).withColumnRenamed("value", "line")
+    return lines.where(F.trim("line") != "").withColumn("source_file", F.col("_metadata.file_path"))
+
+
 def infer_bronze(spark: SparkSession, path: str) -> DataFrame:
     """Raw events with the schema found in the data, for looking at new feeds.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import logging
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +24,8 @@ from tidemark.sources.bronze import bronze_day
 
 log = logging.getLogger(__name__)
 
+FEW_DAYS = 100
+
 
 def table_path(root: str, layer: str, table: str) -> str:
     return f"{root}/{layer}/{table}"
@@ -39,6 +41,30 @@ def on_partition(date: DateLike) -> Column:
     return (F.col("year") == day.year) & (F.col("month") == day.month) & (F.col("day") == day.day)
 
 
+def read_days(spark: SparkSession, root: str, layer: str, table: str, days: Sequence[dt.date] | None, schema: str) -> DataFrame:
+    """Some days of a stored table, or all of it.
+
+    Few days are read from their own folders, so that only these are listed; for many
+    the table is listed once and its folders are pruned.
+    """
+    if days is None:
+        return _scan(spark, root, layer, table, None, schema)
+    if not days:
+        return spark.createDataFrame([], schema)
+    some = F.make_date(*DAY_PARTS).isin(list(days))
+    if len(days) > FEW_DAYS:
+        return _scan(spark, root, layer, table, None, schema).where(some)
+    base = table_path(root, layer, table)
+    folders = [day_path(root, layer, table, day).removeprefix(f"{base}/") for day in days]
+    pattern = f"{base}/{folders[0]}" if len(folders) == 1 else f"{base}/{{{','.join(folders)}}}"
+    try:
+        return spark.read.option("basePath", base).schema(schema).parquet(pattern).where(some)
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def _scan(
     spark: SparkSession, root: str, layer: str, table: str, date: DateLike | None, schema: str | None
 ) -> DataFrame:
@@ -83,47 +109,12 @@ def silver_exists(spark: SparkSession, root: str) -> bool:
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
 
-def event_days(spark: SparkSession, root: str, ingest: DateLike) -> list[dt.date]:
-    """The days that the events of one day's files are dated in, by the table's folders: mostly one or two."""
-    path = f"{table_path(root, SILVER_LAYER, SILVER_TABLE)}/year=*/month=*/day=*/{INGEST_COLUMN}={parse_date(ingest)}"
-    reader = spark.read.option("basePath", table_path(root, SILVER_LAYER, SILVER_TABLE)).schema(silver_schema())
-    try:
-        found = reader.parquet(path).select(*DAY_PARTS).distinct().collect()
-    except AnalysisException as err:
-        if err.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return []
-    return sorted(dt.date(*row) for row in found)
-
-
-def mark_hours(spark: SparkSession, root: str, hours: Mapping[dt.date, Iterable[int]]) -> None:
-    """Note for some days which hours of their raw files all tables hold."""
-    rows = [(sorted(some), day) for day, some in hours.items()]
-    if rows:
-        marks = spark.createDataFrame(rows, f"hours array<int>, {INGEST_COLUMN} date").coalesce(1)
-        marks = marks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        marks.partitionBy(INGEST_COLUMN).json(f"{root}/built")
-
-
-def _marks(spark: SparkSession, root: str, folder: str) -> list:
-    base = f"{root}/built"
-    reader = spark.read.schema(f"hours array<int>, {INGEST_COLUMN} date").option("basePath", base)
-    try:
-        return reader.json(f"{base}{folder}").collect()
-    except AnalysisException as err:
-        if err.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return []
-
-
-def built_hours(spark: SparkSession, root: str, date: DateLike) -> set[int]:
-    """The hours of a day's raw files that all tables hold."""
-    return {hour for row in _marks(spark, root, f"/{INGEST_COLUMN}={parse_date(date)}") for hour in row["hours"] or ()}
-
-
-def marked_days(spark: SparkSession, root: str) -> list[dt.date]:
-    """The days that have a mark: one small row per day."""
-    return sorted(row[INGEST_COLUMN] for row in _marks(spark, root, ""))
+def clear_partition(spark: SparkSession, root: str, layer: str, table: str, schema: str, date: DateLike, **more: object) -> None:
+    """Replace a partition's files by one without rows; dynamic overwriting leaves alone what gets no row."""
+    folder = "/".join([day_path(root, layer, table, date), *(f"{k}={v}" for k, v in more.items())])
+    parts = {*DAY_PARTS, *more}
+    empty = spark.createDataFrame([], schema)
+    empty.drop(*parts).coalesce(1).write.mode("overwrite").parquet(folder)
 
 
 def read_table(

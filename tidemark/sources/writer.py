@@ -22,6 +22,7 @@ def write_partitioned(
     partition_by: Sequence[str] = (),
     gather: str | None = "day",
     register: bool = False,
+    replace_all: bool = False,
 ) -> str:
     """Write rows into day partitions, replacing the partitions they fall into.
 
@@ -33,6 +34,8 @@ def write_partitioned(
     - ``"size"`` lets adaptive execution go by size: it joins small days in
       one task and splits a day that is too large for one;
     - ``None`` leaves rows where they are, for rows that are all of one day.
+
+    With ``replace_all`` the whole table is replaced.
     """
     out = df.withColumns(day_parts(date_col))
     keys = [*DAY_PARTS, *partition_by]
@@ -46,7 +49,7 @@ def write_partitioned(
     path = table_path(root, layer, table)
     (
         out.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        .option("partitionOverwriteMode", "static" if replace_all else "dynamic")
         .partitionBy(*keys)
         .parquet(path)
     )
