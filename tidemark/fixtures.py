@@ -34,6 +34,9 @@ DAMAGE_EVERY = 97
 # In late files every 211th event comes a day late, every 307th with two days' files.
 LATE_EVERY = 211
 TWICE_EVERY = 307
+# In damaged files every 389th line is cut in half, and every 401st has no readable time.
+CUT_EVERY = 389
+UNTIMED_EVERY = 401
 # The names that the rules below make.
 REPO_NAMES = tuple(f"repo{i}" for i in range(20))
 ORG_NAMES = tuple(f"org{i}" for i in (1, 2, 4, 5, 7, 8))
@@ -131,13 +134,14 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def bronze_root(spark: SparkSession, sf_dir: str, late: bool = False) -> str:
+def bronze_root(spark: SparkSession, sf_dir: str, late: bool = False, damaged: bool = False) -> str:
     """Folder with the raw events as hourly gzip JSON, written once per session.
 
     With ``late`` some events come with the next day's files instead of their
-    own, and others with both.
+    own, and others with both. With ``damaged`` some lines end in the middle and
+    some have no readable time.
     """
-    return _write_bronze(spark, spark.conf.get("spark.app.id", "local"), sf_dir, late)
+    return _write_bronze(spark, spark.conf.get("spark.app.id", "local"), sf_dir, late, damaged)
 
 
 def query_root(spark: SparkSession, sf_dir: str, name: str) -> str:
@@ -145,27 +149,47 @@ def query_root(spark: SparkSession, sf_dir: str, name: str) -> str:
     return _new_root(spark, spark.conf.get("spark.app.id", "local"), sf_dir, name)
 
 
+def new_root(spark: SparkSession, name: str) -> str:
+    """A folder that nothing was written to yet."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 @functools.lru_cache(maxsize=None)
 def _new_root(spark: SparkSession, app_id: str, sf_dir: str, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return new_root(spark, name)
 
 
 @functools.lru_cache(maxsize=None)
-def _write_bronze(spark: SparkSession, app_id: str, sf_dir: str, late: bool) -> str:
-    root = query_root(spark, sf_dir, "late" if late else "raw")
+def _write_bronze(spark: SparkSession, app_id: str, sf_dir: str, late: bool, damaged: bool) -> str:
+    root = query_root(spark, sf_dir, "late" if late else "damaged" if damaged else "raw")
+    deliver(raw_lines(spark, sf_dir, late, damaged), root)
+    return root
+
+
+def raw_lines(spark: SparkSession, sf_dir: str, late: bool = False, damaged: bool = False) -> DataFrame:
+    """The raw events as lines, with the day and hour of the file that each comes in."""
     raw, number = raw_events(spark, sf_dir), F.col("id").cast("bigint")
     delays = F.array(F.lit(0))
     if late:
         delays = F.when(number % TWICE_EVERY == 0, F.array(F.lit(0), F.lit(1)))
         delays = delays.when(number % LATE_EVERY == 0, F.array(F.lit(1))).otherwise(F.array(F.lit(0)))
-    lines = raw.withColumn("delay", F.explode(delays)).select(
+    line = F.to_json(F.struct(*[c for c in raw.columns if c != "event_date"]))
+    if damaged:
+        untimed = F.regexp_replace(line, '"created_at":"[^"]*"', '"created_at":"no time"')
+        line = F.when(number % CUT_EVERY == 0, F.substring(line, F.lit(1), F.floor(F.length(line) / 2).cast("int"))).when(
+            number % UNTIMED_EVERY == 0, untimed
+        ).otherwise(line)
+    return raw.withColumn("delay", F.explode(delays)).select(
         F.date_add("event_date", F.col("delay")).cast("string").alias("day"),
         F.hour(F.to_timestamp("created_at")).alias("hour"),
-        F.to_json(F.struct(*[c for c in raw.columns if c != "event_date"])).alias("line"),
+        line.alias("line"),
     )
+
+
+def deliver(lines: DataFrame, root: str) -> None:
+    """Write lines to the hourly files that the feed would deliver."""
     sorted_lines = lines.repartition("day", "hour").sortWithinPartitions("day", "hour")
     sorted_lines.mapInArrow(_hour_files(f"{root}/bronze"), "path string").count()
-    return root
 
 
 def _hour_files(folder: str):

@@ -43,6 +43,7 @@ from tidemark.operators.ranking import (
 from tidemark.operators.serving import (
     CONTRIBUTIONS,
     REPO_KINDS,
+    answered,
     breakdown,
     day_trend,
     kpi_summary,
@@ -53,6 +54,7 @@ from tidemark.operators.serving import (
     trend_filled,
 )
 from tidemark.operators.trends import hourly_counts, keep_top, labels_of_day, trend_from, trend_long, trend_of, trend_wide, widen
+from tidemark.operators.variant import payload_members, variant_events, variant_members
 
 __all__ = [
     "CONTRIBUTIONS",
@@ -61,6 +63,7 @@ __all__ = [
     "OWN",
     "REPO_KINDS",
     "activity_metrics",
+    "answered",
     "avg_events_per_user",
     "breakdown",
     "count_parts",
@@ -89,6 +92,7 @@ __all__ = [
     "org_counts",
     "overview",
     "overview_counts",
+    "payload_members",
     "peak_hours",
     "pushed_cards",
     "rank_by_count",
@@ -109,6 +113,8 @@ __all__ = [
     "trend_of",
     "trend_wide",
     "user_counts",
+    "variant_events",
+    "variant_members",
     "widen",
     "with_ratios",
 ]

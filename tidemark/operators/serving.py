@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.activity import rate_band, ratio_reading
 from tidemark.functions.time import absolute_hour
-from tidemark.operators.cleaning import day_of, require_columns
+from tidemark.operators.cleaning import day_of, quoted, require_columns
 from tidemark.operators.counting import avg_events_per_user
 from tidemark.operators.ranking import first_per_day
 from tidemark.operators.trends import fill_zero, widen
-from tidemark.params import DateLike
+from tidemark.params import DateLike, parse_date
 
 # Marks of the first three places; later places read "#n".
 MEDALS = ("🥇", "🥈", "🥉")
@@ -125,6 +125,19 @@ def kpi_summary(t: DataFrame, date: DateLike | None = None) -> DataFrame:
     )
 
 
+def answered(answer: DataFrame, dates: Sequence[DateLike]) -> DataFrame:
+    """An answer for each of the dates asked, also where there is no data for one.
+
+    ``has_data`` says whether there is; without, the date has one row with nothing else in
+    it. Dates that nobody asked for are left out, and a date asked twice is answered once.
+    """
+    days = sorted({parse_date(d) for d in dates})
+    asked = answer.sparkSession.createDataFrame([(d,) for d in days], "event_date date")
+    found = answer.where(F.col("event_date").isin(days)).withColumn("has_data", F.lit(True))
+    joined = asked.join(found, "event_date", "left").withColumn("has_data", F.coalesce("has_data", F.lit(False)))
+    return joined.select("event_date", "has_data", *[quoted(c) for c in answer.columns if c not in ("event_date", "has_data")])
+
+
 def breakdown(
     overview: DataFrame, labels: Mapping[str, str] = CONTRIBUTIONS, date: DateLike | None = None
 ) -> DataFrame:

@@ -175,9 +175,11 @@ def _silver_partitions(days: Mapping[dt.date, Iterable[dt.date]]) -> list[dict[s
 def rejected_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """The lines of raw files that are no usable events, with the file and the reason.
 
-    ``malformed`` lines are no events at all, ``incomplete`` ones lack a required member,
-    ``undated`` ones a readable time, in this order. Each line is judged for itself: it
-    may be a copy of an event that is in order and in the event table.
+    ``malformed`` lines are not whole JSON, or hold nothing of an event, ``incomplete`` ones
+    lack a required member, ``undated`` ones a readable time, in this order. Each line is
+    judged for itself: it may be a copy of an event that is in order and in the event
+    table. (The counts of a run call a line malformed only if nothing in it can be read;
+    one that ends in the middle counts as incomplete there.)
     """
     lines = read_lines(spark, paths)
     event = F.from_json("line", bronze_schema(()), {"mode": "PERMISSIVE", "timeZone": "UTC"})
@@ -187,7 +189,8 @@ def rejected_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     nothing = nothing.isNull() & member("payload").isNull()
     whole = op.is_complete([f"event.{path}" for path in REQUIRED_PATHS])
     dated = utc_wall_clock("event.created_at").isNotNull()
-    reason = F.when(nothing, "malformed").when(~whole, "incomplete").when(~dated, "undated")
+    broken = nothing | F.try_parse_json("line").isNull()
+    reason = F.when(whole & dated, None).when(broken, "malformed").when(~whole, "incomplete").otherwise("undated")
     found = lines.withColumn("reason", reason).where(F.col("reason").isNotNull())
     file = F.regexp_extract("source_file", "[^/]+$", 0)
     return found.select("line", file.alias("file"), "reason", _file_day().alias(INGEST_COLUMN))

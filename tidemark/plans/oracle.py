@@ -331,3 +331,49 @@ SELECT event_date, hour, """
         )
     },
 }
+
+KPI_COLUMNS = (
+    "no_of_unique_users",
+    "total_events",
+    "pr_merge_rate",
+    "issue_pr_activity_ratio_daily",
+    "no_of_unique_repos_modified",
+    "no_of_unique_organizations",
+    "avg_events_per_user",
+    "pr_merge_band",
+    "issue_pr_reading",
+)
+ORACLE |= {
+    "late_hour_overview": ORACLE["whole_run_overview"],
+    "rejected_events": f"""WITH {EVENTS}, {RAW}
+SELECT event_id, concat(event_date, '-', hour(created_at), '.json.gz') AS file,
+  CASE WHEN CAST(event_id AS BIGINT) % 389 = 0 THEN 'malformed' WHEN username IS NULL THEN 'incomplete' ELSE 'undated' END AS reason
+FROM raw WHERE CAST(event_id AS BIGINT) % 389 = 0 OR username IS NULL OR CAST(event_id AS BIGINT) % 401 = 0""",
+    "payload_members": f"""WITH {EVENTS}, {RAW}
+SELECT type, CASE type WHEN 'IssuesEvent' THEN 'OBJECT<action: STRING, issue: OBJECT<id: BIGINT>>'
+    WHEN 'PullRequestEvent' THEN 'OBJECT<action: STRING, pull_request: OBJECT<id: BIGINT>>'
+    WHEN 'IssueCommentEvent' THEN 'OBJECT<action: STRING, comment: OBJECT<body: STRING, id: BIGINT, user: OBJECT<login: STRING>>>'
+    ELSE 'OBJECT<>' END AS members, count(*) AS n
+FROM raw GROUP BY type""",
+    "flow_metrics_variant": f"""WITH {EVENTS}, {RAW}
+SELECT CAST(created_at AS DATE) AS event_date, {FLOW} FROM kept GROUP BY 1""",
+    "events_of_owner_clustered": f"""WITH {EVENTS}, {RAW}, {SILVER}
+SELECT event_id, type, repo FROM silver WHERE type = 'PullRequestEvent' AND repo LIKE 'owner3/%'""",
+    "kpi_summary_or_empty": f"""SELECT event_date, k.total_events IS NOT NULL AS has_data, {", ".join(KPI_COLUMNS)}
+FROM (VALUES ({ONE_DAY}), (DATE '2024-01-16'), (DATE '2030-01-01')) asked(event_date)
+LEFT JOIN ({_over_lake("kpi_summary")}) k USING (event_date)""",
+    "evolving_trend": f"""SELECT * FROM (WITH {EVENTS}, {RAW}, {SILVER}, {LAKE}, {re.sub(r"\bev\b", "lake", _trend("org_name", 5))}
+{_pivot("org_name", ORG_NAMES)}) WHERE event_date IN ({ONE_DAY}, DATE '2024-01-16')""",
+    "events_of_top_repos_stored": f"""WITH {EVENTS}, {RAW}, {SILVER}, {LAKE},
+{re.sub(r"\bev\b", "lake", _top("repo_name", 3, "total"))},
+days AS (SELECT event_date, count(*) AS n FROM lake GROUP BY event_date)
+SELECT event_date, event_id, repo_name, type FROM lake SEMI JOIN top USING (event_date, repo_name)
+SEMI JOIN (SELECT event_date FROM days WHERE n >= (SELECT avg(n) FROM days)) busy USING (event_date)""",
+    "adhoc_human_events": f"""WITH {EVENTS}, {RAW}, {SILVER}
+SELECT event_id, username, repo_owner AS owner, date_trunc('hour', created_at) AS hour FROM silver WHERE {HUMAN}""",
+    "adhoc_top_of_day": f"""WITH {EVENTS}, {RAW}, {SILVER}
+SELECT repo_name AS name, count(*) AS no_of_events FROM silver
+WHERE CAST(created_at AS DATE) = {ONE_DAY} AND repo_name IS NOT NULL GROUP BY repo_name ORDER BY 2 DESC, 1 LIMIT 3""",
+    "adhoc_bands": f"""SELECT event_date, pr_merged_rate AS merged, {_band("pr_merged_rate")} AS band
+FROM ({_over_lake("overview_table")})""",
+}

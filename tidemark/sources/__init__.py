@@ -1,6 +1,8 @@
 """Reading raw events and stored tables, and writing tables."""
 
 from tidemark.sources.bronze import hour_paths, infer_bronze, read_bronze, read_lines
+from tidemark.sources.evolving import read_evolving, write_wide
+from tidemark.sources.functions import register_functions
 from tidemark.sources.lake import (
     clear_partition,
     day_exists,
@@ -8,6 +10,7 @@ from tidemark.sources.lake import (
     delivered,
     read_days,
     read_silver,
+    read_silver_on,
     read_table,
     read_wide,
     register_views,
@@ -40,11 +43,14 @@ __all__ = [
     "raw_files",
     "read_bronze",
     "read_days",
+    "read_evolving",
     "read_lines",
     "read_records",
     "read_silver",
+    "read_silver_on",
     "read_table",
     "read_wide",
+    "register_functions",
     "register_table",
     "register_views",
     "run_sql",
@@ -53,4 +59,5 @@ __all__ = [
     "table_path",
     "write_partitioned",
     "write_records",
+    "write_wide",
 ]

@@ -65,7 +65,7 @@ def read_bronze(
 
 def read_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Raw lines as they are, as ``line``, with the file each is from; blank ones are none."""
-    lines = spark.read.text(list(paths)).withColumnRenamed("value", "line")
+    lines = spark.read.option("recursiveFileLookup", True).text(list(paths)).withColumnRenamed("value", "line")
     return lines.where(F.trim("line") != "").withColumn("source_file", F.col("_metadata.file_path"))
 
 

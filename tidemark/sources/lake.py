@@ -103,6 +103,19 @@ def delivered(
     return _scan(spark, root, SILVER_LAYER, SILVER_TABLE, date, silver_schema(extra))
 
 
+def read_silver_on(spark: SparkSession, root: str, days: DataFrame, date_col: str = "event_date") -> DataFrame:
+    """The event table on the days of a small table, found while the query runs.
+
+    The days are sent to all tasks (a row per day of the calendar at most) and, by the
+    partition columns, decide which folders are read at all: the plan has them as a
+    dynamic pruning filter of the scan.
+    """
+    parts = dict(zip(DAY_PARTS, (F.year(date_col), F.month(date_col), F.day(date_col)), strict=True))
+    wanted = days.where(F.col(date_col).isNotNull()).select(*[part.alias(name) for name, part in parts.items()]).distinct()
+    events = read_silver(spark, root)
+    return events.join(F.broadcast(wanted), list(DAY_PARTS), "left_semi").select(*events.columns)
+
+
 def silver_exists(spark: SparkSession, root: str) -> bool:
     """Whether an event table was ever written."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table_path(root, SILVER_LAYER, SILVER_TABLE))

@@ -23,6 +23,8 @@ def write_partitioned(
     gather: str | None = "day",
     register: bool = False,
     replace_all: bool = False,
+    cluster_by: Sequence[str] = (),
+    row_group_bytes: int | None = None,
 ) -> str:
     """Write rows into day partitions, replacing the partitions they fall into.
 
@@ -35,24 +37,30 @@ def write_partitioned(
       one task and splits a day that is too large for one;
     - ``None`` leaves rows where they are, for rows that are all of one day.
 
-    With ``replace_all`` the whole table is replaced.
+    With ``cluster_by`` rows are dealt by ranges of the partition and these columns instead,
+    and sorted by them within files, so that the statistics of row groups (of
+    ``row_group_bytes``, if given) rule most of them out for a filter on these columns. A
+    hash of the whole row is the last key of the ranges, so that rows of one key that are
+    too many for one task go to several. With ``replace_all`` the whole table is replaced.
     """
     out = df.withColumns(day_parts(date_col))
     keys = [*DAY_PARTS, *partition_by]
     columns = [F.col(k) for k in keys]
-    if gather == "day":
+    if cluster_by:
+        order = [*columns, *[F.col(c) for c in cluster_by]]
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        out = out.repartitionByRange(parts, *order, F.xxhash64(*df.columns)).sortWithinPartitions(*order)
+    elif gather == "day":
         out = out.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
     elif gather == "size":
         out = out.hint("rebalance", *columns)
     elif gather is not None:
         raise ValueError(f"unknown way to gather rows: {gather!r}")
     path = table_path(root, layer, table)
-    (
-        out.write.mode("overwrite")
-        .option("partitionOverwriteMode", "static" if replace_all else "dynamic")
-        .partitionBy(*keys)
-        .parquet(path)
-    )
+    writer = out.write.mode("overwrite").option("partitionOverwriteMode", "static" if replace_all else "dynamic")
+    if row_group_bytes is not None:
+        writer = writer.option("parquet.block.size", row_group_bytes)
+    writer.partitionBy(*keys).parquet(path)
     if register:
         register_table(df.sparkSession, root, layer, table)
     return path
