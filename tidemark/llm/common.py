@@ -6,6 +6,7 @@ import gc
 import math
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,9 @@ from pyspark.sql import functions as F
 from tidemark.session import shared_dir
 
 SLICE_BYTES = 1 << 20
-FILTER_BITS = 1 << 22
+FILTER_BITS, MOST_FILTER_BITS = 1 << 22, 1 << 30
+"""The smallest and the largest filter, of half a megabyte and 128 MB."""
+BITS_PER_KEY = 16
 BITMAP_BITS = 1 << 15
 """Bits of one bitmap of ``bitmap_construct_agg``: a fixed value of Spark."""
 
@@ -90,30 +93,41 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def filter_slot(key: Column, bits: int = FILTER_BITS) -> Column:
-    """Where a key falls in a filter."""
-    return F.pmod(F.xxhash64(key), F.lit(bits))
+class KeyFilter(NamedTuple):
+    """A bitmap with the slots of some keys set: a key of them always passes, another one may.
+
+    That saves work; a join or a comparison afterwards decides.
+    """
+
+    packed: np.ndarray
+    bits: int
+
+    def passes(self, hashes: np.ndarray) -> np.ndarray:
+        slots = hashes.astype(np.int64) % self.bits
+        return (self.packed[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
 
 
-def slot_filter(df: DataFrame, slot: Column, bits: int = FILTER_BITS) -> np.ndarray:
-    """A bitmap with the slots of all rows set, of ``bits`` bits whatever the number of rows.
+def filter_bits(keys: int) -> int:
+    """Bits for so many keys: a sixteenth of the others passes, whatever the number, up to the largest filter.
 
-    Use: a key of ``df`` always passes, another one may. That saves work; a join or a
-    comparison afterwards decides.
+    Beyond that ever more pass, and more is moved for nothing; what comes out is the same.
     """
+    return min(max(FILTER_BITS, -(-keys * BITS_PER_KEY // BITMAP_BITS) * BITMAP_BITS), MOST_FILTER_BITS)
+
+
+def key_filter(df: DataFrame, key_hash: Column) -> KeyFilter:
+    """The filter of the rows' keys, given as 64-bit hashes; ``df`` is counted first, so it should be stored."""
+    bits = filter_bits(df.count())
+    slot = F.pmod(key_hash, F.lit(bits))
     part, place = F.floor(F.col("slot") / BITMAP_BITS), F.pmod(F.col("slot"), F.lit(BITMAP_BITS))
     found = df.select(slot.cast("long").alias("slot")).where("slot is not null").groupBy(part.alias("part"))
     packed = np.zeros(math.ceil(bits / BITMAP_BITS) * BITMAP_BITS // 8, np.uint8)
     for row in found.agg(F.bitmap_construct_agg(place).alias("bitmap")).collect():  # bits / BITMAP_BITS rows at most
         start = row["part"] * BITMAP_BITS // 8
         packed[start : start + BITMAP_BITS // 8] = np.frombuffer(bytes(row["bitmap"]), np.uint8)
-    return packed
-
-
-def id_filter(df: DataFrame, key: str) -> np.ndarray:
-    """The filter of a column's values; the other side looks up its ``filter_slot``."""
-    return slot_filter(df, filter_slot(F.col(key)))
+    return KeyFilter(packed, bits)
 
 
-def passes(packed: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    return (packed[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
+def id_filter(df: DataFrame, key: str) -> KeyFilter:
+    """The filter of a column's values; the other side looks up ``xxhash64`` of its own."""
+    return key_filter(df, F.xxhash64(key))

@@ -5,7 +5,9 @@ fixed base, modulo four primes. Fingerprints compose: that of two parts in a row
 ``f(a) * base ** len(b) + f(b)``. So the parts of a huge document are hashed by
 different tasks, and a part is hashed as one product of matrices.
 
-Texts of equal fingerprint and length are then compared part by part: rows are dealt
+Texts of equal fingerprint and length are then compared part by part. A filter of their
+lengths and ends, sized by their number, passes them and few others, so only these are
+read closely again. Rows are dealt
 by fingerprint, part and a salt and stream past, each next to the one before, so that
 no group is held. Texts that differ in spite of equal fingerprints are told apart by
 their SHA-256.
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import FILTER_BITS, passes, slices, slot_filter, stored, utf8
+from tidemark.llm.common import key_filter, slices, stored, utf8
 
 BLANKS = b" \t\n\x0b\f\r"
 PRIMES = (1073741789, 1073741783, 1073741741, 1073741723)
@@ -33,6 +35,7 @@ BLOCK = 1 << 14
 PART = 1 << 16
 HUGE = 1 << 22
 SALTS = 64
+ENDS = 256
 
 
 @lru_cache(maxsize=4)
@@ -65,8 +68,10 @@ def key_of(remainders: np.ndarray, length: int) -> bytes:
     return remainders.astype(np.uint32).tobytes() + length.to_bytes(8, "little")
 
 
-def slot_of(key: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(key, digest_size=8).digest(), "little") % FILTER_BITS
+def slot_of(text: bytes) -> int:
+    """A 64-bit hash of a text's length and ends, alike for equal texts and quick for long ones."""
+    ends = len(text).to_bytes(8, "little") + text[:ENDS] + text[-ENDS:]
+    return int.from_bytes(hashlib.blake2b(ends, digest_size=8).digest(), "little", signed=True)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -102,9 +107,9 @@ def _first_pass(huge: int, size: int, primes: tuple[int, ...]):
                 sha = hashlib.sha256(text).hexdigest()
                 if len(text) <= huge:
                     key = key_of(fingerprint(text, primes), len(text))
-                    add(row, doc_id, points, sha, key, slot_of(key), None, None)
+                    add(row, doc_id, points, sha, key, slot_of(text), None, None)
                     continue
-                add(row, doc_id, points, sha, None, None, None, None)
+                add(row, doc_id, points, sha, None, slot_of(text), None, None)
                 for i in range(0, len(text), size):
                     add(row, None, None, None, None, None, i // size, text[i : i + size])
             yield _record(rows)
@@ -139,10 +144,7 @@ def _combine_parts(primes: tuple[int, ...]):
                     total = combine(total, np.array(part["remainders"], np.uint64), part["length"], primes)
                     length += part["length"]
                 keys.append(key_of(total, length))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(keys, pa.binary()), pa.array([slot_of(k) for k in keys], pa.int64())],
-                ["row_", "key_", "slot_"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(keys, pa.binary())], ["row_", "key_"])
 
     return run
 
@@ -152,10 +154,10 @@ def _with_huge(first: DataFrame, parts: int, primes: tuple[int, ...]) -> DataFra
     pieces = first.where("part is not null").select("row", "part", "bytes").repartition(parts, "row", "part")
     hashed = pieces.mapInArrow(_hash_parts(primes), "row long, part int, length long, remainders array<long>")
     whole = hashed.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("part", "length", "remainders"))).alias("parts"))
-    whole = whole.mapInArrow(_combine_parts(primes), "row_ long, key_ binary, slot_ long")
+    whole = whole.mapInArrow(_combine_parts(primes), "row_ long, key_ binary")
     rows = first.where("part is null").drop("part", "bytes")
     joined = rows.join(whole, rows.row == whole.row_, "left")
-    return joined.select("row", "doc_id", "n_points", "sha", F.coalesce("key", "key_").alias("key"), F.coalesce("slot", "slot_").alias("slot"))
+    return joined.select("row", "doc_id", "n_points", "sha", F.coalesce("key", "key_").alias("key"), "slot")
 
 
 def _part_pass(chosen, size: int, primes: tuple[int, ...]):
@@ -172,9 +174,9 @@ def _part_pass(chosen, size: int, primes: tuple[int, ...]):
                 )
 
             for row, text in zip(batch.column("row").to_pylist(), texts, strict=True):
-                key = key_of(fingerprint(text, primes), len(text))
-                if not passes(chosen.value, np.array([slot_of(key)]))[0]:
+                if not chosen.value.passes(np.array([slot_of(text)]))[0]:
                     continue
+                key = key_of(fingerprint(text, primes), len(text))
                 for i in range(0, len(text), size):
                     keys.append(key)
                     parts.append(i // size)
@@ -238,8 +240,9 @@ def exact_dedup(docs: DataFrame, huge: int = HUGE, part: int = PART, primes: tup
     if not first.where("part is not null").isEmpty():
         rows = stored(_with_huge(first, parts, primes), "all-fingerprints")
 
-    several = rows.groupBy("key").agg(F.count("row").alias("n"), F.min("slot").alias("slot")).where("n > 1")
-    chosen = spark.sparkContext.broadcast(slot_filter(several, F.col("slot")))
+    several = rows.groupBy("key").agg(F.count("row").alias("n"), F.collect_set("slot").alias("slots")).where("n > 1")
+    several = stored(several.select(F.explode("slots").alias("slot")), "several")  # one slot, but for equal keys of other texts
+    chosen = spark.sparkContext.broadcast(key_filter(several, F.col("slot")))
     pieces = texts.select("row", "text").mapInArrow(_part_pass(chosen, part, primes), "key binary, part int, salt int, bytes binary")
     pieces = pieces.repartition(parts, "key", "part", "salt").sortWithinPartitions("key", "part", "salt")
     runs = pieces.mapInArrow(_compare(True), "key binary, part int, bytes binary")

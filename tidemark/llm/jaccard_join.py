@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import filter_slot, id_filter, mix64, passes, release, slices, stored, utf8
+from tidemark.llm.common import id_filter, mix64, release, slices, stored, utf8
 from tidemark.llm.components import components
 from tidemark.llm.words import shingle_sets
 
@@ -173,10 +173,10 @@ def _prefix_pass(size: int, percent: int, counters, chosen):
     """Prefix lists and bitmap of each text that may stand for a class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, packed = counters.value, chosen.value
+        counts = counters.value
         noise = int(counts.sum(dtype=np.uint64)) // COUNTERS
         for batch in batches:
-            keep = passes(packed, batch.column("slot").to_numpy(zero_copy_only=False).astype(np.int64))
+            keep = chosen.value.passes(batch.column("slot").to_numpy(zero_copy_only=False))
             batch = batch.filter(pa.array(keep))
             rows = {name: [] for name in ("doc_id", "key", "n", "step", "lists", "levels", "sides", "bitmap")}
             for part in slices(batch, "text"):
@@ -398,7 +398,7 @@ def _set_pass(size: int, chosen):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = passes(chosen.value, batch.column("slot").to_numpy(zero_copy_only=False).astype(np.int64))
+            keep = chosen.value.passes(batch.column("slot").to_numpy(zero_copy_only=False))
             batch = batch.filter(pa.array(keep))
             for part in slices(batch, "text"):
                 sets = [found.tobytes() for found in shingle_sets(part.column("text"), size)]
@@ -456,7 +456,7 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
         known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("doc_id").alias("copies")), "set-classes"
     )
     chosen = spark.sparkContext.broadcast(id_filter(classes, "rep"))
-    slotted = texts.where("doc_id is not null").withColumn("slot", filter_slot(F.col("doc_id")))
+    slotted = texts.where("doc_id is not null").withColumn("slot", F.xxhash64("doc_id"))
     kinds = (
         "doc_id long, key binary, n long, step byte, lists array<long>, levels array<byte>, sides array<byte>,"
         " bitmap binary"
