@@ -1,5 +1,8 @@
+import functools
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import vector_search as vs
 from tidemark.llm.queries import QUERIES
@@ -36,13 +39,14 @@ def answers(df):
     return out
 
 
-@pytest.mark.parametrize("shard_rows", [200, 5000])
-def test_recall(spark, shard_rows):
+@pytest.mark.parametrize("least_shards", [1, 8])
+def test_recall(spark, least_shards, monkeypatch):
+    monkeypatch.setattr(vs, "shards", functools.partial(vs.shards, least_shards=least_shards))
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(30, 24))
     rows = [(i, (centres[i % 30] + rng.normal(size=24) * 0.4).astype(np.float32).tolist()) for i in range(1500)]
     df = spark.createDataFrame(rows, ROW)
-    got = answers(vs.search(df, df.where("vec_id % 10 = 0"), 5, shard_rows=shard_rows))
+    got = answers(vs.search(df, df.where("vec_id % 10 = 0"), 5))
     want = exact(rows, [r for r in rows if r[0] % 10 == 0], 5)
     assert recall(got, want) > 0.97
     assert all(len(r) == 5 for r in got.values())
@@ -63,6 +67,25 @@ def test_query_recall(spark):
     assert same > 0.95
 
 
+def test_shards_by_size(spark):
+    rows = [(i, [float(i), 1.0, 2.0]) for i in range(300)] + [(1000 + i, [float(i), 1.0]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<double>")
+    index, count = vs.shards(df, 6, shard_bytes=1200, least_shards=2)
+    assert count == 10 and index.count() <= 20
+    assert sorted(i for r in index.collect() for ids in r.ids for i in ids) == sorted(r[0] for r in rows)
+
+
+def test_work_grows_with_rows_and_answers(spark):
+    """Five times the rows are not more shards, and a query gets k answers from each at most."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(3000)]
+    for many in (600, 3000):
+        df = spark.createDataFrame(rows[:many], ROW)
+        found = vs.search(df, df.where("vec_id % 50 = 0"), 5)
+        assert found.count() == 5 * many // 50
+    assert vs.shards(df.select("vec_id", F.col("embedding").cast("array<double>").alias("vector")), 6)[1] == vs.LEAST_SHARDS
+
+
 def test_copies_and_ties(spark):
     """Very many copies of a vector: the smallest ids, without the query's own."""
     rows = [(i, [1.0, 2.0, 0.5]) for i in range(400, 0, -1)] + [(500 + i, [1.0, 2.0, 0.6 + i / 50]) for i in range(100)]

@@ -1,16 +1,17 @@
 """Approximate nearest neighbours by cosine: a robust-pruned directed graph per shard.
 
 Equal vectors become one node first, with the few smallest ids that an answer can need.
-Nodes are dealt into shards of bounded size. Each shard gets a graph: starting from
+Nodes are dealt into shards, as large as a task's memory allows and some dozen at least,
+so that their number grows with the rows far more slowly than these. Each shard gets a graph: starting from
 random edges, a greedy search from the entry points proposes neighbours of a node, and
 pruning walks over them from the nearest on, dropping every one that a kept one is
 closer to by a factor, so that the edges kept point into different directions. Edges are
 added backwards too, and pruned again where a node has too many. Two rounds are made,
 the second with the relaxed factor.
 
-Queries come in blocks; each block meets each shard once, and a beam search, which opens
-the best few unopened nodes of its list in every step, answers all queries of the block
-together. Scores are then computed anew in double precision from the original vectors,
+A task loads one shard and lets all queries stream past in blocks; a beam search, which
+opens the best few unopened nodes of its list in every step, answers all queries of a
+block together. Scores are then computed anew in double precision from the original vectors,
 and the best of all shards stay.
 """
 
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import stored
 
-SHARD_ROWS = 4096
+SHARD_BYTES = 1 << 25
+"""Of vectors as doubles in a shard: 65,536 of 64 numbers."""
+LEAST_SHARDS = 16
 BLOCK_ROWS = 512
 DEGREE = 32
 BEAM = 64
@@ -182,27 +185,45 @@ def _matrix(values: pa.ChunkedArray | pa.Array) -> np.ndarray:
 SHARD = "dim int, shard int, vectors binary, ids array<array<long>>, edges binary, entries array<int>"
 
 
+def _units_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Runs of rows with the same keys, as they come."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.stack([batch.column(k).to_numpy() for k in keys], axis=1)
+        cuts = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+        for first, last in zip(cuts[:-1], cuts[1:], strict=True):
+            yield tuple(values[first].tolist()), batch.slice(first, last - first)
+
+
 def _build_pass(degree: int, beam: int, factor: float):
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("first")
-        vectors = _matrix(table.column("vector"))
+    """A row per shard and dimension from its vectors, which come one after the other."""
+
+    def made(key: tuple, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        vectors = np.concatenate([_matrix(p.column("vector")) for p in parts])
         graph = build(_units(vectors), degree, beam, factor)
-        return pa.table(
-            {
-                "dim": pa.array([vectors.shape[1]], pa.int32()),
-                "shard": table.column("shard").slice(0, 1).cast(pa.int32()),
-                "vectors": pa.array([vectors.tobytes()], pa.binary()),
-                "ids": pa.array([table.column("ids").to_pylist()], pa.list_(pa.list_(pa.int64()))),
-                "edges": pa.array([graph.edges.astype(np.int32).tobytes()], pa.binary()),
-                "entries": pa.array([graph.entries.tolist()], pa.list_(pa.int32())),
-            }
-        )
+        ids = [own for p in parts for own in p.column("ids").to_pylist()]
+        values = [[key[1]], [key[0]], [vectors.tobytes()], [ids], [graph.edges.astype(np.int32).tobytes()], [graph.entries.tolist()]]
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.list_(pa.int64())), pa.binary(), pa.list_(pa.int32())]
+        columns = [pa.array(v, k) for v, k in zip(values, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, ["dim", "shard", "vectors", "ids", "edges", "entries"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, parts = None, []
+        for key, rows in _units_of(batches, ["shard", "dim"]):
+            if key != held and parts:
+                yield made(held, parts)
+                parts = []
+            held = key
+            parts.append(rows)
+        if parts:
+            yield made(held, parts)
 
     return run
 
 
-def shards(vectors: DataFrame, spare: int, shard_rows: int = SHARD_ROWS, degree: int = DEGREE, beam: int = BEAM, factor: float = RELAXED):
-    """The index: a stored row per shard, and the number of shards of each dimension.
+def shards(vectors: DataFrame, spare: int, shard_bytes: int = SHARD_BYTES, degree: int = DEGREE, beam: int = BEAM, factor: float = RELAXED, least_shards: int = LEAST_SHARDS):
+    """The index: a stored row per shard and dimension, and the number of shards.
 
     ``vectors`` has ``vec_id long`` and ``vector array<double>``, all usable. Of equal
     vectors the index has the ``spare`` smallest ids.
@@ -211,25 +232,29 @@ def shards(vectors: DataFrame, spare: int, shard_rows: int = SHARD_ROWS, degree:
     few = vectors.distinct().withColumn("place", F.row_number().over(place)).where(F.col("place") <= spare)
     nodes = few.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     nodes = stored(nodes.select("vector", "ids", F.col("ids")[0].alias("first"), F.size("vector").alias("dim")), "nodes")
-    count = max(1, -(-nodes.count() // shard_rows))
+    size = nodes.agg(F.sum(F.col("dim").cast("long") * 8)).first()[0] or 0
+    count = max(least_shards, -(-size // shard_bytes))
     dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("first", "dim"), F.lit(count)).cast("int"))
-    dealt = dealt.repartition(count, "dim", "shard")  # a task per shard or few, which adaptive execution leaves so
-    return stored(dealt.groupBy("dim", "shard").applyInArrow(_build_pass(degree, beam, factor), SHARD), "shards"), count
+    dealt = dealt.repartitionById(count, F.col("shard")).sortWithinPartitions("shard", "dim", "first")
+    return stored(dealt.mapInArrow(_build_pass(degree, beam, factor), SHARD), "shards"), count
 
 
 def _search_pass(k: int, beam: int):
+    """Keeps a shard, which comes first, and answers the queries that follow, block by block."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                get = lambda name, row=row: batch.column(name)[row]
-                dim = get("dim").as_py()
+        held, graph = None, None
+        for (shard, dim, is_query), rows in _units_of(batches, ["shard", "dim", "is_query"]):
+            if not is_query:
+                get = lambda name, rows=rows: rows.column(name)[0]
                 vectors = np.frombuffer(get("vectors").as_buffer(), np.float64).reshape(-1, dim)
                 edges = np.frombuffer(get("edges").as_buffer(), np.int32).reshape(len(vectors), -1)
-                graph = Graph(_units(vectors), edges, np.array(get("entries").as_py(), np.int32))
+                held, graph = (shard, dim), Graph(_units(vectors), edges, np.array(get("entries").as_py(), np.int32))
                 ids = get("ids").as_py()
-                query_ids = get("queries").values.field("vec_id").to_numpy()
-                queries = _matrix(get("queries").values.field("vector"))
-                yield _answers(graph, vectors, ids, query_ids, queries, k, beam)
+            elif held == (shard, dim):  # otherwise the shard has no vectors of this length
+                for at in range(0, rows.num_rows, BLOCK_ROWS):
+                    some = rows.slice(at, BLOCK_ROWS)
+                    yield _answers(graph, vectors, ids, some.column("vec_id").to_numpy(), _matrix(some.column("vector")), k, beam)
 
     return run
 
@@ -247,7 +272,7 @@ def _answers(graph, vectors, ids, query_ids, queries, k, beam) -> pa.RecordBatch
 
 
 def search(
-    vectors: DataFrame, queries: DataFrame, k: int = 5, vector: str = "embedding", shard_rows: int = SHARD_ROWS, beam: int = BEAM, degree: int = DEGREE
+    vectors: DataFrame, queries: DataFrame, k: int = 5, vector: str = "embedding", shard_bytes: int = SHARD_BYTES, beam: int = BEAM, degree: int = DEGREE
 ) -> DataFrame:
     """The ``k`` nearest found of ``vectors`` for each of ``queries``, but for rows of the query's own id.
 
@@ -264,14 +289,11 @@ def search(
         .where("vec_id is not null")
         .where(usable(F.col("vector")))
     )
-    index, count = shards(clean(vectors), k + 1, shard_rows, degree, beam)
+    index, count = shards(clean(vectors), k + 1, shard_bytes, degree, beam)
     asked = stored(clean(queries).distinct().withColumn("dim", F.size("vector")), "queries")
-    blocks = max(1, -(-asked.count() // BLOCK_ROWS))
-    block = F.pmod(F.xxhash64("vec_id", "vector"), F.lit(blocks)).cast("int")
-    asked = asked.groupBy("dim", block.alias("block")).agg(F.collect_list(F.struct("vec_id", "vector")).alias("queries"))
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    parts = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    met = asked.join(index, ["dim", "shard"]).repartition(parts, "dim", "shard", "block")
+    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).withColumn("is_query", F.lit(1))
+    met = index.withColumn("is_query", F.lit(0)).unionByName(asked, allowMissingColumns=True)
+    met = met.repartitionById(count, F.col("shard")).sortWithinPartitions("shard", "dim", "is_query")
     found = met.mapInArrow(_search_pass(k, beam), "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
