@@ -218,39 +218,63 @@ def ip(text: str, cipher: Cipher) -> str | None:
     return ".".join(str(number >> s & 255) for s in (24, 16, 8, 0))
 
 
-def date(text: str, cipher: Cipher) -> str | None:
-    """A day from 1900 to 2099: year first, or day first, or month first where day first is none."""
-    a, mark, b, _, c = re.match(r"([0-9]+)([-/.])([0-9]+)([-/.])([0-9]+)", text).groups()
-    orders = [("%Y", "%m", "%d")] if len(a) == 4 else [("%d", "%m", "%Y"), ("%m", "%d", "%Y")]
-    for order in orders:
-        values = dict(zip(order, (int(a), int(b), int(c)), strict=True))
-        try:
-            day = dt.date(values["%Y"], values["%m"], values["%d"]).toordinal()
-        except ValueError:
-            continue
-        if not FIRST_DAY <= day <= LAST_DAY:
-            continue
-        # Month first is read only where the second number is over 12; its pseudonyms stay such dates.
-        kind, days = ("date-us", _late_days()) if order[0] == "%m" else ("date", range(FIRST_DAY, LAST_DAY + 1))
-        at = _late_place(day) if order[0] == "%m" else day - FIRST_DAY
-        new = dt.date.fromordinal(days[cipher.permute(kind, len(days), at)])
-        widths = {"%Y": new.year, "%m": new.month, "%d": new.day}
-        return mark.join(f"{widths[o]:0{4 if o == '%Y' else 2}}" for o in order)
-    return None
+#: The names of months that dates in words have.
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 
 
 @lru_cache(maxsize=1)
-def _late_days() -> list[int]:
-    return [d for d in range(FIRST_DAY, LAST_DAY + 1) if dt.date.fromordinal(d).day > 12]
+def _day_classes() -> tuple[dict[int, tuple[int, int]], list[list[int]]]:
+    """Days in classes: the class and place of each, and the days of each class.
 
+    A class has months of one digit or of two, and days of the month of one digit, to 12
+    or over 12. In whatever spelling, a pseudonym of the same class has as many digits
+    where no zeros are written, and is read in the same order.
+    """
+    places, classes, numbers = {}, [], {}
+    for day in range(FIRST_DAY, LAST_DAY + 1):
+        d = dt.date.fromordinal(day)
+        kind = numbers.setdefault((d.month > 9, d.day > 9, d.day > 12), len(numbers))
+        if kind == len(classes):
+            classes.append([])
+        places[day] = kind, len(classes[kind])
+        classes[kind].append(day)
+    return places, classes
+
+
+def other_day(year: int, month: int, day: int, cipher: Cipher) -> dt.date | None:
+    """The pseudonym of a day from 1900 to 2099, the same for all its spellings."""
+    try:
+        number = dt.date(year, month, day).toordinal()
+    except ValueError:
+        return None
+    if not FIRST_DAY <= number <= LAST_DAY:
+        return None
+    places, classes = _day_classes()
+    kind, place = places[number]
+    return dt.date.fromordinal(classes[kind][cipher.permute(f"date {kind}", len(classes[kind]), place)])
 
-@lru_cache(maxsize=1)
-def _late_places() -> dict[int, int]:
-    return {d: i for i, d in enumerate(_late_days())}
+
+def date(text: str, cipher: Cipher) -> str | None:
+    """Year first, or day first, or month first where day first is none; numbers keep their digits."""
+    a, mark, b, _, c = re.match(r"([0-9]+)([-/.])([0-9]+)([-/.])([0-9]+)", text).groups()
+    orders = ["Ymd"] if len(a) == 4 else ["dmY", "mdY"]
+    for order in orders:
+        values = dict(zip(order, (a, b, c), strict=True))
+        new = other_day(*(int(values[o]) for o in "Ymd"), cipher)
+        if new is not None:
+            fields = {"Y": new.year, "m": new.month, "d": new.day}
+            return mark.join(f"{fields[o]:0{len(values[o])}}" for o in order)
+    return None
 
 
-def _late_place(day: int) -> int:
-    return _late_places()[day]
+def worded_date(text: str, cipher: Cipher) -> str | None:
+    """A date with the month's name, before or after the day."""
+    month = re.search("[A-Za-z]+", text)[0]
+    first, second = re.findall("[0-9]+", text)
+    new = other_day(int(second), MONTHS.index(month) + 1, int(first), cipher)
+    if new is None:
+        return None
+    return text.replace(month, "\0").replace(first, f"{new.day:0{len(first)}}", 1).replace(second, f"{new.year}").replace("\0", MONTHS[new.month - 1])
 
 
 def _mixed(text: str) -> tuple[list[tuple[str, int]], int, int]:
@@ -324,17 +348,24 @@ RULES = (
     Kind("phone", r"\+[0-9]", PHONE, phone, phone_ends),
     Kind(
         "phone",
-        r"[0-9][.-][0-9]{4}",
-        r"(?<![0-9A-Za-z+.-])(?<!\) )(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[.-])[2-9][0-9]{2}[.-][0-9]{4}(?![0-9A-Za-z]|[.-][0-9])",
+        r"[0-9][ .-][0-9]{4}",
+        r"(?<![0-9A-Za-z+.-])(?<!\) )(?:(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[.-])[2-9][0-9]{2}[.-][0-9]{4}"
+        r"|(?<![0-9] )(?:\([2-9][0-9]{2}\)|[2-9][0-9]{2}) [2-9][0-9]{2} [0-9]{4}(?! [0-9]))(?![0-9A-Za-z]|[.-][0-9])",
         local_phone,
     ),
     Kind("ip", r"[0-9]\.[0-9]", r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9A-Za-z])", ip),
     Kind(
         "date",
         r"[0-9][-/.][0-9]",
-        r"(?<![0-9A-Za-z/.-])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})(?![0-9A-Za-z]|[/-][0-9]|\.[0-9])",
+        r"(?<![0-9A-Za-z/.-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![0-9A-Za-z]|[/-][0-9]|\.[0-9])",
         date,
     ),
+    Kind(
+        "date",
+        r"[a-z],? [0-9]",
+        rf"(?<![0-9A-Za-z/.-])(?:[0-9]{{1,2}} (?:{'|'.join(MONTHS)}) [0-9]{{4}}|(?:{'|'.join(MONTHS)}) [0-9]{{1,2}}, [0-9]{{4}})(?![0-9A-Za-z])",
+        worded_date,
+    ),
     Kind("email", "@", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", email),
 )
 
@@ -396,8 +427,11 @@ def pseudonymise(docs: DataFrame, key: bytes, kinds: tuple[str, ...] = KINDS, ba
     Needs ``text string``; other columns pass through. Adds ``pii_spans``
     (``kind:start:end`` of the original text in code points, comma-joined, in order)
     and ``n_pii``, in place of columns of these names. Values that fail validation
-    stay. ``back`` restores the originals of a text pseudonymised under the same key
-    and kinds. Null text stays null, with no spans.
+    stay. Where values overlap, the kind that comes first in ``KINDS`` wins, whatever the
+    order of ``kinds``; of one kind the leftmost. ``back`` restores the originals of a text
+    pseudonymised under the same key and kinds. Null text stays null and empty text empty,
+    with no spans. Every row is one of its own, repeated ones too; an empty table gives
+    no rows.
     """
     rest = [c for c in docs.columns if c not in ("pii_spans", "n_pii")]
     docs = docs.select(*rest).withColumn("text", F.col("text").cast("string"))
