@@ -7,7 +7,9 @@ counts of its characters change by one step in and one step out, and with them t
 of c * log2(c), from which the window's Shannon entropy follows. Windows over their
 class's threshold become spans, overlapping ones a single span. Candidates on the
 allow-list are passed over: they look random and are no secrets. Parts made to be shown
-are passed over for themselves; what comes before and after them is judged.
+are passed over for themselves; what comes before and after them is judged. So are, in
+paths and identifiers, the parts between signs that are words or short numbers: a path of
+many different words has much entropy and holds no key.
 """
 
 from __future__ import annotations
@@ -33,21 +35,27 @@ class CharacterClass:
     pattern: str
     window: int
     bits: float
+    by_parts: bool = False
 
 
 CLASSES = {
     "entropy_hex": CharacterClass(
         r"(?<![A-Za-z0-9])(?<!sha1-)(?<!sha256-)(?<!sha384-)(?<!sha512-)[0-9A-Fa-f]{20,}(?![A-Za-z0-9])", 20, 3.0
     ),
-    "entropy_b64": CharacterClass(r"[A-Za-z0-9+/_-]{20,}={0,2}", 20, 3.7),
+    "entropy_b64": CharacterClass(r"[A-Za-z0-9+/_-]{20,}={0,2}", 20, 3.7, by_parts=True),
 }
 ALLOWED = (
     r"^[0-9]+$",  # a number
     r"^[^0-9]*$",  # words: no digit at all
     r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",  # a UUID
-    r"^[a-z]+([-_/][a-z0-9]+)+$",  # a path or name in lower-case parts
     r"^sha(1|256|384|512)-",  # a digest that pages publish
 )
+PART = r"[A-Za-z0-9]+"
+HUMP = r"[A-Z]?(?=[a-z]*[aeiouy])(?![a-z]*[b-df-hj-np-tv-xz]{5})[a-z]{2,}"
+"""A word or a part of a name in camel case: it has a vowel, and never five consonants in a row."""
+PLAIN_PART = r"^([0-9]{1,8}|[A-Z]{2,15})$"
+LEAST_WORDS = 4
+"""A part is words if all but a fourth of its characters are in such."""
 SHOWN = r"(?<![A-Za-z0-9])[A-Za-z0-9]*(?i:example|sample|dummy|xxxx)[A-Za-z0-9]*[+/_-]*"
 
 
@@ -145,23 +153,37 @@ def entropy_spans(text: Column, kind: str, rule: CharacterClass) -> Column:
 
     none = F.array().cast("array<struct<start:int,end:int>>")
 
+    def pieces(shown, length):
+        """What is between spans, if a window fits in."""
+        starts = F.concat(F.array(F.lit(0)), F.transform(shown, lambda x: x["end"]))
+        ends = F.concat(F.transform(shown, lambda x: x["start"]), F.array(length))
+        both = F.arrays_zip(starts.alias("start"), ends.alias("end"))
+        return F.filter(both, lambda p: p["end"] - p["start"] >= rule.window)
+
     def between(c):
-        """The pieces of a candidate between its parts made to be shown, if a window fits in."""
+        """The pieces of a candidate between its parts made to be shown."""
+        return _only(found(c, SHOWN, kind), lambda shown: pieces(shown, F.length(c)))
 
-        def cut(shown):
-            starts = F.concat(F.array(F.lit(0)), F.transform(shown, lambda x: x["end"]))
-            ends = F.concat(F.transform(shown, lambda x: x["start"]), F.array(F.length(c)))
-            return F.arrays_zip(starts.alias("start"), ends.alias("end"))
+    def without_words(c):
+        """The pieces of a piece between its parts that are words."""
+        part = lambda p: F.substring(c, p["start"] + 1, p["end"] - p["start"])
+        return _only(F.filter(found(c, PART, kind), lambda p: is_words(part(p))), lambda words: pieces(words, F.length(c)))
 
-        return F.filter(_only(found(c, SHOWN, kind), cut), lambda p: p["end"] - p["start"] >= rule.window)
+    def inside(c, cut, judge):
+        """What is judged in each piece, as spans of the whole."""
 
-    def busy(c):
-        def windows(p):
-            own = lambda part: F.when(~allowed(part), busy_windows(part, rule.window, rule.bits)).otherwise(none)
+        def of_piece(p):
             moved = lambda b: F.struct((p["start"] + b["start"]).alias("start"), (p["start"] + b["end"]).alias("end"))
-            return F.transform(_only(F.substring(c, p["start"] + 1, p["end"] - p["start"]), own), moved)
+            return F.transform(_only(F.substring(c, p["start"] + 1, p["end"] - p["start"]), judge), moved)
 
-        return F.when(~allowed(c), F.flatten(F.transform(between(c), windows))).otherwise(none)
+        return F.flatten(F.transform(cut(c), of_piece))
+
+    def windows(part):
+        return F.when(~allowed(part), busy_windows(part, rule.window, rule.bits)).otherwise(none)
+
+    def busy(c):
+        judge = (lambda piece: inside(piece, without_words, windows)) if rule.by_parts else windows
+        return F.when(~allowed(c), inside(c, between, judge)).otherwise(none)
 
     def of(s):
         return F.transform(
@@ -172,6 +194,12 @@ def entropy_spans(text: Column, kind: str, rule: CharacterClass) -> Column:
     return F.flatten(F.transform(found(text, rule.pattern, kind), of))
 
 
+def is_words(part: Column) -> Column:
+    """Whether a part between signs is made of words, or is a short number or one word in capitals."""
+    rest = F.length(F.regexp_replace(part, HUMP, ""))
+    return part.rlike(PLAIN_PART) | (LEAST_WORDS * rest <= F.length(part))
+
+
 def _any(conditions) -> Column:
     total = F.lit(False)
     for condition in conditions:
