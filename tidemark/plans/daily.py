@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +51,9 @@ from tidemark.sources import (
 )
 
 
+WRITES_AT_ONCE = 4
+
+
 def _flat(raw: DataFrame, extra: Sequence[str] = (), ingest: Column | None = None) -> DataFrame:
     """Raw events projected to the columns wanted, before anything is sorted or moved."""
     marks = {HAS_PAYLOAD: F.when(F.col("payload").isNotNull(), True)}
@@ -239,13 +244,13 @@ def _refresh_counts(spark: SparkSession, root: str, days: Sequence[dt.date] | No
         counts = op.count_parts(events)
         if days is not None:
             # A row that counts nothing per day and part, so that each partition is replaced.
+            # (A day's kinds share a file, sorted by kind, as most days are small.)
             refreshed = [(d, part) for d in days for part in (op.OWN, op.LATE) if part == op.LATE or own_days is None or d in own_days]
             none = spark.createDataFrame(refreshed, "event_date date, delivered string")
-            none = none.select("*", F.lit(0).cast("bigint").alias("n"), F.explode(F.array(*map(F.lit, op.KINDS))).alias("kind"))
+            none = none.select("*", F.lit(0).cast("bigint").alias("n"), F.lit(op.KINDS[0]).alias("kind"))
             counts = counts.unionByName(none, allowMissingColumns=True)
-        parts = ["delivered", "kind"]
         write_partitioned(
-            counts.drop(*DAY_PARTS), root, COUNTS_LAYER, COUNTS_TABLE, partition_by=parts, gather="size", replace_all=days is None
+            counts.drop(*DAY_PARTS), root, COUNTS_LAYER, COUNTS_TABLE, partition_by=["delivered"], gather="size", sort_by=["kind"], replace_all=days is None
         )
     finally:
         late.unpersist()
@@ -283,10 +288,15 @@ def build_gold(
     gather = "day" if one is None else "size"
     _refresh_counts(spark, root, days, changed)
     counts = read_counts(spark, root, days)
-    for name, frame in op.roll_up(counts, one).items():
-        write_partitioned(frame, root, GOLD_LAYER, name, gather=gather, replace_all=days is None)
-        if register:
-            register_table(spark, root, GOLD_LAYER, name, None if days is None else map(day_partition, days))
+    frames = op.roll_up(counts, one)
+
+    def write(name: str) -> None:
+        write_partitioned(frames[name], root, GOLD_LAYER, name, gather=gather, replace_all=days is None)
+
+    with ThreadPoolExecutor(WRITES_AT_ONCE) as pool:  # small jobs, mostly waiting for each other's last tasks
+        list(pool.map(inheritable_thread_target(write), frames))
+    for name in frames if register else ():
+        register_table(spark, root, GOLD_LAYER, name, None if days is None else map(day_partition, days))
     if days is not None:
         with_events = counts.where((F.col("kind") == "types") & (F.col("n") > 0)).select("event_date").distinct()
         for day in set(days) - {row[0] for row in with_events.collect()}:  # a row per day asked for
@@ -322,9 +332,13 @@ def _build(
             clear_partition(spark, place, SILVER_LAYER, SILVER_TABLE, silver_schema(), gone, **{INGEST_COLUMN: day})
     rejecting = set()
     if written.with_rejects:
-        rejects = rejected_lines(spark, written.with_rejects)
+        named: dict[dt.date, list[str]] = {}
+        for path in written.with_rejects:
+            *_, day, name = path.split("/")
+            named.setdefault(parse_date(day), []).append(name)
+        rejecting = set(named)
+        rejects = rejected_lines(spark, scan_paths(root, named, there))
         write_partitioned(rejects, place, SILVER_LAYER, REJECTED_TABLE, INGEST_COLUMN, gather="size")
-        rejecting = {parse_date(path.split("/")[-2]) for path in written.with_rejects}
     for day in sorted(day for day, record in old.items() if record.rejected and day not in rejecting):
         clear_partition(spark, place, SILVER_LAYER, REJECTED_TABLE, REJECTED_SCHEMA, day)
     if register:

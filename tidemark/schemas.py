@@ -199,8 +199,8 @@ OVERVIEW_TABLE = "overview_table"
 COUNTS_LAYER = "counts"
 COUNTS_TABLE = "parts"
 COUNTS_SCHEMA = (
-    "key string, hour timestamp_ntz, n bigint, n_public bigint, n_private bigint, n_stars bigint, n_pushes bigint, "
-    f"prs_created bigint, prs_merged bigint, prs_closed bigint, {_DAY_DDL}, delivered string, kind string"
+    "kind string, key string, hour timestamp_ntz, n bigint, n_public bigint, n_private bigint, n_stars bigint, n_pushes bigint, "
+    f"prs_created bigint, prs_merged bigint, prs_closed bigint, {_DAY_DDL}, delivered string"
 )
 REJECTED_TABLE = "rejected"
 REJECTED_SCHEMA = f"line string, file string, reason string, {INGEST_COLUMN} date, {_DAY_DDL}"

@@ -24,6 +24,7 @@ def write_partitioned(
     register: bool = False,
     replace_all: bool = False,
     cluster_by: Sequence[str] = (),
+    sort_by: Sequence[str] = (),
     row_group_bytes: int | None = None,
 ) -> str:
     """Write rows into day partitions, replacing the partitions they fall into.
@@ -41,7 +42,8 @@ def write_partitioned(
     and sorted by them within files, so that the statistics of row groups (of
     ``row_group_bytes``, if given) rule most of them out for a filter on these columns. A
     hash of the whole row is the last key of the ranges, so that rows of one key that are
-    too many for one task go to several. With ``replace_all`` the whole table is replaced.
+    too many for one task go to several. ``sort_by`` only sorts within files, however rows
+    are gathered. With ``replace_all`` the whole table is replaced.
     """
     out = df.withColumns(day_parts(date_col))
     keys = [*DAY_PARTS, *partition_by]
@@ -56,6 +58,8 @@ def write_partitioned(
         out = out.hint("rebalance", *columns)
     elif gather is not None:
         raise ValueError(f"unknown way to gather rows: {gather!r}")
+    if sort_by and not cluster_by:
+        out = out.sortWithinPartitions(*keys, *sort_by)
     path = table_path(root, layer, table)
     writer = out.write.mode("overwrite").option("partitionOverwriteMode", "static" if replace_all else "dynamic")
     if row_group_bytes is not None:
