@@ -271,7 +271,9 @@ def identify(docs: DataFrame) -> DataFrame:
 
     ``docs`` has ``doc_id``, ``text`` and ``lang``; other columns are ignored. Returns
     ``doc_id, held_out, lang_pred, score, margin``, a row per input row. Rows without
-    doc_id are predicted but not learned from.
+    doc_id are predicted but not learned from, and are not held out. Null texts and those
+    without letters are ``und`` with score 0, and so are all if no document has a label.
+    Every row is one of its own, repeated ones too; an empty table gives no rows.
     """
     marked = docs.select("doc_id", "text", "lang", held_out(F.col("doc_id")).alias("held_out"))
     model = train(marked.where("not held_out and doc_id is not null"))

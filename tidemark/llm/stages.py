@@ -86,5 +86,9 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 4096 tokens."""
+    """The pieces of all documents in sequences of 4096 tokens.
+
+    Null and empty texts are the end id alone; rows that share a doc_id, or have none, are
+    documents of their own. No documents give no rows.
+    """
     return packing.pack_documents(docs, tokenizer_path(WORD_BPE), capacity=4096, end_id=1, plain=False)

@@ -348,7 +348,12 @@ def _sent(df: DataFrame, model: Model):
 
 
 def round_trip(docs: DataFrame, model: Model) -> DataFrame:
-    """Per document: pieces, byte pieces among them, a hash of the ids, and whether decoding gives the text."""
+    """Per document: pieces, byte pieces among them, a hash of the ids, and whether decoding gives the text.
+
+    ``docs`` has ``doc_id`` and ``text``; other columns are ignored. Null and empty texts
+    have no pieces, and decoding gives them back as they were. Every row is one of its
+    own, repeated ones too; an empty table gives no rows.
+    """
     found = decode(encode(docs.select("doc_id", "text"), model), model)
     spelled = F.lit(0) if model.bytes is None else F.size(
         F.filter("ids", lambda i: (i >= F.lit(int(model.bytes.min()))) & (i <= F.lit(int(model.bytes.max()))))

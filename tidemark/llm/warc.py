@@ -300,7 +300,13 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """Write all pages to archives and read these back, without the payloads."""
+    """Write all pages to archives and read these back, without the payloads.
+
+    ``pages`` has ``page_id``, ``url`` and ``html``; other columns are ignored. A record per
+    row, repeated ones too. Null html is an empty payload. A page without id is written
+    and may revisit another, but none revisits it while one of the same payload has an
+    id. An empty table gives no rows.
+    """
     archives = write_archives(pages, folder or new_folder(pages.sparkSession, "warc"))
     return read_archives(archives, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
