@@ -28,7 +28,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of all stages over ``documents``."""
+    """The result of all stages over ``documents``: a row per piece, with its place in a sequence.
+
+    Each stage says what it does with null and empty texts, rows that share a doc_id or have
+    none, and further columns; columns of the table beyond those it knows pass through all
+    stages but the last. An empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
