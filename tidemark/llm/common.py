@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 from tidemark.session import shared_dir
 
+Pass = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
 SLICE_BYTES = 1 << 20
 FILTER_BITS, MOST_FILTER_BITS = 1 << 22, 1 << 30
 """The smallest and the largest filter, of half a megabyte and 128 MB."""
@@ -49,6 +52,22 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def tidy(run: Pass) -> Pass:
+    """A pass over batches that gives the memory it has freed back to the system at its end.
+
+    A worker process serves many tasks of many steps, and the allocator would keep for
+    it what the greediest of them took. Where the allocator has no such call, nothing happens.
+    """
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return tidied
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

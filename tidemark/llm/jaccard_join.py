@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import id_filter, mix64, release, slices, stored, utf8
+from tidemark.llm.common import id_filter, mix64, release, slices, stored, tidy, utf8
 from tidemark.llm.components import components
 from tidemark.llm.words import shingle_sets
 
@@ -447,7 +447,7 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kinds = "doc_id long, n long, key binary, chunk int, counts binary"
-    first = stored(texts.mapInArrow(_profile_pass(size), kinds), "shingle-sets")
+    first = stored(texts.mapInArrow(tidy(_profile_pass(size)), kinds), "shingle-sets")
     base = first.where("chunk is null").select("doc_id", "n", "key")
     counters = spark.sparkContext.broadcast(_counters(first.where("chunk is not null").select("chunk", "counts")))
 
@@ -461,7 +461,7 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
         "doc_id long, key binary, n long, step byte, lists array<long>, levels array<byte>, sides array<byte>,"
         " bitmap binary"
     )
-    profiles = slotted.mapInArrow(_prefix_pass(size, percent, counters, chosen), kinds)
+    profiles = slotted.mapInArrow(tidy(_prefix_pass(size, percent, counters, chosen)), kinds)
     profiles = stored(
         profiles.join(classes.select("key", F.col("rep").alias("doc_id"), "copies"), ["key", "doc_id"]).drop("key"),
         "prefixes",
@@ -480,13 +480,13 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     release(spark)
     traits = profiles.select("doc_id", "n", "step", "copies", "bitmap")
     by_list = entries.join(traits, "doc_id").repartition(parts, "list").sortWithinPartitions("list", "n", "doc_id")
-    near = stored(by_list.mapInArrow(_hub_pass(percent), "a long, b long").distinct(), "near")
+    near = stored(by_list.mapInArrow(tidy(_hub_pass(percent)), "a long, b long").distinct(), "near")
     near_docs = near.where("b is null").select(F.col("a").alias("doc_id"))
 
     del by_list
     release(spark)
     chosen = spark.sparkContext.broadcast(id_filter(near_docs, "doc_id"))
-    sets = slotted.mapInArrow(_set_pass(size, chosen), "doc_id long, tokens binary")
+    sets = slotted.mapInArrow(tidy(_set_pass(size, chosen)), "doc_id long, tokens binary")
     sets = stored(sets.join(near_docs, "doc_id", "left_semi"), "near-sets")
 
     release(spark)
@@ -503,7 +503,7 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     )
     rest = entries.join(traits, "doc_id").join(near_now, "doc_id")
     rest = rest.repartition(parts, "list").sortWithinPartitions("list", "n", "doc_id")
-    rest = rest.mapInArrow(_rest_pass(percent), "a long, b long, step int")
+    rest = rest.mapInArrow(tidy(_rest_pass(percent)), "a long, b long, step int")
     rest = rest.groupBy("a", "b").agg(F.count("a").alias("shared"), F.min("step").alias("step")).where("shared >= step")
     more = stored(_linked(rest.select("a", "b"), sets, percent), "other-links")
     if not more.isEmpty():

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.llm.common import mix64, slices, stored
+from tidemark.llm.common import mix64, slices, stored, tidy
 
 SIZES = (3, 5)
 SHARE = 2e-5
@@ -198,7 +198,7 @@ def train(
     words = max(1, -(-len(languages) // 64))
     masks = np.zeros((words, 1 << slot_bits), np.uint64)
     if languages:
-        counted = labelled.mapInArrow(_count_pass(languages, sizes), "gram long, code int, n long")
+        counted = labelled.mapInArrow(tidy(_count_pass(languages, sizes)), "gram long, code int, n long")
         counted = stored(counted.groupBy("gram", "code").agg(F.sum("n").alias("n")), "language-grams")
         totals = counted.groupBy("code").agg(F.sum("n").alias("total"))
         kept = counted.join(F.broadcast(totals), "code").where(F.col("n") >= F.lit(share) * F.col("total"))  # one row per language
@@ -258,7 +258,7 @@ def predict(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",)) ->
     kept = texts if "text" in keep else texts.drop("text")
     kinds = StructType(kept.schema.fields[:]).add("lang_pred", "string").add("score", "double").add("margin", "double")
     model = docs.sparkSession.sparkContext.broadcast(model)
-    return texts.mapInArrow(_predict_pass(model, "text" in keep), kinds)
+    return texts.mapInArrow(tidy(_predict_pass(model, "text" in keep)), kinds)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -30,12 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, stored, utf8
+from tidemark.llm.common import slices, stored, tidy, utf8
 from tidemark.llm.words import BLOCK, blocks, placed_words
 
 CAPACITY = 4096
 END_ID = 1
-KNOWN_BYTES = 48 << 20
+KNOWN_BYTES = 24 << 20
 """How much memory the words that a worker process remembers may take, about."""
 NEW_WORDS = 1 << 16
 PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ſ]+")
@@ -53,11 +53,11 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class WordTable:
-    """Ids by the 64-bit hash of a word, in sorted arrays: some thirty bytes a word."""
+    """Ids by the 64-bit hash of a word, in sorted arrays: some twenty bytes a word."""
 
-    def __init__(self) -> None:
-        self.keys, self.starts, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+    def __init__(self, kind: type = np.uint32) -> None:
+        self.keys, self.starts, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+        self.ids, self.kind = np.zeros(0, kind), kind
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the keys are there, and at which place."""
@@ -73,7 +73,7 @@ class WordTable:
         self.keys, self.starts, self.counts = (
             np.insert(old, at, new) for old, new in ((self.keys, keys), (self.starts, starts), (self.counts, counts))
         )
-        self.ids = np.concatenate([self.ids, ids])
+        self.ids = np.concatenate([self.ids, ids.astype(self.kind)])
 
     @property
     def size(self) -> int:
@@ -98,7 +98,8 @@ class WordTokenizer:
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.special = () if plain else tuple(token.content.lower().encode() for token in added)
         self.model = self.tokenizer.model
-        self.older, self.table, self.new = WordTable(), WordTable(), WordTable()
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.older, self.table, self.new = (WordTable(self.kind) for _ in range(3))
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each one's begin and end."""
@@ -143,7 +144,7 @@ class WordTokenizer:
             hit, at = table.find(words)
             hit &= missing
             counts[hit] = table.counts[at[hit]]
-            found.append((hit, table.ids[ragged(table.starts[at[hit]], table.counts[at[hit]])]))
+            found.append((hit, table.ids[ragged(table.starts[at[hit]].astype(np.int64), table.counts[at[hit]].astype(np.int64))]))
             missing &= ~hit
         if missing.any():
             places = index[missing]
@@ -161,13 +162,14 @@ class WordTokenizer:
 
     def _remember(self, keys: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
         if self.table.size > KNOWN_BYTES // 2:
-            self.older, self.table = self.table, WordTable()
+            self.older, self.table = self.table, WordTable(self.kind)
         self.new.add(keys, counts, ids)
         if len(self.new.keys) > NEW_WORDS:
-            new, self.new = self.new, WordTable()
+            new, self.new = self.new, WordTable(self.kind)
             there, _ = self.table.find(new.keys)
             order = np.flatnonzero(~there)
-            self.table.add(new.keys[order], new.counts[order], new.ids[ragged(new.starts[order], new.counts[order])])
+            counts = new.counts[order].astype(np.int64)
+            self.table.add(new.keys[order], counts, new.ids[ragged(new.starts[order].astype(np.int64), counts)])
 
     def _learn(self, words: list[str]) -> list[bytes]:
         """The ids of words: plain ones piece by piece through the merges alone, others through the whole tokenizer.
@@ -246,7 +248,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
     texts = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
-    return stored(texts.mapInArrow(_piece_pass(path, capacity, end_id, plain), PIECES), "pieces")
+    return stored(texts.mapInArrow(tidy(_piece_pass(path, capacity, end_id, plain)), PIECES), "pieces")
 
 
 class Plan:
