@@ -294,7 +294,7 @@ def build_gold(
         write_partitioned(frames[name], root, GOLD_LAYER, name, gather=gather, replace_all=days is None)
 
     with ThreadPoolExecutor(WRITES_AT_ONCE) as pool:  # small jobs, mostly waiting for each other's last tasks
-        list(pool.map(inheritable_thread_target(write), frames))
+        list(pool.map(inheritable_thread_target(spark)(write), frames))
     for name in frames if register else ():
         register_table(spark, root, GOLD_LAYER, name, None if days is None else map(day_partition, days))
     if days is not None:
