@@ -1,6 +1,7 @@
 """Files that come late, change, or hold lines that are no events."""
 
 import datetime as dt
+import gzip
 
 import pytest
 from conftest import details, rows
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from test_bronze_to_silver import DAY, event, put
 
+from tidemark.fixtures import deliver
 from tidemark.plans import daily
 from tidemark.schemas import GOLD_TABLES
 from tidemark.sources import built_hours, raw_files, read_records, read_silver, read_table
@@ -144,3 +146,55 @@ def test_check_range_holds_for_several_days(spark, tmp_path):
     put(tmp_path, 0, three(0, day=dt.date(2001, 1, 1)), dt.date(2001, 1, 1))
     with pytest.raises(ValueError, match="must lie between"):
         daily.run_all(spark, str(tmp_path), check_range=True)
+
+
+def test_ids_of_own_events_are_read_only_for_late_ones(spark, tmp_path, monkeypatch):
+    """The folders say whether any event came with another day's files."""
+    root, kept = str(tmp_path), []
+    frame = type(spark.range(0))
+    persist = frame.persist
+    monkeypatch.setattr(frame, "persist", lambda self, *level: kept.append(self) or persist(self, *level))
+    put(tmp_path, 0, three(0))
+    daily.run_all(spark, root)
+    assert total(spark, root, DAY) == 3 and not kept
+    put(tmp_path, 0, [*three(0, day=NEXT), event("late", at="2024-03-10T05:00:00Z"), three(0)[0]], NEXT)
+    daily.run_all(spark, root, force=False)
+    assert [total(spark, root, d) for d in (DAY, NEXT)] == [4, 3] and kept
+    put(tmp_path, 0, three(0, day=NEXT), NEXT)
+    daily.run_all(spark, root, force=False)
+    assert [total(spark, root, d) for d in (DAY, NEXT)] == [3, 3]
+
+
+def test_lines_that_cannot_be_set_aside_end_the_run(spark, tmp_path, monkeypatch):
+    """The record stays pending, so that the next run does it again."""
+    root = str(tmp_path)
+    put(tmp_path, 0, [*three(0), "junk"])
+    with monkeypatch.context() as broken:
+        broken.setattr(daily, "rejected_lines", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            daily.run_all(spark, root)
+    assert read_records(spark, root)[DAY].pending
+    daily.run_all(spark, root, force=False)
+    assert total(spark, root, DAY) == 3 and daily.read_rejected(spark, root, [DAY]).count() == 1
+
+
+def test_delivered_files_hold_every_line_and_are_packed_lightly(spark, tmp_path):
+    lines = spark.range(3000).select(
+        F.when(F.col("id") % 7 != 0, F.lit(str(DAY))).alias("day"),
+        F.when(F.col("id") % 5 != 0, (F.col("id") % 3).cast("int")).alias("hour"),
+        F.concat(F.lit("é line "), "id").alias("line"),
+    )
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)  # an hour in several batches
+    try:
+        deliver(lines, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, got = {}, {}
+    for day, hour, line in lines.collect():
+        want.setdefault(f"{day}/{day}-{hour}.json.gz", []).append(line)
+    for path in (tmp_path / "bronze").glob("*/*"):
+        packed = path.read_bytes()
+        text = gzip.decompress(packed).decode()
+        assert text.endswith("\n") and packed[8] == 4  # the header's mark of the fastest packing
+        got[f"{path.parent.name}/{path.name}"] = sorted(text.splitlines())
+    assert got == {name: sorted(some) for name, some in want.items()} and len(got) == 8
