@@ -84,6 +84,29 @@ def test_clustered_files_let_row_groups_be_skipped(spark, tmp_path):
     assert max(sizes) < 2 * 200_000 / 4 and len(sizes) >= 4  # the hot repository went to several files
 
 
+def test_ranges_of_clustered_files_are_found_in_few_columns(spark, tmp_path):
+    """The hash that deals a hot key to several files is of the columns that tell rows apart."""
+    many = spark.range(40_000).select(
+        F.col("id").cast("string").alias("event_id"),
+        F.lit("T").alias("type"),
+        F.lit("hot/hot").alias("repo"),
+        F.lit("a long body").alias("body"),
+        F.lit(dt.datetime(2024, 3, 10, 1)).cast("timestamp_ntz").alias("created_at"),
+    )
+    root, keys = str(tmp_path), ["type", "repo"]
+    with pytest.MonkeyPatch.context() as patch:
+        hashed, real = [], F.xxhash64
+        patch.setattr(F, "xxhash64", lambda *cols: hashed.append(cols) or real(*cols))
+        write_partitioned(many, root, "silver", "spread", "created_at", cluster_by=keys, spread_by=["event_id"])
+        write_partitioned(many, root, "silver", "whole", "created_at", cluster_by=keys)
+    assert hashed == [("event_id",), tuple(many.columns)]
+    for name in ("spread", "whole"):
+        stored = spark.read.parquet(f"{root}/silver/{name}")
+        sizes = [r["count"] for r in stored.groupBy(F.input_file_name()).count().collect()]
+        assert len(sizes) == 4 and max(sizes) < 20_000
+        assert rows(stored, *many.columns) == rows(many)
+
+
 def test_wide_table_grows_columns(spark, lake):
     names = {day: write_wide(spark, lake, "top_3_org_trend", day) for day in (ONE, OTHER)}
     found = read_evolving(spark, lake, "top_3_org_trend")
